@@ -21,7 +21,7 @@ from .common import rows_fit
 SLOTS = 1 << 16
 MOST_ROWS = 20_000
 ROUNDS = 50
-LABELLERS = ("capitals", "marks", "separators", "repeats", "variety", "word_length", "length")
+LABELLERS = ("capitals", "marks", "separators", "repeats", "variety", "plain", "length")
 
 _RUNS = re.compile(r"(.)\1+", re.DOTALL)
 _CLASSES = str.maketrans({**{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "0" for c in range(48, 58)}})
@@ -39,15 +39,16 @@ def votes(text: str) -> tuple[int, ...]:
     alone = sum(1 for w in words if not any(map(str.isalnum, w))) / n
     again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
     variety = len(set(words)) / n
-    mean = sum(map(len, words)) / n
+    cores = [w.strip(".,;:!?()\"'") for w in words]
+    plain = sum(w.isalpha() and (len(w) < 2 or w[1:].islower()) for w in cores) / n
     return (
-        0 if upper > 0.5 else 1 if upper < 0.1 else -1,
-        0 if marked > 0.3 else 1 if marked < 0.05 else -1,
-        0 if alone > 0.2 else 1 if alone < 0.02 else -1,
-        0 if again > 0.2 else 1 if again < 0.02 else -1,
-        -1 if n < 20 else 0 if variety < 0.2 else 1 if variety > 0.4 else -1,
-        0 if mean > 14 or mean < 2 else 1 if 3 <= mean <= 9 else -1,
-        0 if n < 3 else 1 if n >= 20 else -1,
+        0 if upper > 0.3 else -1,
+        0 if marked > 0.15 else -1,
+        0 if alone > 0.08 else -1,
+        0 if again > 0.1 else -1,
+        0 if n >= 50 and variety < 0.15 else -1,
+        1 if plain > 0.85 else 0 if plain < 0.6 else -1,
+        1 if n >= 20 else -1,
     )
 
 
@@ -71,9 +72,8 @@ def features(text: str) -> dict[int, float]:
 def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """By EM over vote patterns: for each labeller P(vote | true label) as [label, vote], the share of good texts, and each pattern's posterior of good."""
     m = patterns.shape[1]
-    voted = patterns >= 0
-    # begin with the majority
-    good = np.where(voted.any(axis=1), (np.where(voted, patterns, 0).sum(axis=1) + 1) / (voted.sum(axis=1) + 2), 0.5)
+    # begin with: a text is bad if any labeller says so
+    good = np.where((patterns == 0).any(axis=1), 0.1, 0.9)
     table, share = np.zeros((m, 2, 3)), 0.5
     for _ in range(ROUNDS):
         weight = np.stack([counts * (1 - good), counts * good])
