@@ -5,8 +5,9 @@ A text is the set of its distinct five-word shingles (64-bit hashes). Two texts
 * **Sketch.** For a size band, the token space is cut into m cells and every token is XORed into its cell. A token that only one of two sets has changes one cell at most, so the number of cells that differ (the Hamming distance of the sketches) is at most the symmetric difference d, and d <= (a + b) / 7 for linked sets of sizes a and b.
 * **Size bands.** Linked sizes differ by 4/3 at most, so with band(a) = floor(log(a) / log(4/3)) they lie in the same band or in adjacent ones. A set is sketched for its band and, as the possibly larger partner, for the one below.
 * **Pigeonhole.** Let s be the cells of A that aren't zero. s - d of them at least are equal in B. With m at half the largest size of the band, s > d holds but for rare sets, which emit their zero cells too (m > d always). So linked sets share a key (band, cell, value).
-* **Frequent keys.** A key of more than `HOT` sets isn't needed by a set that keeps more than d other cells. Rarer keys give all their (few) pairs. Only sets that consist of frequent keys nearly alone meet through them, in rounds: the first sets of a key are compared with all others, then twice as many, until the sets of each key are one component or all were compared. No pair is lost, and groups of near copies cost about one comparison a member.
-* **Verify.** Candidate pairs are compared on their full shingle sets.
+* **Frequent keys.** A key of more than `HOT` sets isn't needed by a set that keeps more than d other cells. Rarer keys give all their (few) pairs. Only sets that consist of frequent keys nearly alone meet through them, in rounds: the first sets of a key are compared with all others, then 16 times as many, until the sets of each key are one component or all were compared. No pair is lost, and groups of near copies cost about one comparison a member.
+* **Count.** The keys that a pair shares are counted over all buckets, and pairs that share fewer than s - d (less the frequent ones) go.
+* **Verify.** What is left is compared on their full shingle sets.
 
 Texts with equal sets are one class, named by a 64-bit fingerprint of the set, from the start. All that grows with the corpus stays in Spark: the driver holds counts only.
 """
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_hot, semi
@@ -33,6 +34,7 @@ SMALL = 64
 KEYS_PER_BUCKET = 2_000_000
 
 _PAIR, _COUNT, _MEMBER = 0, 1, 2
+_HEAD = np.dtype([("class", "<i8"), ("band", "<i2"), ("size", "<i4"), ("cells", "<i4")])
 
 
 def digest(tokens: np.ndarray) -> int:
@@ -45,25 +47,25 @@ def band(n: int) -> int:
 
 
 def cell_keys(tokens: np.ndarray, level: int) -> tuple[np.ndarray, int]:
-    """The keys of a set in a band, and its slack: how many of its cells any linked set shares, at least."""
+    """The keys of a set in a band, and how many of its cells hold something."""
     most, n = RATIO ** (level + 1), len(tokens)
     seed = mix(np.array([level + 1], dtype=U) << U(40))
     if most <= SMALL:
-        return mix(tokens ^ seed), n - n // 3
+        return mix(tokens ^ seed), n
     m = int(most / 2)
     cell = tokens % U(m)
     order = np.argsort(cell)
     cell = cell[order]
     at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
     value, cell = np.bitwise_xor.reduceat(tokens[order], at), cell[at]
-    slack = np.count_nonzero(value) - n // 3
-    if slack < 1:
+    cells = np.count_nonzero(value)
+    if cells <= n // 3:
         full = np.zeros(m, dtype=U)
         full[cell] = value
         value, cell = full, np.arange(m, dtype=U)
     else:
         value, cell = value[value != 0], cell[value != 0]
-    return mix(value ^ mix(cell + seed)), slack
+    return mix(value ^ mix(cell + seed)), cells
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,7 +81,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def _sketches(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """Rows (bucket, head, keys): the sketch keys that fall in a bucket, of many texts in a row. head: class, band, slack and number of keys for each sketch."""
+    """Rows (bucket, head, keys): the sketch keys that fall in a bucket, of many texts in a row. head: class, band, size and cells of each sketch."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches, "text", 8 << 20):
@@ -89,12 +91,12 @@ def _sketches(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                 if len(tokens):
                     top, name = band(len(tokens)), digest(tokens)
                     for level in (top, top - 1) if top else (0,):
-                        own, slack = cell_keys(tokens, level)
+                        own, cells = cell_keys(tokens, level)
                         keys.append(own)
-                        heads.append((name, level, slack))
+                        heads.append((name, level, len(tokens), cells))
             if not heads:
                 continue
-            head = np.array(heads, dtype=[("class", "<i8"), ("band", "<i2"), ("slack", "<i4")])
+            head = np.array(heads, dtype=_HEAD)
             owner = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
             key = np.concatenate(keys)
             to = ((key & U(0xFFFFFFFF)) * U(buckets)) >> U(32)
@@ -111,12 +113,13 @@ def _sketches(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(one, "bucket long, head binary, n binary, keys binary")
 
 
-_FOUND = "kind int, a long, b long, band int, n int"
+#: Pairs: classes, band, shared rare keys, and how many cells a and b must share. Counts: class, its cells less d, band, its frequent keys. Members: group, class, band, size.
+_FOUND = "kind int, a long, b long, band int, n int, need_a int, need_b int"
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """What meets in a bucket: pairs of rare keys; for sketches with frequent keys how many; distinct groups of those keys with their members."""
-    raw = [np.frombuffer(x, dtype=[("class", "<i8"), ("band", "<i2"), ("slack", "<i4")]) for x in table["head"].to_pylist()]
+    raw = [np.frombuffer(x, dtype=_HEAD) for x in table["head"].to_pylist()]
     head = np.concatenate(raw)
     n = np.concatenate([np.frombuffer(x, np.uint32) for x in table["n"].to_pylist()])
     key = np.concatenate([np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()])
@@ -128,30 +131,40 @@ def _meet(table: pa.Table) -> pa.Table:
     key, who = (both >> U(32)).astype(np.uint32), (both & U(0xFFFFFFFF)).astype(np.int64)
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(at, len(key)))
-    pairs, names = [np.zeros(0, dtype=U)], head["class"].astype(np.int64)
+    names, bands = head["class"].astype(np.int64), head["band"].astype(np.int64)
+    home = np.array([band(int(x)) for x in head["size"]], dtype=np.int64) == bands
+    pairs = [np.zeros(0, dtype=U)]
     for g in range(2, HOT + 1):
         own = at[size == g]
         if len(own):
             rows = who[own[:, None] + np.arange(g)]
             i, j = np.triu_indices(g, 1)
-            pairs.append(np.unique((rows[:, i].ravel().astype(U) << U(32)) | rows[:, j].ravel().astype(U)))
-    pairs = np.unique(np.concatenate(pairs))
-    a, b = names[(pairs >> U(32)).astype(np.int64)], names[(pairs & U(0xFFFFFFFF)).astype(np.int64)]
-    a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-    out = [pd.DataFrame({"kind": _PAIR, "a": a, "b": b, "band": 0, "n": 0})]
+            pairs.append((rows[:, i].ravel().astype(U) << U(32)) | rows[:, j].ravel().astype(U))
+    pairs, shared = np.unique(np.concatenate(pairs), return_counts=True)
+    i, j = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64)
+    size_i, size_j = head["size"][i].astype(np.int64), head["size"][j].astype(np.int64)
+    # two larger partners meet in the band above; keys of two bands are equal by chance only
+    good = (home[i] | home[j]) & (bands[i] == bands[j]) & (4 * np.minimum(size_i, size_j) >= 3 * np.maximum(size_i, size_j))
+    i, j, shared, apart = i[good], j[good], shared[good], ((size_i + size_j) // 7)[good]
+    swap = names[i] > names[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    cells = head["cells"].astype(np.int64)
+    out = [pd.DataFrame({"kind": _PAIR, "a": names[i], "b": names[j], "band": bands[i], "n": shared, "need_a": cells[i] - apart, "need_b": cells[j] - apart})]
     hot, hot_size = at[size > HOT], size[size > HOT]
     if len(hot):
         inside = np.repeat(size > HOT, size)
         count = np.bincount(who[inside], minlength=len(head))
         some = np.flatnonzero(count)
-        out.append(pd.DataFrame({"kind": _COUNT, "a": names[some], "b": head["slack"][some], "band": head["band"][some], "n": count[some]}))
+        out.append(pd.DataFrame({"kind": _COUNT, "a": names[some], "b": (cells - head["size"] // 3)[some], "band": bands[some], "n": count[some], "need_a": 0, "need_b": 0}))
         member = who[inside]
         start = np.concatenate(([0], np.cumsum(hot_size)[:-1]))
-        group = np.add.reduceat(mix(names[member].view(U) + head["band"][member].astype(U)), start)
-        group, one = np.unique(group, return_index=True)
-        member = np.concatenate([member[start[k] : start[k] + hot_size[k]] for k in one])
-        out.append(pd.DataFrame({"kind": _MEMBER, "a": np.repeat(group.view(np.int64), hot_size[one]), "b": names[member], "band": head["band"][member], "n": 0}))
-    types = {"kind": "int32", "a": "int64", "b": "int64", "band": "int32", "n": "int32"}
+        group = np.add.reduceat(mix(names[member].view(U) + bands[member].view(U)), start)
+        some_home = np.logical_or.reduceat(home[member], start)
+        group, one = np.unique(np.where(some_home, group, U(0)), return_index=True)
+        group, one = group[group != 0], one[group != 0]
+        member = np.concatenate([member[:0], *(member[start[k] : start[k] + hot_size[k]] for k in one)])
+        out.append(pd.DataFrame({"kind": _MEMBER, "a": np.repeat(group.view(np.int64), hot_size[one]), "b": names[member], "band": bands[member], "n": head["size"][member], "need_a": 0, "need_b": 0}))
+    types = {"kind": "int32", "a": "int64", "b": "int64", "band": "int32", "n": "int32", "need_a": "int32", "need_b": "int32"}
     return pa.Table.from_pandas(pd.concat(out).astype(types), preserve_index=False)
 
 
@@ -176,44 +189,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.where(100 * common >= similarity * (F.size("left_tokens") + F.size("right_tokens") - common)).select("a", "b")
 
 
+def _spanning(pairs: DataFrame, done: DataFrame | None, sets: DataFrame, similarity: int) -> DataFrame:
+    """`done` and links among `pairs`, as many as connect what the pairs connect: each set is compared with its first partner, then pairs whose ends aren't connected yet."""
+    pairs = cut(pairs)
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    new = _verified(first, sets, similarity)
+    done = cut(new if done is None else done.union(new))
+    label = connected(done)
+    ends = {side: label.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")) for side in "ab"}
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(ends["a"], "a", "left").join(ends["b"], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    return cut(done.union(_verified(rest.select("a", "b"), sets, similarity)))
+
+
 def links(docs: DataFrame, info: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = 75) -> DataFrame:
     """Spanning links (a, b) between classes: two classes are connected by them if and only if a chain of linked texts connects them. info: `classes(docs)`."""
     total = info.where("n_shingles > 0").agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     buckets = max(8, -(-int(total) // KEYS_PER_BUCKET))
     found = cut(_sketches(docs, text, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _meet(t), _FOUND))
-    pairs = found.where(F.col("kind") == _PAIR).select("a", "b").distinct()
-    bound = found.where(F.col("kind") == _COUNT).groupBy("a", "band").agg(F.sum("n").alias("n"), F.max("b").alias("slack")).where("slack - n < 1")
-    members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("group"), F.col("b").alias("a"), "band").join(bound.select("a", "band"), ["a", "band"], "left_semi").select("group", "a").distinct()
+    hot = cut(found.where(F.col("kind") == _COUNT).groupBy("a", "band").agg(F.sum("n").alias("hot"), F.max("b").alias("slack")))
+    pairs = found.where(F.col("kind") == _PAIR).groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("need_a").alias("need_a"), F.max("need_b").alias("need_b"))
+    # of the cells that linked sets share, so many aren't frequent at least
+    for side in "ab":
+        pairs = pairs.join(hot.select(F.col("a").alias(side), "band", F.col("hot").alias(f"hot_{side}")), [side, "band"], "left").where(F.col("n") + F.coalesce(f"hot_{side}", F.lit(0)) >= F.col(f"need_{side}"))
+    pairs = cut(pairs.select("a", "b").distinct())
+    bound = hot.where("slack - hot < 1")
+    members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("group"), F.col("b").alias("a"), "band", "n").join(bound.select("a", "band"), ["a", "band"], "left_semi").select("group", "a", F.col("n").alias("size")).distinct()
     members = cut(members)
     some = pairs.select("a").union(pairs.select("b")).union(members.select("a")).distinct()
     reps = info.where("class != 0").groupBy("class").agg(F.min("id").alias("id")).join(some.toDF("class"), "class", "left_semi")
     sets = cut(_shingles(semi(docs, reps.select("id"), doc_id), text).join(some.toDF("class"), "class", "left_semi").dropDuplicates(["class"]))
-    done = cut(_verified(pairs, sets, similarity))
+    done = _spanning(pairs, None, sets, similarity)
     first, count = 0, 1
     while not members.isEmpty():
         label = connected(done)
-        now = members.join(label, members["a"] == label["node"], "left").select("group", "a", F.coalesce("root", "a").alias("root"))
+        now = members.join(label, members["a"] == label["node"], "left").select("group", "a", "size", F.coalesce("root", "a").alias("root"))
         # groups that are one component by now need no more comparisons
-        open_ = now.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi").where(F.col("size") > first)
+        open_ = now.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").where(F.col("n") > first)
         now = cut(now.join(open_.select("group"), "group", "left_semi"))
         if now.isEmpty():
             break
-        members = now.select("group", "a")
+        members = now.select("group", "a", "size")
         lead = _nth(now, first, count)
-        new = now.join(lead, "group").where((F.col("root") != F.col("lead_root")) & (F.col("a") != F.col("lead"))).select(F.least("a", "lead").alias("a"), F.greatest("a", "lead").alias("b")).distinct()
-        done = cut(done.union(_verified(new, sets, similarity)).distinct())
-        first, count = first + count, count * 2
+        new = now.join(lead, "group").where((F.col("root") != F.col("lead_root")) & (4 * F.least("size", "lead_size") >= 3 * F.greatest("size", "lead_size"))).select(F.least("a", "lead").alias("a"), F.greatest("a", "lead").alias("b")).distinct()
+        done = _spanning(new, done, sets, similarity)
+        first, count = first + count, count * 16
     return done
 
 
 def _nth(rows: DataFrame, first: int, count: int) -> DataFrame:
-    """(group, lead, lead_root): members number first to first + count of each group, by a; found by that many passes of a minimum, or by a window when many."""
+    """(group, lead, lead_root, lead_size): members number first to first + count of each group, by a."""
     if first == 0:
-        return rows.groupBy("group").agg(F.min(F.struct("a", "root")).alias("x")).select("group", F.col("x.a").alias("lead"), F.col("x.root").alias("lead_root"))
-    from pyspark.sql import Window
-
+        return rows.groupBy("group").agg(F.min(F.struct("a", "root", "size")).alias("x")).select("group", F.col("x.a").alias("lead"), F.col("x.root").alias("lead_root"), F.col("x.size").alias("lead_size"))
     at = F.row_number().over(Window.partitionBy("group").orderBy("a"))
-    return rows.withColumn("at", at).where(F.col("at").between(first + 1, first + count)).select("group", F.col("a").alias("lead"), F.col("root").alias("lead_root"))
+    return rows.withColumn("at", at).where(F.col("at").between(first + 1, first + count)).select("group", F.col("a").alias("lead"), F.col("root").alias("lead_root"), F.col("size").alias("lead_size"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = 75) -> DataFrame:
