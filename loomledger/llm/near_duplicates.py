@@ -29,6 +29,8 @@ from .words import U, Words, chunks, mix, shingle_sets
 
 RATIO = 4 / 3
 HOT = 8
+#: Groups of at most so many sets compare all of them at once; larger ones go in rounds.
+FEW = 16
 #: Sets under this size take each token as a cell of its own.
 SMALL = 64
 KEYS_PER_BUCKET = 2_000_000
@@ -189,20 +191,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.where(100 * common >= similarity * (F.size("left_tokens") + F.size("right_tokens") - common)).select("a", "b")
 
 
-def _spanning(pairs: DataFrame, done: DataFrame | None, sets: DataFrame, similarity: int) -> DataFrame:
-    """`done` and links among `pairs`, as many as connect what the pairs connect: each set is compared with its first partner, then pairs whose ends aren't connected yet."""
+def _joined(label: DataFrame | None, new: DataFrame) -> DataFrame:
+    """`label` (node, root) after some more links; only links between components are followed."""
+    if label is None:
+        return connected(new)
+    root = {s: label.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"}
+    cross = new.join(root["a"], "a", "left").join(root["b"], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a != b")
+    cross = cut(cross)
+    if cross.isEmpty():
+        return label
+    up = connected(cross)
+    moved = label.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return cut(moved.union(up).distinct())
+
+
+def _grown(label: DataFrame | None, pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """`label` after the links among `pairs`: each set is compared with its first partner, then the pairs whose ends aren't connected yet."""
     pairs = cut(pairs)
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    new = _verified(first, sets, similarity)
-    done = cut(new if done is None else done.union(new))
-    label = connected(done)
-    ends = {side: label.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")) for side in "ab"}
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(ends["a"], "a", "left").join(ends["b"], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    return cut(done.union(_verified(rest.select("a", "b"), sets, similarity)))
+    label = _joined(label, _verified(first, sets, similarity))
+    root = {s: label.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"}
+    rest = cut(pairs.join(first, ["a", "b"], "left_anti").join(root["a"], "a", "left").join(root["b"], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    return label if rest.isEmpty() else _joined(label, _verified(rest, sets, similarity))
 
 
 def links(docs: DataFrame, info: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = 75) -> DataFrame:
-    """Spanning links (a, b) between classes: two classes are connected by them if and only if a chain of linked texts connects them. info: `classes(docs)`."""
+    """(node, root) of every class that is linked with another: classes have one root if and only if a chain of linked texts connects them. info: `classes(docs)`."""
     total = info.where("n_shingles > 0").agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     buckets = max(8, -(-int(total) // KEYS_PER_BUCKET))
     found = cut(_sketches(docs, text, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _meet(t), _FOUND))
@@ -211,29 +225,34 @@ def links(docs: DataFrame, info: DataFrame, doc_id: str = "doc_id", text: str =
     # of the cells that linked sets share, so many aren't frequent at least
     for side in "ab":
         pairs = pairs.join(hot.select(F.col("a").alias(side), "band", F.col("hot").alias(f"hot_{side}")), [side, "band"], "left").where(F.col("n") + F.coalesce(f"hot_{side}", F.lit(0)) >= F.col(f"need_{side}"))
-    pairs = cut(pairs.select("a", "b").distinct())
+    pairs = pairs.select("a", "b").distinct()
     bound = hot.where("slack - hot < 1")
-    members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("group"), F.col("b").alias("a"), "band", "n").join(bound.select("a", "band"), ["a", "band"], "left_semi").select("group", "a", F.col("n").alias("size")).distinct()
-    members = cut(members)
-    some = pairs.select("a").union(pairs.select("b")).union(members.select("a")).distinct()
+    members = cut(found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("group"), F.col("b").alias("a"), "band", F.col("n").alias("size")).join(bound.select("a", "band"), ["a", "band"], "left_semi").select("group", "a", "size").distinct())
+    # of groups with the same members one is enough
+    groups = members.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a").cast("decimal(38,0)")).alias("h")).where("n > 1").groupBy("n", "h").agg(F.min("group").alias("group"))
+    members = cut(members.join(groups.select("group", "n"), "group"))
+    few = members.where(F.col("n") <= FEW)
+    other = few.select("group", F.col("a").alias("b"), F.col("size").alias("size_b"))
+    small = few.join(other, "group").where("a < b and 4 * least(size, size_b) >= 3 * greatest(size, size_b)").select("a", "b")
+    members = members.where(F.col("n") > FEW).drop("n")
+    pairs = cut(pairs.union(small).distinct())
+    some = cut(pairs.select("a").union(pairs.select("b")).union(members.select("a")).distinct())
     reps = info.where("class != 0").groupBy("class").agg(F.min("id").alias("id")).join(some.toDF("class"), "class", "left_semi")
     sets = cut(_shingles(semi(docs, reps.select("id"), doc_id), text).join(some.toDF("class"), "class", "left_semi").dropDuplicates(["class"]))
-    done = _spanning(pairs, None, sets, similarity)
+    label = _grown(None, pairs, sets, similarity)
     first, count = 0, 1
-    while not members.isEmpty():
-        label = connected(done)
+    while True:
         now = members.join(label, members["a"] == label["node"], "left").select("group", "a", "size", F.coalesce("root", "a").alias("root"))
         # groups that are one component by now need no more comparisons
         open_ = now.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").where(F.col("n") > first)
         now = cut(now.join(open_.select("group"), "group", "left_semi"))
         if now.isEmpty():
-            break
+            return label
         members = now.select("group", "a", "size")
         lead = _nth(now, first, count)
         new = now.join(lead, "group").where((F.col("root") != F.col("lead_root")) & (4 * F.least("size", "lead_size") >= 3 * F.greatest("size", "lead_size"))).select(F.least("a", "lead").alias("a"), F.greatest("a", "lead").alias("b")).distinct()
-        done = _spanning(new, done, sets, similarity)
+        label = _grown(label, new, sets, similarity)
         first, count = first + count, count * 16
-    return done
 
 
 def _nth(rows: DataFrame, first: int, count: int) -> DataFrame:
@@ -252,7 +271,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if similarity < 75:
         raise ValueError("the size bands hold for similarities of 75 hundredths or more")
     info = cut(classes(docs, doc_id, text))
-    root = connected(links(docs, info, doc_id, text, similarity))
+    root = links(docs, info, doc_id, text, similarity)
     known = info.join(root, info["class"] == root["node"], "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "class")).alias("root"))
     least = known.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     out = known.join(least, "root", "left").select(F.col("id").alias(doc_id), "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
