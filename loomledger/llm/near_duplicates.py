@@ -28,7 +28,7 @@ from .components import connected
 from .words import U, Words, chunks, mix, shingle_sets
 
 RATIO = 4 / 3
-HOT = 8
+HOT = 16
 #: Groups of at most so many sets compare all of them at once; larger ones go in rounds.
 FEW = 16
 #: Sets under this size take each token as a cell of its own.
@@ -86,7 +86,7 @@ def _sketches(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     """Rows (bucket, head, keys): the sketch keys that fall in a bucket, of many texts in a row. head: class, band, size and cells of each sketch."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches, "text", 8 << 20):
+        for _, texts in chunks(batches, "text"):
             heads: list[tuple] = []
             keys = []
             for tokens in shingle_sets(Words(texts)):
@@ -115,7 +115,7 @@ def _sketches(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(one, "bucket long, head binary, n binary, keys binary")
 
 
-#: Pairs: classes, band, shared rare keys, and how many cells a and b must share. Counts: class, its cells less d, band, its frequent keys. Members: group, class, band, size.
+#: Pairs: classes, band, shared rare keys, and how many cells a and b must share. Counts: class, its cells less d, band, its frequent keys. Members: group, class, band, size, how many keys the group stands for, and its members.
 _FOUND = "kind int, a long, b long, band int, n int, need_a int, need_b int"
 
 
@@ -162,10 +162,10 @@ def _meet(table: pa.Table) -> pa.Table:
         start = np.concatenate(([0], np.cumsum(hot_size)[:-1]))
         group = np.add.reduceat(mix(names[member].view(U) + bands[member].view(U)), start)
         some_home = np.logical_or.reduceat(home[member], start)
-        group, one = np.unique(np.where(some_home, group, U(0)), return_index=True)
-        group, one = group[group != 0], one[group != 0]
+        group, one, times = np.unique(np.where(some_home, group, U(0)), return_index=True, return_counts=True)
+        one, times, group = one[group != 0], times[group != 0], group[group != 0]
         member = np.concatenate([member[:0], *(member[start[k] : start[k] + hot_size[k]] for k in one)])
-        out.append(pd.DataFrame({"kind": _MEMBER, "a": np.repeat(group.view(np.int64), hot_size[one]), "b": names[member], "band": bands[member], "n": head["size"][member], "need_a": 0, "need_b": 0}))
+        out.append(pd.DataFrame({"kind": _MEMBER, "a": np.repeat(group.view(np.int64), hot_size[one]), "b": names[member], "band": bands[member], "n": head["size"][member], "need_a": np.repeat(times, hot_size[one]), "need_b": np.repeat(hot_size[one], hot_size[one])}))
     types = {"kind": "int32", "a": "int64", "b": "int64", "band": "int32", "n": "int32", "need_a": "int32", "need_b": "int32"}
     return pa.Table.from_pandas(pd.concat(out).astype(types), preserve_index=False)
 
@@ -227,7 +227,11 @@ def links(docs: DataFrame, info: DataFrame, doc_id: str = "doc_id", text: str =
         pairs = pairs.join(hot.select(F.col("a").alias(side), "band", F.col("hot").alias(f"hot_{side}")), [side, "band"], "left").where(F.col("n") + F.coalesce(f"hot_{side}", F.lit(0)) >= F.col(f"need_{side}"))
     pairs = pairs.select("a", "b").distinct()
     bound = hot.where("slack - hot < 1")
-    members = cut(found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("group"), F.col("b").alias("a"), "band", F.col("n").alias("size")).join(bound.select("a", "band"), ["a", "band"], "left_semi").select("group", "a", "size").distinct())
+    members = found.where(F.col("kind") == _MEMBER).join(bound.select(F.col("a").alias("b"), "band"), ["b", "band"], "left_semi").groupBy("a", "b", "band").agg(F.sum("need_a").alias("keys"), F.max("need_b").alias("many"), F.max("n").alias("size"))
+    # h - d of the h frequent keys of a set are shared by any linked one: among its d + 1 rarest is one of them
+    before = F.coalesce(F.sum("keys").over(Window.partitionBy("b", "band").orderBy("many", "a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    members = members.withColumn("before", before).where(F.col("before") <= F.floor(F.col("size") / 3)).select(F.col("a").alias("group"), F.col("b").alias("a"), "size").distinct()
+    members = cut(members)
     # of groups with the same members one is enough
     groups = members.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a").cast("decimal(38,0)")).alias("h")).where("n > 1").groupBy("n", "h").agg(F.min("group").alias("group"))
     members = cut(members.join(groups.select("group", "n"), "group"))
