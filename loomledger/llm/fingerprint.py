@@ -159,7 +159,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [0.5], 10 * parts).alias("x")).first()["x"] or []
-    splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    splits = [-float("inf"), *(sorted({float(c) for c in cuts}) or [0.0]), float("inf")]
     place = Bucketizer(splits=splits, inputCol="x", outputCol="at")
     dealt = place.transform(rows.withColumn("x", F.col("id").cast("double"))).withColumn("at", F.col("at").cast("int")).drop("x")
     ends = sorted((r["at"], r["id"], r["n"]) for r in place.transform(rows.select("id", F.col("id").cast("double").alias("x"))).groupBy(F.col("at").cast("int").alias("at")).agg(F.max("id").alias("id"), F.count("*").alias("n")).collect())
