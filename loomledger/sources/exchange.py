@@ -53,7 +53,9 @@ def csv_lines(spark: SparkSession, path: str, columns: list[str], delimiter: str
     """A CSV file with all values as text, row_number from 1 in file order, and surplus: whether a row has more values than the header (short rows are padded)."""
     schema = T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField("_corrupt", T.StringType())])
     raw = spark.read.schema(schema).option("header", True).option("sep", delimiter).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
-    tokens = F.size(F.split("_corrupt", f'\\Q{delimiter}\\E(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
+    # Spark won't read the corrupt text alone: the first column goes along
+    line = F.concat("_corrupt", F.coalesce(F.substring(columns[0], 1, 0), F.lit("")))
+    tokens = F.size(F.split(line, f'\\Q{delimiter}\\E(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
     raw = raw.withColumn("surplus", F.coalesce(tokens > len(columns), F.lit(False))).drop("_corrupt").withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
     before = raw.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     base = F.shiftleft(F.col("_part").cast("long"), 33)
