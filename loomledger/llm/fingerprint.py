@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,7 +127,7 @@ _OUT = (("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.st
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by bucket and falling id, a bucket's guest last; each row is compared with the one after it."""
     last, out = None, []
-    for batch in batches:
+    for batch in (whole.slice(at, 256) for whole in batches for at in range(0, len(whole), 256)):
         for at, guest, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("at", "guest", "id", "text")), strict=True):
             text = text or ""
             keys = digests(text)
@@ -155,6 +154,8 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     The ids are cut into as many ranges as there are shuffle partitions; each range is one sorted stretch of the order, and the first document of the stretch after it comes along as a guest. So texts are shuffled once and nothing but a few ids (two per partition) reaches the driver. Null texts count as empty. Rows without an id are left out, having no place in the order; of repeated ids each row is one, ordered by text. An empty table gives no rows; a single document is its own next.
     """
+    from pyspark.ml.feature import Bucketizer  # here: Python workers don't need it
+
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
