@@ -20,6 +20,7 @@ from .common import fresh
 
 CELLS = 8  # of each of three tables, in a fingerprint
 _MASK = (1 << 64) - 1
+_CHECK = 0xC2B2AE3D27D4EB4F
 _SPLIT = re.compile(r"\n|(?<=[.!?]) ")
 
 
@@ -41,7 +42,7 @@ def sketch(keys: list[int], cells: int = CELLS, minus: list[int] = ()) -> tuple[
     for sign, some in ((1, keys), (-1, minus)):
         for k in some:
             h = (k * (2 * cells + 0x9E3779B97F4A7C15)) & _MASK
-            c = h >> 48
+            c = ((k * _CHECK) & _MASK) >> 32
             for i in ((h >> 3) % cells, cells + (h >> 19) % cells, 2 * cells + (h >> 35) % cells):
                 count[i] += sign
                 key[i] ^= k
@@ -60,12 +61,14 @@ def peel(cells: int, count: list[int], key: list[int], check: list[int]) -> tupl
             continue
         k = key[i]
         h = (k * mul) & _MASK
-        c = h >> 48
+        c = ((k * _CHECK) & _MASK) >> 32
         if c != check[i]:
             continue
         places = ((h >> 3) % cells, cells + (h >> 19) % cells, 2 * cells + (h >> 35) % cells)
         if i not in places:
             continue
+        if len(one) + len(two) > 3 * cells:  # a cell that only looked like one digest set it off
+            return None
         (one if sign == 1 else two).append(k)
         for j in places:
             count[j] -= sign
@@ -73,7 +76,7 @@ def peel(cells: int, count: list[int], key: list[int], check: list[int]) -> tupl
             check[j] ^= c
             if count[j] == 1 or count[j] == -1:
                 todo.append(j)
-    return None if any(count) or any(key) else (one, two)
+    return None if any(count) or any(key) or any(check) else (one, two)
 
 
 def difference(a: list[int], b: list[int], base: tuple | None = None) -> tuple[list[int], list[int]]:
@@ -102,7 +105,7 @@ def likeness(a: list[int], b: list[int], base: tuple | None = None) -> float:
 
 def written(n: int, s: tuple[list[int], list[int], list[int]]) -> str:
     """A sketch of n digests as text."""
-    raw = np.array([n], dtype="<u4").tobytes() + (np.array(s[0]) & 0xFFFF).astype("<u2").tobytes() + np.array(s[1], dtype="<u8").tobytes() + np.array(s[2], dtype="<u2").tobytes()
+    raw = np.array([n], dtype="<u4").tobytes() + (np.array(s[0]) & 0xFFFF).astype("<u2").tobytes() + np.array(s[1], dtype="<u8").tobytes() + np.array(s[2], dtype="<u4").tobytes()
     return base64.b64encode(raw).decode()
 
 
