@@ -32,7 +32,8 @@ def digests(text: str) -> list[int]:
         if part:
             n = seen.get(part, 0)
             seen[part] = n + 1
-            out.append(xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), n))
+            # not as the seed: for a few bytes that collides
+            out.append(xxhash.xxh3_64_intdigest(f"{n} {part}".encode("utf-8", "surrogatepass")))
     return out
 
 
