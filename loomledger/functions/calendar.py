@@ -26,3 +26,8 @@ def week_pick(seed: str, day: Column) -> Column:
     """The ISO weekday (1 to 7) that a seed picks in the day's ISO week."""
     text = F.concat_ws(":", F.lit(seed), F.extract(F.lit("YEAROFWEEK"), day).cast("string"), F.weekofyear(day).cast("string"))
     return F.conv(F.substring(F.sha2(text, 256), 1, 2), 16, 10).cast("int") % 7 + 1
+
+
+def at_hour(day: str, hour: int) -> Column:
+    """A date's timestamp at a full hour."""
+    return F.col(day).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(hour))

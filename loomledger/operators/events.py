@@ -85,3 +85,10 @@ def watermark_gate(runs: DataFrame, systems: int) -> DataFrame:
     start = F.min("business_date").over(Window.orderBy(F.lit(1)))
     step = F.datediff("business_date", start) - F.row_number().over(Window.orderBy("business_date")) + 1
     return days.select("business_date", before.alias("full"), step.alias("gap")).where("full = 1 and gap = 0").select("business_date")
+
+
+def case_due(deliveries: DataFrame, cases: DataFrame, as_of: str, open_days: int = 1, resolve_days: int = 2, close_days: int = 1) -> DataFrame:
+    """(id, stage): cases to open after a delivery (id, delivered_on), to resolve and to close (cases: id, opened_on, resolved_on, closed_on) by a date."""
+    opened, resolved, closed = (cases.where(f"{c} is not null") for c in ("opened_on", "resolved_on", "closed_on"))
+    steps = ((deliveries, opened, "delivered_on", open_days, "open"), (opened, resolved, "opened_on", resolve_days, "resolve"), (resolved, closed, "resolved_on", close_days, "close"))
+    return reduce(DataFrame.union, (handoff_due(up, done, "id", at, days, as_of).select("id", F.lit(stage).alias("stage")) for up, done, at, days, stage in steps))

@@ -111,3 +111,40 @@ def append_history(existing: DataFrame, new: DataFrame, event_id: str, entity: s
     """Existing rows and new ones of entities without any history, whose event ids are new."""
     fresh = new.join(existing.select(entity).distinct(), entity, "left_anti").join(existing.select(event_id), event_id, "left_anti").dropDuplicates([event_id])
     return existing.unionByName(fresh)
+
+
+def fold_status(events: DataFrame, entity: str, stages: list[tuple[str, str]]) -> DataFrame:
+    """(entity, status, updated_at, one column per stage with its first time) from events (entity, kind, at); stages: (kind, status) in order. The status is that of the last stage reached without a gap; entities whose first stage is missing have none."""
+    wide = events.groupBy(entity).agg(*(F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"{k}_at") for k, _ in stages))
+    status, updated, reached = F.lit(None).cast("string"), F.lit(None).cast("timestamp_ntz"), F.lit(True)
+    for k, s in stages:
+        reached = reached & F.col(f"{k}_at").isNotNull()
+        status, updated = F.when(reached, s).otherwise(status), F.when(reached, F.col(f"{k}_at")).otherwise(updated)
+    return wide.select(entity, status.alias("status"), updated.alias("updated_at"), *(f"{k}_at" for k, _ in stages))
+
+
+def stage_history(versions: DataFrame, entity: str, state: str, *order: str) -> DataFrame:
+    """Versions that create an entity or change its state, with the state before."""
+    before = F.lag(state).over(Window.partitionBy(entity).orderBy(*order))
+    first = F.row_number().over(Window.partitionBy(entity).orderBy(*order)) == 1
+    return versions.withColumn("previous", before).withColumn("_first", first).where(F.col("_first") | ~F.col(state).eqNullSafe(F.col("previous"))).drop("_first")
+
+
+def stage_history_check(expected: DataFrame, actual: DataFrame, id: str, entity: str, state: str, at: str, first: str, last: str) -> DataFrame:
+    """(rule, violations) of a published history against the expected rows: one outer join by id. Both have id, entity, previous, state and at."""
+    names = [entity, "previous", state, at]
+    both = expected.select(id, F.lit(True).alias("_expected"), *(F.col(c).alias(f"e_{c}") for c in names)).join(actual.groupBy(id).agg(F.count("*").alias("_n"), *(F.min(c).alias(f"a_{c}") for c in names)), id, "full")
+    e, a = F.col("_expected").isNotNull(), F.col("_n").isNotNull()
+    rules = {
+        "duplicate_id": F.col("_n") > 1,
+        "missing_id": e & ~a,
+        "unexpected_id": a & ~e,
+        "wrong_entity": e & a & ~F.col(f"e_{entity}").eqNullSafe(F.col(f"a_{entity}")),
+        "wrong_state": e & a & ~F.col(f"e_{state}").eqNullSafe(F.col(f"a_{state}")),
+        "wrong_time": e & a & ~F.col(f"e_{at}").eqNullSafe(F.col(f"a_{at}")),
+        "wrong_previous": e & a & ~F.col("e_previous").eqNullSafe(F.col("a_previous")),
+        "no_change": a & (F.col("a_previous") == F.col(f"a_{state}")),
+        "outside_partition": a & ~F.to_date(f"a_{at}").between(F.lit(first).cast("date"), F.lit(last).cast("date")),
+    }
+    one = both.agg(*(F.count_if(r).alias(k) for k, r in rules.items()))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("violations")) for k in rules))))

@@ -88,3 +88,21 @@ def reconcile(planned: DataFrame, applied: dict[str, tuple[DataFrame, str]], id:
 def grain_dedup(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in a total order."""
     return df.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in df.columns if c not in keys)), F.struct(*order)).alias("row")).select(*keys, "row.*")
+
+
+def ledger_changes(before: DataFrame, after: DataFrame, id: str) -> DataFrame:
+    """(id, change) of rows of an append-only ledger that a later snapshot deleted or changed; new rows are fine."""
+    columns = [c for c in before.columns if c != id]
+    old = before.select(id, F.struct(*columns).alias("old"))
+    both = old.join(after.select(id, F.struct(*columns).alias("new"), F.lit(True).alias("there")), id, "left")
+    change = F.when(F.col("there").isNull(), "deleted").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
+    return both.select(id, change.alias("change")).where("change is not null")
+
+
+def table_status(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n_rows, bytes) of file tables; reads footers and file metadata only."""
+    one = []
+    for name, df in tables.items():
+        files = df.groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count("*").alias("n"))
+        one.append(files.agg(F.sum("n").alias("n_rows"), F.sum("file_size").alias("bytes")).select(F.lit(name).alias("table_name"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("bytes", F.lit(0)).alias("bytes")))
+    return reduce(DataFrame.union, one)

@@ -9,6 +9,7 @@ from loomledger.operators import object_query as oq
 from loomledger.operators import quality as q
 from loomledger.operators import versions as v
 from loomledger.operators.events import apply_patches, hold_and_release, idempotent_apply
+from loomledger.operators.metrics import mix_shift
 from loomledger.sources.exchange import ObjectSpec, csv_ingest, csv_lines, export_parts, export_window, publish_delta, scan_object, snapshot_fingerprint
 from loomledger.streaming import streams
 
@@ -153,3 +154,25 @@ def test_registry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100
+
+
+def test_folds_and_published_history(spark):
+    t = lambda day: dt.datetime(2024, 1, day)
+    e = spark.createDataFrame([(1, "order", t(1)), (1, "invoice", t(3)), (2, "order", t(1)), (2, "order", t(2)), (2, "shipment", t(4)), (3, "shipment", t(1))], "id long, kind string, at timestamp_ntz")
+    f = lc.fold_status(e, "id", [("order", "PENDING"), ("shipment", "SHIPPED"), ("invoice", "INVOICED")])
+    assert {r["id"]: (r["status"], r["updated_at"]) for r in f.collect()} == {1: ("PENDING", t(1)), 2: ("SHIPPED", t(4)), 3: (None, None)}
+    v = spark.createDataFrame([(1, 7, "a", t(1)), (2, 7, "a", t(2)), (3, 7, "b", t(3)), (4, 8, None, t(1))], "e long, id long, stage string, at timestamp_ntz")
+    h = lc.stage_history(v, "id", "stage", "at")
+    assert {(r["e"], r["previous"]) for r in h.collect()} == {(1, None), (3, "a"), (4, None)}
+    found = lambda actual: {r[0]: r[1] for r in lc.stage_history_check(h, actual, "e", "id", "stage", "at", "2024-01-01", "2024-01-02").collect() if r[1]}
+    assert found(h) == {"outside_partition": 1}
+    assert found(h.where("e < 3").union(h.where("e = 1"))) == {"duplicate_id": 1, "missing_id": 2}
+
+
+def test_ledger_changes_and_mix_shift(spark):
+    old = spark.createDataFrame([(1, 5), (2, None), (3, 7)], "id long, x long")
+    new = spark.createDataFrame([(1, 6), (2, None), (4, 1)], "id long, x long")
+    assert {tuple(r) for r in q.ledger_changes(old, new, "id").collect()} == {(1, "changed"), (3, "deleted")}
+    p = lambda *rows: spark.createDataFrame(rows, "s string, r double, m double")
+    got = {r[0]: r[1:] for r in mix_shift(p(("a", 50.0, 25.0), ("b", 50.0, 10.0)), p(("a", 75.0, 37.5), ("c", 25.0, 5.0)), "s", "r", "m").collect()}
+    assert got["a"] == (0.125, 0.0) and got["b"] == pytest.approx((-0.1, 0.0)) and got["c"] == pytest.approx((0.0, 0.05))
