@@ -11,24 +11,21 @@ from .common import cut
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of `edges` (two columns of longs); root: the smallest node of its component.
 
-    Each step sends a node's larger neighbours to the smallest one, so the edges never grow in number; it ends when the edges stay as they are.
+    Each step sends a node's larger neighbours to the smallest one, so the edges never grow in number; it ends when every component is a star around its smallest node.
     """
     a, b = edges.columns
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
-    state = _state(now)
-    while state[0]:
+    while not _stars(now):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         now = cut(small)
-        last, state = state, _state(now)
-        if last == state:
-            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return r["n"], r["s"]
+def _stars(edges: DataFrame) -> bool:
+    """Whether each larger end has one edge and is no smaller end of another."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()

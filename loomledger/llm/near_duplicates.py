@@ -5,7 +5,7 @@ A text is the set of its distinct five-word shingles (64-bit hashes). Two texts
 * **Sketch.** For a size band, the token space is cut into m cells and every token is XORed into its cell. A token that only one of two sets has changes one cell at most, so the number of cells that differ (the Hamming distance of the sketches) is at most the symmetric difference d, and d <= (a + b) / 7 for linked sets of sizes a and b.
 * **Size bands.** Linked sizes differ by 4/3 at most, so with band(a) = floor(log(a) / log(4/3)) they lie in the same band or in adjacent ones. A set is sketched for its band and, as the possibly larger partner, for the one below.
 * **Pigeonhole.** Let s be the cells of A that aren't zero. s - d of them at least are equal in B. With m at half the largest size of the band, s > d holds but for rare sets, which emit their zero cells too (m > d always). So linked sets share a key (band, cell, value).
-* **Frequent keys.** A key of more than `HOT` sets isn't needed by a set that keeps more than d other cells. Rarer keys give all their (few) pairs. Only sets that consist of frequent keys nearly alone meet through them, in rounds: the first sets of a key are compared with all others, then 16 times as many, until the sets of each key are one component or all were compared. No pair is lost, and groups of near copies cost about one comparison a member.
+* **Frequent keys.** A key of more than `HOT` sets isn't needed by a set that keeps more than d other cells. Rarer keys give all their (few) pairs. Only sets that consist of frequent keys nearly alone meet through them, in rounds: the first sets of a key are compared with all others, then `WIDER` times as many, until the sets of each key are one component or all were compared. No pair is lost, and groups of near copies cost about one comparison a member.
 * **Count.** The keys that a pair shares are counted over all buckets, and pairs that share fewer than s - d (less the frequent ones) go.
 * **Verify.** What is left is compared on their full shingle sets.
 
@@ -33,6 +33,8 @@ HOT = 16
 FEW = 16
 #: Sets under this size take each token as a cell of its own.
 SMALL = 64
+#: How many more sets of a group are compared with all others in each round.
+WIDER = 64
 KEYS_PER_BUCKET = 2_000_000
 
 _PAIR, _COUNT, _MEMBER = 0, 1, 2
@@ -256,7 +258,7 @@ def links(docs: DataFrame, info: DataFrame, doc_id: str = "doc_id", text: str =
         lead = _nth(now, first, count)
         new = now.join(lead, "group").where((F.col("root") != F.col("lead_root")) & (4 * F.least("size", "lead_size") >= 3 * F.greatest("size", "lead_size"))).select(F.least("a", "lead").alias("a"), F.greatest("a", "lead").alias("b")).distinct()
         label = _grown(label, new, sets, similarity)
-        first, count = first + count, count * 16
+        first, count = first + count, count * WIDER
 
 
 def _nth(rows: DataFrame, first: int, count: int) -> DataFrame:
