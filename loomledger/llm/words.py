@@ -87,7 +87,7 @@ def shingle_sets(words: Words, n: int = 5) -> Iterator[np.ndarray]:
     w, first = words.hash, words.first
     whole = np.zeros(max(0, len(w) - n + 1), dtype=U)
     for k in range(n):
-        whole = whole * U(_P) + w[k : len(w) - n + 1 + k]
+        whole = whole * U(_P) + w[k : k + len(whole)]
     whole = mix(whole + U(n))
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= n:

@@ -50,6 +50,16 @@ def test_words():
         assert len(s) == len({tuple(own[i : i + 5]) for i in range(len(own) - 4)} if len(own) >= 5 else {tuple(own)} if own else ())
 
 
+def test_shingles_of_short_slices(spark):
+    """Slices of few words in all: one row in each partition."""
+    for n in range(7):
+        (own,) = shingle_sets(Words([" ".join("abcdef"[:n]).encode()]))
+        assert len(own) == max(min(n, 1), n - 4)
+    rows = [(n, " ".join(f"w{k}" for k in range(n % 7))) for n in range(14)]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(14)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
