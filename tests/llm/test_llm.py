@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomledger.llm import chat, decontamination, fingerprint, line_dedup, mixing, near_duplicates, pii, quality, token_counts, toxicity
+from loomledger.llm.common import join_hot
 from loomledger.llm.words import Words, shingle_sets
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -106,6 +107,26 @@ def test_near_duplicates_hot_group(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_components(rows)
 
 
+def test_hot_join_deals_rows_alike(spark):
+    """Rows in another order, as after a lost executor, go to the same tasks; none is lost or doubled."""
+    rows = [(k % 2, k) for k in range(400)]
+    right = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "a long, v string")
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        got = []
+        for order in (rows, rows[::-1]):
+            joined = join_hot(spark.createDataFrame(order, "a long, b long").coalesce(1), right, "a", per_salt=20)
+            got.append({(r["a"], r["b"], r["v"], r["task"]) for r in joined.withColumn("task", F.spark_partition_id()).collect()})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got[0] == got[1] and {x[:3] for x in got[0]} == {(a, b, "xy"[a]) for a, b in rows} and len(got[0]) == 400
+    assert len({x[3] for x in got[0]}) > 4
+
+
 def test_decontamination(spark, docs):
     source = [t for t in texts() if t and len(words(t)) > 25]
     items = [("b1", " ".join(source[2].split()[3:20])), ("b2", "nothing of the sort"), ("b3", "One two"), (None, "x"), ("b4", None), ("b5", " ")]
