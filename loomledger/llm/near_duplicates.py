@@ -6,6 +6,7 @@ A text is the set of its distinct five-word shingles (64-bit hashes). Two texts
 * **Size bands.** Linked sizes differ by 4/3 at most, so with band(a) = floor(log(a) / log(4/3)) they lie in the same band or in adjacent ones. A set is sketched for its band and, as the possibly larger partner, for the one below.
 * **Pigeonhole.** Let s be the cells of A that aren't zero. s - d of them at least are equal in B. With m at half the largest size of the band, s > d holds but for rare sets, which emit their zero cells too (m > d always). So linked sets share a key (band, cell, value).
 * **Frequent keys.** A key of more than `HOT` sets isn't needed by a set that keeps more than d other cells. Rarer keys give all their (few) pairs. Only sets that consist of frequent keys nearly alone meet through them, in rounds: the first sets of a key are compared with all others, then `WIDER` times as many, until the sets of each key are one component or all were compared. No pair is lost, and groups of near copies cost about one comparison a member.
+* **Skew.** One row of each class is sketched. Keys of more than about `HEAVY` sets, found on a sample of classes, don't go to a bucket by key: their sets do, dealt by class, and what a key has in all is added up by Spark aggregates. Which keys count as frequent changes the work, not the result.
 * **Count.** The keys that a pair shares are counted over all buckets, and pairs that share fewer than s - d (less the frequent ones) go.
 * **Verify.** What is left is compared on their full shingle sets.
 
@@ -35,9 +36,12 @@ FEW = 16
 SMALL = 64
 #: How many more sets of a group are compared with all others in each round.
 WIDER = 64
+#: Keys of about so many sets, or more, aren't gathered in a bucket; of larger corpora a share of all keys, so that there are at most some 200,000 such keys.
+HEAVY = 4096
+HEAVY_SHARE = 100_000
 KEYS_PER_BUCKET = 2_000_000
 
-_PAIR, _COUNT, _MEMBER = 0, 1, 2
+_PAIR, _COUNT, _MEMBER, _HEAVY = 0, 1, 2, 3
 _HEAD = np.dtype([("class", "<i8"), ("band", "<i2"), ("size", "<i4"), ("cells", "<i4")])
 
 
@@ -84,28 +88,63 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return rows.mapInArrow(one, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, class long")
 
 
-def _sketches(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """Rows (bucket, head, keys): the sketch keys that fall in a bucket, of many texts in a row. head: class, band, size and cells of each sketch."""
+def _set_sketches(texts: list[bytes]) -> Iterator[tuple[tuple[int, int, int, int], np.ndarray]]:
+    """(class, band, size, cells) and the keys of each sketch of the texts."""
+    for tokens in shingle_sets(Words(texts)):
+        if len(tokens):
+            top, name = band(len(tokens)), digest(tokens)
+            for level in (top, top - 1) if top else (0,):
+                own, cells = cell_keys(tokens, level)
+                yield (name, level, len(tokens), cells), own
+
+
+def _short(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of a key and its name there."""
+    return ((key & U(0xFFFFFFFF)) * U(buckets)) >> U(32), (key >> U(32)).astype(np.uint32)
+
+
+def _heavy_keys(docs: DataFrame, one: DataFrame, doc_id: str, text: str, total: int, buckets: int) -> np.ndarray:
+    """Sorted keys (bucket, then name) that about `HEAVY` sets have, or more: those that 8 classes of a sample have in which 16 of so many are expected. It's at most a few hundred thousand."""
+    rate = max(1, max(HEAVY, total // HEAVY_SHARE) // 16)
+    some = one.where(F.pmod("class", F.lit(rate)) == 0)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches, "text"):
+            for (name, *_), own in _set_sketches(texts):
+                if name % rate == 0:
+                    to, short = _short(own, buckets)
+                    yield pa.RecordBatch.from_arrays([pa.array(((to << U(32)) | short.astype(U)).view(np.int64))], names=["key"])
+
+    keys = semi(docs, some.select("id"), doc_id).select(F.col(text).alias("text")).mapInArrow(sample, "key long")
+    found = keys.groupBy("key").count().where("count >= 8").select("key").collect()
+    return np.sort(np.array([r["key"] for r in found], dtype=np.int64).view(U))
+
+
+def _sketches(docs: DataFrame, text: str, buckets: int, heavy: np.ndarray) -> DataFrame:
+    """Rows (bucket, head, n, keys): the sketch keys that fall in a bucket, of many texts in a row. head: class, band, size and cells of each sketch. Buckets from `buckets` on hold the places in `heavy` of the sketches' heavy keys, by class."""
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches, "text"):
             heads: list[tuple] = []
             keys = []
-            for tokens in shingle_sets(Words(texts)):
-                if len(tokens):
-                    top, name = band(len(tokens)), digest(tokens)
-                    for level in (top, top - 1) if top else (0,):
-                        own, cells = cell_keys(tokens, level)
-                        keys.append(own)
-                        heads.append((name, level, len(tokens), cells))
+            for name, own in _set_sketches(texts):
+                heads.append(name)
+                keys.append(own)
             if not heads:
                 continue
             head = np.array(heads, dtype=_HEAD)
             owner = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
-            key = np.concatenate(keys)
-            to = ((key & U(0xFFFFFFFF)) * U(buckets)) >> U(32)
+            to, key = _short(np.concatenate(keys), buckets)
+            heavy = shared.value
+            if len(heavy):
+                full = (to << U(32)) | key.astype(U)
+                place = np.minimum(np.searchsorted(heavy, full), len(heavy) - 1)
+                is_heavy = heavy[place] == full
+                dealt = U(buckets) + mix(head["class"].astype(np.int64).view(U)) % U(buckets)
+                to, key = np.where(is_heavy, dealt[owner], to), np.where(is_heavy, place, key).astype(np.uint32)
             order = np.argsort(to.astype(np.uint32), kind="stable")
-            key, owner, to = (key[order] >> U(32)).astype(np.uint32), owner[order], to[order]
+            key, owner, to = key[order], owner[order], to[order]
             at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
             out: tuple[list, list, list, list] = ([], [], [], [])
             for a, b in zip(at.tolist(), [*at[1:].tolist(), len(to)], strict=True):
@@ -117,12 +156,13 @@ def _sketches(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(one, "bucket long, head binary, n binary, keys binary")
 
 
-#: Pairs: classes, band, shared rare keys, and how many cells a and b must share. Counts: class, its cells less d, band, its frequent keys. Members: group, class, band, size, how many keys the group stands for, and its members.
-_FOUND = "kind int, a long, b long, band int, n int, need_a int, need_b int"
+#: Pairs: classes, band, shared rare keys, and how many cells a and b must share. Counts: class, its cells less d, band, its frequent keys. Members: group, class, band, size, how many keys the group stands for, and its members. Heavy: class, its cells less d, band, its size, and its heavy keys.
+_FOUND = "kind int, a long, b long, band int, n int, need_a int, need_b int, keys array<int>"
+_TYPES = {"kind": "int32", "a": "int64", "b": "int64", "band": "int32", "n": "int32", "need_a": "int32", "need_b": "int32"}
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """What meets in a bucket: pairs of rare keys; for sketches with frequent keys how many; distinct groups of those keys with their members."""
+def _meet(table: pa.Table, buckets: int) -> pa.Table:
+    """What meets in a bucket: pairs of rare keys; for sketches with frequent keys how many; distinct groups of those keys with their members. Of a bucket of heavy keys: each sketch with its keys."""
     raw = [np.frombuffer(x, dtype=_HEAD) for x in table["head"].to_pylist()]
     head = np.concatenate(raw)
     n = np.concatenate([np.frombuffer(x, np.uint32) for x in table["n"].to_pylist()])
@@ -133,6 +173,14 @@ def _meet(table: pa.Table) -> pa.Table:
     head = head[first]
     both = np.unique((key.astype(U) << U(32)) | np.repeat(number, n).astype(U))
     key, who = (both >> U(32)).astype(np.uint32), (both & U(0xFFFFFFFF)).astype(np.int64)
+    if table["bucket"][0].as_py() >= buckets:
+        order = np.lexsort((key, who))
+        key, who = key[order].astype(np.int32), who[order]
+        end = np.cumsum(np.bincount(who, minlength=len(head)))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], end)), pa.int32()), pa.array(key))
+        size = head["size"].astype(np.int64)
+        own = pd.DataFrame({"kind": _HEAVY, "a": head["class"].astype(np.int64), "b": head["cells"] - size // 3, "band": head["band"].astype(np.int64), "n": size, "need_a": np.array([band(int(x)) for x in size]) == head["band"], "need_b": 0})
+        return pa.Table.from_pandas(own.astype(_TYPES), preserve_index=False).append_column("keys", lists)
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(at, len(key)))
     names, bands = head["class"].astype(np.int64), head["band"].astype(np.int64)
@@ -168,8 +216,18 @@ def _meet(table: pa.Table) -> pa.Table:
         one, times, group = one[group != 0], times[group != 0], group[group != 0]
         member = np.concatenate([member[:0], *(member[start[k] : start[k] + hot_size[k]] for k in one)])
         out.append(pd.DataFrame({"kind": _MEMBER, "a": np.repeat(group.view(np.int64), hot_size[one]), "b": names[member], "band": bands[member], "n": head["size"][member], "need_a": np.repeat(times, hot_size[one]), "need_b": np.repeat(hot_size[one], hot_size[one])}))
-    types = {"kind": "int32", "a": "int64", "b": "int64", "band": "int32", "n": "int32", "need_a": "int32", "need_b": "int32"}
-    return pa.Table.from_pandas(pd.concat(out).astype(types), preserve_index=False)
+    out = pa.Table.from_pandas(pd.concat(out).astype(_TYPES), preserve_index=False)
+    return out.append_column("keys", pa.nulls(len(out), pa.list_(pa.int32())))
+
+
+def _heavy_members(own: DataFrame, bound: DataFrame) -> DataFrame:
+    """Rows like _MEMBER of the heavy keys' groups, for bound sets. own: the _HEAVY rows, each set once."""
+    each = own.select("a", "band", F.col("need_a").alias("home"), F.explode("keys").alias("key"))
+    # summed in part before the shuffle: no task holds a key's sets
+    keys = each.groupBy("key").agg(F.count("*").alias("many"), F.max("home").alias("home"), F.sum(F.xxhash64("a", "band").cast("decimal(38,0)")).alias("h"))
+    groups = keys.where("home = 1 and many > 1").groupBy("many", "h").agg(F.min("key").alias("key"), F.count("*").alias("keys")).select("key", "many", F.col("keys").alias("need_a"), F.xxhash64(F.lit("heavy"), "many", "h").alias("group"))
+    mine = own.join(bound.select("a", "band"), ["a", "band"], "left_semi").select("a", "band", "n", F.explode("keys").alias("key"))
+    return mine.join(F.broadcast(groups), "key").select(F.col("group").alias("a"), F.col("a").alias("b"), "band", "n", F.col("need_a").cast("int"), F.col("many").cast("int").alias("need_b"))
 
 
 def _shingles(docs: DataFrame, text: str) -> DataFrame:
@@ -219,17 +277,22 @@ def _grown(label: DataFrame | None, pairs: DataFrame, sets: DataFrame, similarit
 
 def links(docs: DataFrame, info: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = 75) -> DataFrame:
     """(node, root) of every class that is linked with another: classes have one root if and only if a chain of linked texts connects them. info: `classes(docs)`."""
-    total = info.where("n_shingles > 0").agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
+    one = cut(info.where("class != 0").groupBy("class").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n")))
+    total = one.agg(F.sum("n").alias("n")).first()["n"] or 0
     buckets = max(8, -(-int(total) // KEYS_PER_BUCKET))
-    found = cut(_sketches(docs, text, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _meet(t), _FOUND))
-    hot = cut(found.where(F.col("kind") == _COUNT).groupBy("a", "band").agg(F.sum("n").alias("hot"), F.max("b").alias("slack")))
+    heavy = _heavy_keys(docs, one, doc_id, text, int(total), buckets)
+    found = cut(_sketches(semi(docs, one.select("id"), doc_id), text, buckets, heavy).repartition(2 * buckets if len(heavy) else buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _meet(t, buckets), _FOUND))
+    own = found.where(F.col("kind") == _HEAVY)
+    counts = found.where(F.col("kind") == _COUNT).select("a", "band", "n", "b").union(own.select("a", "band", F.size("keys").alias("n"), "b"))
+    hot = cut(counts.groupBy("a", "band").agg(F.sum("n").alias("hot"), F.max("b").alias("slack")))
     pairs = found.where(F.col("kind") == _PAIR).groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("need_a").alias("need_a"), F.max("need_b").alias("need_b"))
     # of the cells that linked sets share, so many aren't frequent at least
     for side in "ab":
         pairs = pairs.join(hot.select(F.col("a").alias(side), "band", F.col("hot").alias(f"hot_{side}")), [side, "band"], "left").where(F.col("n") + F.coalesce(f"hot_{side}", F.lit(0)) >= F.col(f"need_{side}"))
     pairs = pairs.select("a", "b").distinct()
     bound = hot.where("slack - hot < 1")
-    members = found.where(F.col("kind") == _MEMBER).join(bound.select(F.col("a").alias("b"), "band"), ["b", "band"], "left_semi").groupBy("a", "b", "band").agg(F.sum("need_a").alias("keys"), F.max("need_b").alias("many"), F.max("n").alias("size"))
+    members = found.where(F.col("kind") == _MEMBER).join(bound.select(F.col("a").alias("b"), "band"), ["b", "band"], "left_semi").select("a", "b", "band", "n", "need_a", "need_b")
+    members = (members.union(_heavy_members(own, bound)) if len(heavy) else members).groupBy("a", "b", "band").agg(F.sum("need_a").alias("keys"), F.max("need_b").alias("many"), F.max("n").alias("size"))
     # h - d of the h frequent keys of a set are shared by any linked one: among its d + 1 rarest is one of them
     before = F.coalesce(F.sum("keys").over(Window.partitionBy("b", "band").orderBy("many", "a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     members = members.withColumn("before", before).where(F.col("before") <= F.floor(F.col("size") / 3)).select(F.col("a").alias("group"), F.col("b").alias("a"), "size").distinct()
@@ -243,7 +306,7 @@ def links(docs: DataFrame, info: DataFrame, doc_id: str = "doc_id", text: str =
     members = members.where(F.col("n") > FEW).drop("n")
     pairs = cut(pairs.union(small).distinct())
     some = cut(pairs.select("a").union(pairs.select("b")).union(members.select("a")).distinct())
-    reps = info.where("class != 0").groupBy("class").agg(F.min("id").alias("id")).join(some.toDF("class"), "class", "left_semi")
+    reps = one.join(some.toDF("class"), "class", "left_semi")
     sets = cut(_shingles(semi(docs, reps.select("id"), doc_id), text).join(some.toDF("class"), "class", "left_semi").dropDuplicates(["class"]))
     label = _grown(None, pairs, sets, similarity)
     first, count = 0, 1

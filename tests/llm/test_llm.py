@@ -107,6 +107,34 @@ def test_near_duplicates_hot_group(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_components(rows)
 
 
+def test_near_duplicates_heavy_keys(spark, monkeypatch):
+    """No bucket gathers the copies of a text, or all the texts that share a passage or are near copies."""
+    monkeypatch.setattr(near_duplicates, "HEAVY", 32)
+    r = random.Random(8)
+    shared, base = [f"s{k}" for k in range(34)], [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join([*shared, *(f"u{i}x{k}" for k in range(i % 12))])) for i in range(150)]
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = f"z{r.random()}"
+        rows.append((200 + i, " ".join(w)))
+    rows += [(400 + i, "the same text in many rows of it") for i in range(300)]
+    rows += [(800 + i, f"{rows[3][1]} {rows[151][1]} tail{i}") for i in range(40)]
+    want = brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met = []
+    sketches = near_duplicates._sketches
+    monkeypatch.setattr(near_duplicates, "_sketches", lambda *a: met.append(sketches(*a)) or met[-1])
+    got = near_duplicates.near_duplicates(docs).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
+    classes = len({t for _, t in rows})
+    times = {}
+    for x in met[0].where("bucket < 8").collect():
+        for k in np.frombuffer(x["keys"], np.uint32).tolist():
+            times[x["bucket"], k] = times.get((x["bucket"], k), 0) + 1
+    assert max(times.values()) < 80 and sum(len(x["head"]) for x in met[0].collect()) // near_duplicates._HEAD.itemsize < 2 * 16 * classes
+
+
 def test_hot_join_deals_rows_alike(spark):
     """Rows in another order, as after a lost executor, go to the same tasks; none is lost or doubled."""
     rows = [(k % 2, k) for k in range(400)]
