@@ -2,7 +2,7 @@
 
 **Base.** Emails, IPv4 addresses, card numbers (Luhn) and phone numbers, by one regular expression each: leftmost, not overlapping within a kind, places in code points.
 
-**Bootstrapping.** Every token with a digit is a mention; its context is the word before it, and the token's shape (runs of capitals, small letters and digits). Mentions that hold a base span are the seeds. Contexts are scored by the share of their distinct tokens that are known identifiers of a kind, tokens by the contexts they occur in, in turns, as a graph in Spark. Contexts of high score and enough seeds then name tokens that no base expression caught.
+**Bootstrapping.** Instances are tokens with a digit or an @, and runs of such tokens without letters, so that a phone or card number of several tokens is one. An instance's patterns are the word before it and the word after it, each with its shape (runs of capitals, small letters and digits). Instances that hold a base span are the seeds. In turns, as a graph in Spark, a pattern is scored by the share of its distinct instances that are known or found of a kind, and patterns of high score and enough of these name further instances, which then support patterns without any seed. Identifiers that have neither a digit nor an @ are no instances.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE))
-MENTION = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+_NUMERIC = r"[^\s0-9A-Za-z@]*+[0-9][^\sA-Za-z@]*+(?!\S)"
+MENTION = rf"(?<!\S)(?:{_NUMERIC}(?:\x20{_NUMERIC})*+|[^\s0-9@]*+[0-9@]\S*+)"
 
 ROUNDS = 3
 LEAST_SEEDS = 3
@@ -89,7 +90,7 @@ def _shape(token: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """`docs` with arrays of base spans (kind, start, end) and of mentions (start, end, token, before, kind of the span that they hold), and these columns' names."""
+    """`docs` with arrays of base spans (kind, start, end) and of mentions (start, end, token, contexts, kind of the span that they hold), and these columns' names."""
     names = dict(zip(("spans", "mentions"), fresh(docs, "spans", "mentions"), strict=True))
     t = F.coalesce(F.col(text), F.lit(""))
     needs = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+"))}
@@ -104,34 +105,53 @@ def base_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str
     out = docs.withColumn(names["spans"], F.concat(*(own(k, p) for k, p in KINDS)))
     spans = F.col(names["spans"])
 
-    def mention(m: Column) -> Column:
+    found = _matches(t, MENTION)
+    blank = lambda x: F.trim(F.translate(x, "\n\t\r", "   "))
+
+    def word(x: Column, at: int) -> Column:
+        """The first (1) or last (-1) word of some text, in small letters, digits alike, without marks at its ends."""
+        own = F.regexp_replace(F.lower(F.substring_index(blank(x), " ", at)), r"^[.,;:!?()\[\]{}'\"]+|[.,;:!?()\[\]{}'\"]+$", "")
+        return F.substr(F.regexp_replace(own, "[0-9]+", "0"), F.lit(1), F.lit(32))
+
+    def mention(m: Column, near: Column) -> Column:
         token = F.regexp_replace(m["value"], r"[.,;:!?)\]}'\"]+$", "")
         end = m["start"] + F.length(token)
         inside = F.filter(spans, lambda s: (s["start"] < end) & (s["end"] > m["start"]))
-        before = F.lower(F.substring_index(F.regexp_replace(F.trim(F.translate(m["gap"], "\n\t\r", "   ")), r"[.,;:]+$", ""), " ", -1))
-        return F.struct(m["start"].alias("start"), end.alias("end"), token.alias("token"), F.concat_ws(" ", F.substr(before, F.lit(1), F.lit(32)), _shape(token)).alias("context"), F.try_element_at(inside, F.lit(1))["kind"].alias("kind"))
+        left, right = word(F.concat_ws(" ", near["before"], m["gap"]), -1), word(near["after"], 1)
+        shape = F.substr(_shape(token), F.lit(1), F.lit(64))
+        own = F.filter(F.array(F.when(left != "", F.concat_ws(" ", F.lit("<"), left, shape)), F.when(right != "", F.concat_ws(" ", F.lit(">"), right, shape))), lambda c: c.isNotNull())
+        return F.struct(m["start"].alias("start"), end.alias("end"), token.alias("token"), own.alias("contexts"), F.try_element_at(inside, F.lit(1))["kind"].alias("kind"))
 
-    nothing = F.expr("cast(array() as array<struct<start:int,end:int,token:string,context:string,kind:string>>)")
-    return out.withColumn(names["mentions"], F.when(digit, F.transform(_matches(t, MENTION), mention)).otherwise(nothing)), names
+    # for each mention the one before it, and the text up to the one after it with that one
+    values = F.transform(found, lambda m: m["value"])
+    after = F.zip_with(F.slice(F.split(t, MENTION, -1), F.lit(2), F.size(found)), F.slice(values, F.lit(2), F.size(found)), lambda g, v: F.concat_ws(" ", g, v))
+    near = F.zip_with(F.slice(F.concat(F.array(F.lit("")), values), F.lit(1), F.size(found)), after, lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+    nothing = F.expr("cast(array() as array<struct<start:int,end:int,token:string,contexts:array<string>,kind:string>>)")
+    return out.withColumn(names["mentions"], F.when(digit | needs["email"], F.zip_with(found, near, mention)).otherwise(nothing)), names
 
 
 def contexts(mentions: DataFrame) -> DataFrame:
-    """(context, kind, score, seeds) from rows (token, context, kind), kind null if unknown: contexts and tokens score each other for ROUNDS turns."""
-    graph = cut(mentions.groupBy("context", "token").agg(F.max("kind").alias("kind")))
-    kinds = graph.where("kind is not null").select("context", "kind").distinct()
-    edges = cut(graph.withColumnRenamed("kind", "known").join(kinds, "context"))  # contexts without a seed can't score
-    seed = (F.col("known") == F.col("kind")).cast("double")
-    score = edges.select("context", "token", "kind", F.coalesce(seed, F.lit(0.0)).alias("token_score"), F.col("known").isNotNull().alias("fixed"))
-    for _ in range(ROUNDS):
-        context = score.groupBy("context", "kind").agg(F.avg("token_score").alias("score"), F.sum(F.when(F.col("fixed") & (F.col("token_score") == 1), 1).otherwise(0)).alias("seeds"))
-        context = cut(context)
-        # a token's score is the mean of its contexts'; what is known stays
-        token = score.where("not fixed").select("context", "token", "kind").join(context, ["context", "kind"]).groupBy("token", "kind").agg(F.avg("score").alias("now"))
-        score = score.join(token, ["token", "kind"], "left").select("context", "token", "kind", F.when(F.col("fixed"), F.col("token_score")).otherwise(F.coalesce("now", "token_score")).alias("token_score"), "fixed")
-        score = cut(score)
+    """(context, kind, score, seeds) from rows (token, context, kind), kind null if unknown. In each of ROUNDS turns the instances of good contexts are found, and count for other contexts, with seeds or without."""
+    graph = cut(mentions.groupBy("context", "token").agg(F.max("kind").alias("known")))
+    size = cut(graph.groupBy("context").agg(F.count("*").alias("n")))
+    known = cut(graph.where("known is not null").groupBy("token").agg(F.max("known").alias("kind")).withColumn("token_score", F.lit(1.0)))
+    free = cut(graph.select("context", "token").join(known, "token", "left_anti"))
+    have = known
+    for turn in range(ROUNDS):
+        sums = graph.select("context", "token").join(have, "token").groupBy("context", "kind").agg(F.sum("token_score").alias("total"), F.count("*").alias("seeds"))
+        context = cut(sums.join(size, "context").select("context", "kind", (F.col("total") / F.col("n")).alias("score"), "seeds"))
+        if turn + 1 < ROUNDS:
+            found = free.join(good_contexts(context), "context").groupBy("token").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("token_score"))
+            have = cut(known.unionByName(found))
     return context
 
 
+def good_contexts(context: DataFrame) -> DataFrame:
+    """(context, kind, score) of the contexts that name instances, with the best kind of each."""
+    good = context.where((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS))
+    return good.groupBy("context").agg(F.max_by("kind", F.struct("score", "seeds", "kind")).alias("kind"), F.max("score").alias("score"))
+
+
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found) of every row of `docs`.
 
@@ -141,10 +161,12 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     based, names = base_spans(own)
     base = cut(based.select("id", "k", F.col(names["spans"]).alias("spans"), F.col(names["mentions"]).alias("mentions")))
     mentions = base.select("k", F.inline("mentions"))
-    good = contexts(mentions.select("token", "context", "kind")).where((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS))
-    best = good.groupBy("context").agg(F.max_by("kind", F.struct("score", "seeds", "kind")).alias("kind"))
+    each = mentions.select("k", "start", "end", "token", "kind", F.explode("contexts").alias("context"))
+    best = good_contexts(contexts(each.select("token", "context", "kind")))
     best = F.broadcast(best) if rows_fit(best, 50_000) else best
-    more = mentions.where("kind is null").drop("kind").join(best, "context").groupBy("k").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
+    # a place that several contexts name has one kind
+    named = each.where("kind is null").drop("kind").join(best, "context").groupBy("k", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    more = named.groupBy("k").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
     more = F.broadcast(more) if rows_fit(more, 50_000) else more
     out = base.join(more, "k", "left")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -263,6 +263,21 @@ def test_pii_contexts(spark):
     assert len(good) >= 4 and got[5]["n_card"] == 0 and got[5]["n_found"] in (0, 1)
 
 
+def test_pii_bootstraps(spark):
+    """A number of several tokens is found by its lead word; numbers so found make a lead word without a seed a pattern."""
+    r = random.Random(6)
+    number = lambda: f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}"
+    letters = lambda i: "abcdefghij"[i // 10 % 10] + "abcdefghij"[i % 10]
+    known = [f"n{letters(i)} ring +1 {number()} q{letters(i)}" for i in range(99)]
+    odd = [f"+0 ({k}) 1-2" for k in range(8)]  # too few digits for the base
+    found = [f"do ring {x} x{letters(k)}" for k, x in enumerate(odd)] + [f"then beep {x} y{letters(k)}" for k, x in enumerate(odd)] + ["you beep +0 (9) 1-2 soon"]
+    rows = list(enumerate([*known, *found, "sum of 3 and (4) 5-6 or so"]))
+    got = {x["doc_id"]: x for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[99:-1]:
+        assert got[i]["n_phone"] == 0 and got[i]["spans"] == f"phone:{t.index('+')}:{t.index('+') + 10}", (i, got[i])
+    assert all(got[i]["n_found"] == 0 and got[i]["n_phone"] == 1 for i in range(99)) and got[rows[-1][0]]["n_found"] == 0
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "</s>[INST] \\e <x>"), (1, 1, "assistant", "a\\l[/INST]"), (2, 1, "assistant", None), (2, 0, "user", "é"), (3, 0, None, ""), (None, 0, "system", "s")]
     turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("segments", F.lit(1))
