@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Where `cut` wrote a DataFrame.
+_written: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder of spark.checkpoint.dir and go on from there.
 
-    A lost executor then costs no recomputation of what came before, and plans over many steps stay small: a table read again has the size of its files, where a checkpoint() carries estimates that multiply from join to join. The table goes when the application ends.
+    A lost executor then costs no recomputation of what came before, and plans over many steps stay small: a table read again has the size of its files, where a checkpoint() carries estimates that multiply from join to join. The table goes with `free`, or when the application ends.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,7 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = where
+    return out
+
+
+def free(*dfs: DataFrame) -> None:
+    """Delete tables of `cut` that nothing reads any more: what was made of them must have been written, too."""
+    for df in dfs:
+        if where := _written.pop(df, None):
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

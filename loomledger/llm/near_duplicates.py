@@ -5,10 +5,9 @@ A text is the set of its distinct five-word shingles (64-bit hashes). Two texts
 * **Sketch.** For a size band, the token space is cut into m cells and every token is XORed into its cell. A token that only one of two sets has changes one cell at most, so the number of cells that differ (the Hamming distance of the sketches) is at most the symmetric difference d, and d <= (a + b) / 7 for linked sets of sizes a and b.
 * **Size bands.** Linked sizes differ by 4/3 at most, so with band(a) = floor(log(a) / log(4/3)) they lie in the same band or in adjacent ones. A set is sketched for its band and, as the possibly larger partner, for the one below.
 * **Pigeonhole.** Let s be the cells of A that aren't zero. s - d of them at least are equal in B. With m at half the largest size of the band, s > d holds but for rare sets, which emit their zero cells too (m > d always). So linked sets share a key (band, cell, value).
-* **Frequent keys.** A key of more than `HOT` sets isn't needed by a set that keeps more than d other cells. Rarer keys give all their (few) pairs. Only sets that consist of frequent keys nearly alone meet through them, in rounds: the first sets of a key are compared with all others, then `WIDER` times as many, until the sets of each key are one component or all were compared. No pair is lost, and groups of near copies cost about one comparison a member.
-* **Skew.** One row of each class is sketched. Keys of more than about `HEAVY` sets, found on a sample of classes, don't go to a bucket by key: their sets do, dealt by class, and what a key has in all is added up by Spark aggregates. Which keys count as frequent changes the work, not the result.
-* **Count.** The keys that a pair shares are counted over all buckets, and pairs that share fewer than s - d (less the frequent ones) go.
-* **Verify.** What is left is compared on their full shingle sets.
+* **Buckets.** A key goes to its bucket as 4 bytes, its owner as 4 more (wider for larger corpora): the shuffle grows as the corpus does. A key of more than `HOT` sets within one slice of texts goes as one mark, whatever the number of its sets, so that no key fills a bucket.
+* **Count.** Keys of up to `HOT` sets give their pairs; the rare keys that a pair shares are counted over all buckets, and pairs that share fewer than s - d (less the frequent ones) go. What is left is compared on the full shingle sets.
+* **Frequent keys.** A set that keeps more than d other cells needs none of them. The others, sets that consist of frequent keys nearly alone, are sketched again at the finest grain, a cell for each token, where the bound is exact: linked sets share |A & B| >= 3 (a + b) / 7 tokens, so with tokens from the rarest on, one of the first a / 4 + 1 of each. Up to `HOT` sets behind such a token give their pairs. Of more, the set with most tokens from there on (of a group of near copies, the one nearest to the original) is compared with the rest, then further ones with those that aren't connected yet and have tokens enough, until none is left. No pair is lost, and groups of near copies cost about one comparison a member.
 
 Texts with equal sets are one class, named by a 64-bit fingerprint of the set, from the start. All that grows with the corpus stays in Spark: the driver holds counts only.
 """
@@ -24,25 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, semi
+from .common import cut, free, join_hot, rows_fit, semi
 from .components import connected
 from .words import U, Words, chunks, mix, shingle_sets
 
 RATIO = 4 / 3
+#: Keys and tokens of more sets than this don't give all their pairs.
 HOT = 16
-#: Groups of at most so many sets compare all of them at once; larger ones go in rounds.
-FEW = 16
 #: Sets under this size take each token as a cell of its own.
 SMALL = 64
-#: How many more sets of a group are compared with all others in each round.
-WIDER = 64
-#: Keys of about so many sets, or more, aren't gathered in a bucket; of larger corpora a share of all keys, so that there are at most some 200,000 such keys.
-HEAVY = 4096
-HEAVY_SHARE = 100_000
+#: How many times more sets of a group are compared with the others in each further round.
+WIDER = 16
+#: So many pairs are compared at once.
+FEW_PAIRS = 20_000
 KEYS_PER_BUCKET = 2_000_000
 
-_PAIR, _COUNT, _MEMBER, _HEAVY = 0, 1, 2, 3
-_HEAD = np.dtype([("class", "<i8"), ("band", "<i2"), ("size", "<i4"), ("cells", "<i4")])
+_PAIR, _COUNT, _SKETCH = 0, 1, 2
 
 
 def digest(tokens: np.ndarray) -> int:
@@ -88,146 +84,140 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return rows.mapInArrow(one, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, class long")
 
 
-def _set_sketches(texts: list[bytes]) -> Iterator[tuple[tuple[int, int, int, int], np.ndarray]]:
-    """(class, band, size, cells) and the keys of each sketch of the texts."""
+def _set_sketches(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """(class, size, 1 if for its own band and 0 if for the one below, cells, keys) of each sketch of the texts."""
     for tokens in shingle_sets(Words(texts)):
         if len(tokens):
             top, name = band(len(tokens)), digest(tokens)
             for level in (top, top - 1) if top else (0,):
                 own, cells = cell_keys(tokens, level)
-                yield (name, level, len(tokens), cells), own
+                yield name, len(tokens), int(level == top), cells, own
 
 
-def _short(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of a key and its name there."""
-    return ((key & U(0xFFFFFFFF)) * U(buckets)) >> U(32), (key >> U(32)).astype(np.uint32)
+def _owners(name: np.ndarray, home: np.ndarray, width: int) -> np.ndarray:
+    """Names of sketches in `width` bytes, the last bit tells own bands. Two sketches with one name only add candidates."""
+    return (mix(name.astype(np.int64).view(U) ^ U(0x77)) >> U(65 - 8 * width)) << U(1) | home.astype(U)
 
 
-def _heavy_keys(docs: DataFrame, one: DataFrame, doc_id: str, text: str, total: int, buckets: int) -> np.ndarray:
-    """Sorted keys (bucket, then name) that about `HEAVY` sets have, or more: those that 8 classes of a sample have in which 16 of so many are expected. It's at most a few hundred thousand."""
-    rate = max(1, max(HEAVY, total // HEAVY_SHARE) // 16)
-    some = one.where(F.pmod("class", F.lit(rate)) == 0)
+def _packed(x: np.ndarray, width: int) -> bytes:
+    """The last `width` bytes of each number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(parts: list[bytes], width: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(parts), dtype=np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, :width] = raw
+    return out.view("<u8")[:, 0]
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches, "text"):
-            for (name, *_), own in _set_sketches(texts):
-                if name % rate == 0:
-                    to, short = _short(own, buckets)
-                    yield pa.RecordBatch.from_arrays([pa.array(((to << U(32)) | short.astype(U)).view(np.int64))], names=["key"])
 
-    keys = semi(docs, some.select("id"), doc_id).select(F.col(text).alias("text")).mapInArrow(sample, "key long")
-    found = keys.groupBy("key").count().where("count >= 8").select("key").collect()
-    return np.sort(np.array([r["key"] for r in found], dtype=np.int64).view(U))
+_ROWS = "bucket long, keys binary, owners binary, marks binary, sketches binary"
+_SKETCHES = np.dtype([("owner", "<i8"), ("class", "<i8"), ("size", "<i8"), ("cells", "<i8"), ("hot", "<i8")])
 
 
-def _sketches(docs: DataFrame, text: str, buckets: int, heavy: np.ndarray) -> DataFrame:
-    """Rows (bucket, head, n, keys): the sketch keys that fall in a bucket, of many texts in a row. head: class, band, size and cells of each sketch. Buckets from `buckets` on hold the places in `heavy` of the sketches' heavy keys, by class."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+def _sketches(docs: DataFrame, text: str, buckets: int, width: int) -> DataFrame:
+    """Rows (bucket, keys, owners, marks, sketches). keys, owners: the keys of a slice of texts that fall in a bucket, and whose they are; marks: those of more than HOT of its sketches, without owners. Buckets from `buckets` on: the sketches themselves, and how many such keys each has."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches, "text"):
-            heads: list[tuple] = []
-            keys = []
-            for name, own in _set_sketches(texts):
-                heads.append(name)
-                keys.append(own)
+            seen, heads, keys = set(), [], []
+            for name, size, home, cells, own in _set_sketches(texts):
+                if (name, home) not in seen:
+                    seen.add((name, home))
+                    heads.append((name, size, home, cells))
+                    keys.append(own)
             if not heads:
                 continue
-            head = np.array(heads, dtype=_HEAD)
-            owner = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
-            to, key = _short(np.concatenate(keys), buckets)
-            heavy = shared.value
-            if len(heavy):
-                full = (to << U(32)) | key.astype(U)
-                place = np.minimum(np.searchsorted(heavy, full), len(heavy) - 1)
-                is_heavy = heavy[place] == full
-                dealt = U(buckets) + mix(head["class"].astype(np.int64).view(U)) % U(buckets)
-                to, key = np.where(is_heavy, dealt[owner], to), np.where(is_heavy, place, key).astype(np.uint32)
-            order = np.argsort(to.astype(np.uint32), kind="stable")
-            key, owner, to = key[order], owner[order], to[order]
-            at = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(to)], strict=True):
-                who, count = np.unique(owner[a:b], return_counts=True)
-                for x, v in zip(out, (int(to[a]), head[who].tobytes(), count.astype(np.uint32).tobytes(), key[a:b].tobytes()), strict=True):
+            name, size, home, cells = (np.array(x, dtype=np.int64) for x in zip(*heads, strict=True))
+            owner = _owners(name, home, width)
+            who = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
+            key = np.concatenate(keys)
+            to, short = ((key & U(0xFFFFFFFF)) * U(buckets)) >> U(32), (key >> U(32)).astype(np.uint32)
+            order = np.argsort((to << U(32)) | short, kind="stable")
+            to, short, who = to[order], short[order], who[order]
+            first = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (short[1:] != short[:-1]))))
+            times = np.diff(np.append(first, len(short)))
+            hot = np.repeat(times > HOT, times)
+            marked = first[times > HOT]
+            sketch = np.zeros(len(heads), dtype=_SKETCHES)
+            sketch["owner"], sketch["class"], sketch["size"], sketch["cells"], sketch["hot"] = owner.view(np.int64), name, size, cells, np.bincount(who[hot], minlength=len(heads))
+            mark_to, mark = to[marked], short[marked]
+            to, short, who = to[~hot], short[~hot], who[~hot]
+            at, mark_at = np.searchsorted(to, np.arange(buckets + 1, dtype=U)), np.searchsorted(mark_to, np.arange(buckets + 1, dtype=U))
+            out: tuple[list, list, list, list, list] = ([buckets + int(owner[0] % U(buckets))], [b""], [b""], [b""], [sketch.tobytes()])
+            for k in np.flatnonzero((np.diff(at) > 0) | (np.diff(mark_at) > 0)).tolist():
+                a, b = at[k], at[k + 1]
+                for x, v in zip(out, (k, short[a:b].tobytes(), _packed(owner[who[a:b]], width), mark[mark_at[k] : mark_at[k + 1]].tobytes(), b""), strict=True):
                     x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "head", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "keys", "owners", "marks", "sketches"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(one, "bucket long, head binary, n binary, keys binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(one, _ROWS)
 
 
-#: Pairs: classes, band, shared rare keys, and how many cells a and b must share. Counts: class, its cells less d, band, its frequent keys. Members: group, class, band, size, how many keys the group stands for, and its members. Heavy: class, its cells less d, band, its size, and its heavy keys.
-_FOUND = "kind int, a long, b long, band int, n int, need_a int, need_b int, keys array<int>"
-_TYPES = {"kind": "int32", "a": "int64", "b": "int64", "band": "int32", "n": "int32", "need_a": "int32", "need_b": "int32"}
+#: Pairs: owners, and n rare keys that they share. Counts: owner, and n of its keys that are frequent. Sketches: owner, class, size, cells, and n like that.
+_FOUND = "kind int, a long, b long, n long, size long, cells long"
 
 
-def _meet(table: pa.Table, buckets: int) -> pa.Table:
-    """What meets in a bucket: pairs of rare keys; for sketches with frequent keys how many; distinct groups of those keys with their members. Of a bucket of heavy keys: each sketch with its keys."""
-    raw = [np.frombuffer(x, dtype=_HEAD) for x in table["head"].to_pylist()]
-    head = np.concatenate(raw)
-    n = np.concatenate([np.frombuffer(x, np.uint32) for x in table["n"].to_pylist()])
-    key = np.concatenate([np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()])
-    # a sketch is its class and band: copies fall together here
-    name = mix(head["class"].view(U) if head["class"].flags.c_contiguous else head["class"].astype(np.int64).view(U)) + head["band"].astype(U) * U(0x9E3779B97F4A7C15)
-    _, first, number = np.unique(name, return_index=True, return_inverse=True)
-    head = head[first]
-    both = np.unique((key.astype(U) << U(32)) | np.repeat(number, n).astype(U))
-    key, who = (both >> U(32)).astype(np.uint32), (both & U(0xFFFFFFFF)).astype(np.int64)
+def _found(kind: int, a: np.ndarray, n: np.ndarray, b: np.ndarray | int = 0, size: np.ndarray | int = 0, cells: np.ndarray | int = 0) -> pd.DataFrame:
+    return pd.DataFrame({"kind": np.full(len(a), kind, dtype=np.int32), "a": a.astype(np.int64), "b": b, "n": n.astype(np.int64), "size": size, "cells": cells}).astype({"b": np.int64, "size": np.int64, "cells": np.int64})
+
+
+def _meet(table: pa.Table, buckets: int, width: int) -> pa.Table:
+    """What meets in a bucket: pairs of owners by rare keys, and how many frequent keys an owner has."""
     if table["bucket"][0].as_py() >= buckets:
-        order = np.lexsort((key, who))
-        key, who = key[order].astype(np.int32), who[order]
-        end = np.cumsum(np.bincount(who, minlength=len(head)))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], end)), pa.int32()), pa.array(key))
-        size = head["size"].astype(np.int64)
-        own = pd.DataFrame({"kind": _HEAVY, "a": head["class"].astype(np.int64), "b": head["cells"] - size // 3, "band": head["band"].astype(np.int64), "n": size, "need_a": np.array([band(int(x)) for x in size]) == head["band"], "need_b": 0})
-        return pa.Table.from_pandas(own.astype(_TYPES), preserve_index=False).append_column("keys", lists)
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        s = np.frombuffer(b"".join(table["sketches"].to_pylist()), dtype=_SKETCHES)
+        return pa.Table.from_pandas(_found(_SKETCH, s["owner"], s["hot"], s["class"], s["size"], s["cells"]), preserve_index=False)
+    key = np.frombuffer(b"".join(table["keys"].to_pylist()), dtype=np.uint32)
+    names, who = np.unique(_unpacked(table["owners"].to_pylist(), width), return_inverse=True)
+    both = np.unique((key.astype(U) << U(32)) | who.astype(U))
+    # keys of one owner with equal names are one here: counted as frequent, so that no pair falls short of what it needs
+    merged = np.bincount(who, minlength=len(names))
+    key, who = (both >> U(32)).astype(np.uint32), (both & U(0xFFFFFFFF)).astype(np.int64)
+    merged = merged - np.bincount(who, minlength=len(names))
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1])))
     size = np.diff(np.append(at, len(key)))
-    names, bands = head["class"].astype(np.int64), head["band"].astype(np.int64)
-    home = np.array([band(int(x)) for x in head["size"]], dtype=np.int64) == bands
+    marks = np.unique(np.frombuffer(b"".join(table["marks"].to_pylist()), dtype=np.uint32))
+    hot = (size > HOT) | np.isin(key[at], marks)
+    home = (names & U(1)).astype(bool)
     pairs = [np.zeros(0, dtype=U)]
     for g in range(2, HOT + 1):
-        own = at[size == g]
+        own = at[(size == g) & ~hot]
         if len(own):
             rows = who[own[:, None] + np.arange(g)]
-            i, j = np.triu_indices(g, 1)
-            pairs.append((rows[:, i].ravel().astype(U) << U(32)) | rows[:, j].ravel().astype(U))
+            i, j = (rows[:, x].ravel() for x in np.triu_indices(g, 1))
+            good = home[i] | home[j]  # two larger partners meet in the band above
+            pairs.append((i[good].astype(U) << U(32)) | j[good].astype(U))
     pairs, shared = np.unique(np.concatenate(pairs), return_counts=True)
-    i, j = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64)
-    size_i, size_j = head["size"][i].astype(np.int64), head["size"][j].astype(np.int64)
-    # two larger partners meet in the band above; keys of two bands are equal by chance only
-    good = (home[i] | home[j]) & (bands[i] == bands[j]) & (4 * np.minimum(size_i, size_j) >= 3 * np.maximum(size_i, size_j))
-    i, j, shared, apart = i[good], j[good], shared[good], ((size_i + size_j) // 7)[good]
-    swap = names[i] > names[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    cells = head["cells"].astype(np.int64)
-    out = [pd.DataFrame({"kind": _PAIR, "a": names[i], "b": names[j], "band": bands[i], "n": shared, "need_a": cells[i] - apart, "need_b": cells[j] - apart})]
-    hot, hot_size = at[size > HOT], size[size > HOT]
-    if len(hot):
-        inside = np.repeat(size > HOT, size)
-        count = np.bincount(who[inside], minlength=len(head))
-        some = np.flatnonzero(count)
-        out.append(pd.DataFrame({"kind": _COUNT, "a": names[some], "b": (cells - head["size"] // 3)[some], "band": bands[some], "n": count[some], "need_a": 0, "need_b": 0}))
-        member = who[inside]
-        start = np.concatenate(([0], np.cumsum(hot_size)[:-1]))
-        group = np.add.reduceat(mix(names[member].view(U) + bands[member].view(U)), start)
-        some_home = np.logical_or.reduceat(home[member], start)
-        group, one, times = np.unique(np.where(some_home, group, U(0)), return_index=True, return_counts=True)
-        one, times, group = one[group != 0], times[group != 0], group[group != 0]
-        member = np.concatenate([member[:0], *(member[start[k] : start[k] + hot_size[k]] for k in one)])
-        out.append(pd.DataFrame({"kind": _MEMBER, "a": np.repeat(group.view(np.int64), hot_size[one]), "b": names[member], "band": bands[member], "n": head["size"][member], "need_a": np.repeat(times, hot_size[one]), "need_b": np.repeat(hot_size[one], hot_size[one])}))
-    out = pa.Table.from_pandas(pd.concat(out).astype(_TYPES), preserve_index=False)
-    return out.append_column("keys", pa.nulls(len(out), pa.list_(pa.int32())))
-
-
-def _heavy_members(own: DataFrame, bound: DataFrame) -> DataFrame:
-    """Rows like _MEMBER of the heavy keys' groups, for bound sets. own: the _HEAVY rows, each set once."""
-    each = own.select("a", "band", F.col("need_a").alias("home"), F.explode("keys").alias("key"))
-    # summed in part before the shuffle: no task holds a key's sets
-    keys = each.groupBy("key").agg(F.count("*").alias("many"), F.max("home").alias("home"), F.sum(F.xxhash64("a", "band").cast("decimal(38,0)")).alias("h"))
-    groups = keys.where("home = 1 and many > 1").groupBy("many", "h").agg(F.min("key").alias("key"), F.count("*").alias("keys")).select("key", "many", F.col("keys").alias("need_a"), F.xxhash64(F.lit("heavy"), "many", "h").alias("group"))
-    mine = own.join(bound.select("a", "band"), ["a", "band"], "left_semi").select("a", "band", "n", F.explode("keys").alias("key"))
-    return mine.join(F.broadcast(groups), "key").select(F.col("group").alias("a"), F.col("a").alias("b"), "band", "n", F.col("need_a").cast("int"), F.col("many").cast("int").alias("need_b"))
+    out = [_found(_PAIR, names[(pairs >> U(32)).astype(np.int64)], shared, names[(pairs & U(0xFFFFFFFF)).astype(np.int64)].astype(np.int64))]
+    count = np.bincount(who[np.repeat(hot, size)], minlength=len(names)) + merged
+    some = np.flatnonzero(count)
+    out.append(_found(_COUNT, names[some], count[some]))
+    return pa.Table.from_pandas(pd.concat(out), preserve_index=False)
+
+
+def _candidates(reps: DataFrame, text: str, total: int, sets: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes that may link, by their sketches' rare keys; and the classes that frequent keys may link. total, sets: shingles and rows of `reps`."""
+    buckets = max(8, -(-total // KEYS_PER_BUCKET))
+    width = 4
+    while 2 * sets > 1 << (8 * width - 7):  # not one owner in a hundred has another's name
+        width += 1
+    rows = _sketches(reps, text, buckets, width).repartition(2 * buckets, "bucket")
+    found = cut(rows.groupBy("bucket").applyInArrow(lambda t: _meet(t, buckets, width), _FOUND))
+    hot = found.where(F.col("kind") != _PAIR).groupBy(F.col("a").alias("owner")).agg(F.sum("n").alias("hot"))
+    sketch = found.where(F.col("kind") == _SKETCH).select(F.col("a").alias("owner"), F.col("b").alias("class"), "size", "cells").distinct()
+    sketch = cut(sketch.join(hot, "owner"))
+    pairs = found.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    for side in "ab":
+        pairs = pairs.join(sketch.toDF(*(f"{c}_{side}" for c in sketch.columns)), F.col(side) == F.col(f"owner_{side}"))
+    # of the cells that linked sets share, so many aren't frequent at least
+    apart = F.floor((F.col("size_a") + F.col("size_b")) / 7)
+    for side in "ab":
+        pairs = pairs.where(F.col("n") + F.col(f"hot_{side}") >= F.col(f"cells_{side}") - apart)
+    pairs = pairs.where("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b) and class_a != class_b")
+    pairs = cut(pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct())
+    bound = cut(sketch.where(F.col("hot") >= F.col("cells") - F.floor(F.col("size") / 3)).select("class").distinct())
+    free(found, sketch)
+    return pairs, bound
 
 
 def _shingles(docs: DataFrame, text: str) -> DataFrame:
@@ -266,70 +256,74 @@ def _joined(label: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def _grown(label: DataFrame | None, pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """`label` after the links among `pairs`: each set is compared with its first partner, then the pairs whose ends aren't connected yet."""
-    pairs = cut(pairs)
+    """`label` after the links among `pairs`. Of many, each set is compared with its first partner, then come the pairs whose ends aren't connected yet."""
+    if rows_fit(pairs, FEW_PAIRS):
+        return _joined(label, _verified(pairs, sets, similarity))
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     label = _joined(label, _verified(first, sets, similarity))
     root = {s: label.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"}
-    rest = cut(pairs.join(first, ["a", "b"], "left_anti").join(root["a"], "a", "left").join(root["b"], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    rest = cut(pairs.join(root["a"], "a", "left").join(root["b"], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti"))
     return label if rest.isEmpty() else _joined(label, _verified(rest, sets, similarity))
 
 
-def links(docs: DataFrame, info: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = 75) -> DataFrame:
-    """(node, root) of every class that is linked with another: classes have one root if and only if a chain of linked texts connects them. info: `classes(docs)`."""
-    one = cut(info.where("class != 0").groupBy("class").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n")))
-    total = one.agg(F.sum("n").alias("n")).first()["n"] or 0
-    buckets = max(8, -(-int(total) // KEYS_PER_BUCKET))
-    heavy = _heavy_keys(docs, one, doc_id, text, int(total), buckets)
-    found = cut(_sketches(semi(docs, one.select("id"), doc_id), text, buckets, heavy).repartition(2 * buckets if len(heavy) else buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _meet(t, buckets), _FOUND))
-    own = found.where(F.col("kind") == _HEAVY)
-    counts = found.where(F.col("kind") == _COUNT).select("a", "band", "n", "b").union(own.select("a", "band", F.size("keys").alias("n"), "b"))
-    hot = cut(counts.groupBy("a", "band").agg(F.sum("n").alias("hot"), F.max("b").alias("slack")))
-    pairs = found.where(F.col("kind") == _PAIR).groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("need_a").alias("need_a"), F.max("need_b").alias("need_b"))
-    # of the cells that linked sets share, so many aren't frequent at least
-    for side in "ab":
-        pairs = pairs.join(hot.select(F.col("a").alias(side), "band", F.col("hot").alias(f"hot_{side}")), [side, "band"], "left").where(F.col("n") + F.coalesce(f"hot_{side}", F.lit(0)) >= F.col(f"need_{side}"))
-    pairs = pairs.select("a", "b").distinct()
-    bound = hot.where("slack - hot < 1")
-    members = found.where(F.col("kind") == _MEMBER).join(bound.select(F.col("a").alias("b"), "band"), ["b", "band"], "left_semi").select("a", "b", "band", "n", "need_a", "need_b")
-    members = (members.union(_heavy_members(own, bound)) if len(heavy) else members).groupBy("a", "b", "band").agg(F.sum("need_a").alias("keys"), F.max("need_b").alias("many"), F.max("n").alias("size"))
-    # h - d of the h frequent keys of a set are shared by any linked one: among its d + 1 rarest is one of them
-    before = F.coalesce(F.sum("keys").over(Window.partitionBy("b", "band").orderBy("many", "a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    members = members.withColumn("before", before).where(F.col("before") <= F.floor(F.col("size") / 3)).select(F.col("a").alias("group"), F.col("b").alias("a"), "size").distinct()
-    members = cut(members)
-    # of groups with the same members one is enough
-    groups = members.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a").cast("decimal(38,0)")).alias("h")).where("n > 1").groupBy("n", "h").agg(F.min("group").alias("group"))
-    members = cut(members.join(groups.select("group", "n"), "group"))
-    few = members.where(F.col("n") <= FEW)
-    other = few.select("group", F.col("a").alias("b"), F.col("size").alias("size_b"))
-    small = few.join(other, "group").where("a < b and 4 * least(size, size_b) >= 3 * greatest(size, size_b)").select("a", "b")
-    members = members.where(F.col("n") > FEW).drop("n")
-    pairs = cut(pairs.union(small).distinct())
-    some = cut(pairs.select("a").union(pairs.select("b")).union(members.select("a")).distinct())
-    reps = one.join(some.toDF("class"), "class", "left_semi")
-    sets = cut(_shingles(semi(docs, reps.select("id"), doc_id), text).join(some.toDF("class"), "class", "left_semi").dropDuplicates(["class"]))
-    label = _grown(None, pairs, sets, similarity)
-    first, count = 0, 1
+def _roots(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """`rows` with the root of each class `a`."""
+    return rows.join(label, rows["a"] == label["node"], "left").select(*rows.columns, F.coalesce("root", "a").alias("root"))
+
+
+def _enough(similarity: int):
+    """Whether two sets of a group, x and y, can have tokens enough in common from the group's token on."""
+    x, y, s = F.col("size"), F.col("size_b"), similarity
+    return ((100 + s) * F.least("rest", "rest_b") >= s * (x + y)) & (100 * F.least(x, y) >= s * F.greatest(x, y)) & (F.col("root") != F.col("root_b"))
+
+
+def _finest(label: DataFrame, bound: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """`label` after all links among the classes `bound`, sketched with a cell for each token."""
+    tokens = semi(sets, bound, "class").select("class", F.size("tokens").cast("long").alias("size"), F.explode("tokens").alias("token"))
+    n = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("class")
+    ranked = tokens.join(n, "token").withColumn("at", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token")) - 1)
+    # rest: tokens from this one on, itself included
+    groups = cut(ranked.where(F.col("at") <= F.floor(F.col("size") * (100 - similarity) / 100)).select("token", "n", F.col("class").alias("a"), "size", (F.col("size") - F.col("at")).alias("rest")))
+    other = lambda df: df.select("token", *(F.col(c).alias(f"{c}_b" if c != "a" else "b") for c in ("a", "size", "rest", "root")))
+    some = _roots(groups.where(F.col("n") <= HOT), label)
+    pairs = cut(some.join(other(some), "token").where("a < b").where(_enough(similarity)).select("a", "b").distinct())
+    if not pairs.isEmpty():
+        label = _grown(label, pairs, sets, similarity)
+    rows, leads = groups.where(F.col("n") > HOT).drop("n"), 1
+    # the smallest partner that a set may have, and what they must share
+    partner = F.greatest("least", F.ceil(F.col("size") * similarity / 100))
+    able = (F.col("lo") < F.col("hi")) & ((100 + similarity) * F.least("rest", "most") >= similarity * (F.col("size") + partner))
     while True:
-        now = members.join(label, members["a"] == label["node"], "left").select("group", "a", "size", F.coalesce("root", "a").alias("root"))
-        # groups that are one component by now need no more comparisons
-        open_ = now.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").where(F.col("n") > first)
-        now = cut(now.join(open_.select("group"), "group", "left_semi"))
+        now = _roots(rows, label)
+        # groups that are one component by now need no more comparisons, nor do sets that no other can be like
+        whole = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rest").alias("most"), F.min("size").alias("least")).where("lo < hi")
+        now = cut(now.join(whole, "token").where(able).select(*now.columns))
         if now.isEmpty():
             return label
-        members = now.select("group", "a", "size")
-        lead = _nth(now, first, count)
-        new = now.join(lead, "group").where((F.col("root") != F.col("lead_root")) & (4 * F.least("size", "lead_size") >= 3 * F.greatest("size", "lead_size"))).select(F.least("a", "lead").alias("a"), F.greatest("a", "lead").alias("b")).distinct()
-        label = _grown(label, new, sets, similarity)
-        first, count = first + count, count * WIDER
-
-
-def _nth(rows: DataFrame, first: int, count: int) -> DataFrame:
-    """(group, lead, lead_root, lead_size): members number first to first + count of each group, by a."""
-    if first == 0:
-        return rows.groupBy("group").agg(F.min(F.struct("a", "root", "size")).alias("x")).select("group", F.col("x.a").alias("lead"), F.col("x.root").alias("lead_root"), F.col("x.size").alias("lead_size"))
-    at = F.row_number().over(Window.partitionBy("group").orderBy("a"))
-    return rows.withColumn("at", at).where(F.col("at").between(first + 1, first + count)).select("group", F.col("a").alias("lead"), F.col("root").alias("lead_root"), F.col("size").alias("lead_size"))
+        best = F.max(F.struct("rest", -F.col("size"), "a", "root", "size"))
+        lead = now.groupBy("token", F.pmod(F.xxhash64("a"), F.lit(leads)).alias("deal")).agg(best.alias("x")).select("token", "x.a", "x.size", "x.rest", "x.root")
+        lead = cut(lead)
+        new = now.join(F.broadcast(other(lead)) if rows_fit(lead, 50_000) else other(lead), "token").where(_enough(similarity))
+        new = cut(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if not new.isEmpty():
+            label = _grown(label, new, sets, similarity)
+        # a lead has been compared with all others
+        rows, leads = now.drop("root").join(lead.select("token", "a"), ["token", "a"], "left_anti"), leads * WIDER
+
+
+def links(docs: DataFrame, info: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = 75) -> DataFrame:
+    """(node, root) of classes that are linked with others: two have one root if and only if a chain of linked texts connects them. info: `classes(docs)`."""
+    one = cut(info.where("class != 0").groupBy("class").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n")))
+    whole = one.agg(F.sum("n").alias("n"), F.count("*").alias("sets")).first()
+    pairs, bound = _candidates(semi(docs, one.select("id"), doc_id), text, int(whole["n"] or 0), whole["sets"])
+    some = cut(pairs.select("a").union(pairs.select("b")).union(bound).distinct().toDF("class"))
+    reps = one.join(some, "class", "left_semi")
+    sets = cut(semi(_shingles(semi(docs, reps.select("id"), doc_id), text), some, "class").dropDuplicates(["class"]))
+    label = _grown(None, pairs, sets, similarity)
+    label = _finest(label, bound, sets, similarity)
+    free(one, some, sets)
+    return label
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = 75) -> DataFrame:

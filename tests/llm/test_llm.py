@@ -109,7 +109,7 @@ def test_near_duplicates_hot_group(spark):
 
 def test_near_duplicates_heavy_keys(spark, monkeypatch):
     """No bucket gathers the copies of a text, or all the texts that share a passage or are near copies."""
-    monkeypatch.setattr(near_duplicates, "HEAVY", 32)
+    monkeypatch.setattr(near_duplicates, "FEW_PAIRS", 20)
     r = random.Random(8)
     shared, base = [f"s{k}" for k in range(34)], [f"w{k}" for k in range(120)]
     rows = [(i, " ".join([*shared, *(f"u{i}x{k}" for k in range(i % 12))])) for i in range(150)]
@@ -124,15 +124,41 @@ def test_near_duplicates_heavy_keys(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     met = []
     sketches = near_duplicates._sketches
-    monkeypatch.setattr(near_duplicates, "_sketches", lambda *a: met.append(sketches(*a)) or met[-1])
+    monkeypatch.setattr(near_duplicates, "_sketches", lambda *a: met.append(sketches(*a).collect()) or sketches(*a))
     got = near_duplicates.near_duplicates(docs).collect()
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
-    classes = len({t for _, t in rows})
+    slices = docs.rdd.getNumPartitions()
     times = {}
-    for x in met[0].where("bucket < 8").collect():
+    for x in (x for x in met[0] if x["bucket"] < 8):
         for k in np.frombuffer(x["keys"], np.uint32).tolist():
             times[x["bucket"], k] = times.get((x["bucket"], k), 0) + 1
-    assert max(times.values()) < 80 and sum(len(x["head"]) for x in met[0].collect()) // near_duplicates._HEAD.itemsize < 2 * 16 * classes
+    assert max(times.values()) <= near_duplicates.HOT * slices
+
+
+def test_near_duplicates_many(spark):
+    """5,000 near copies take about one comparison each, and as many unlike texts round a common passage hardly any."""
+    r = random.Random(5)
+    base, passage = [f"w{k}" for k in range(150)], [f"s{k}" for k in range(60)]
+    rows = []
+    for i in range(5000):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"z{r.random()}"
+        rows.append((i, " ".join(w)))
+    rows += [(10_000 + i, " ".join([*passage, *(f"u{i}x{k}" for k in range(20))])) for i in range(5000)]
+    compared = []
+    verified = near_duplicates._verified
+    near_duplicates._verified = lambda pairs, *a: compared.append(pairs.count()) or verified(pairs, *a)
+    try:
+        got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        near_duplicates._verified = verified
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows[:5000]]
+    near = {i for i, s in enumerate(sets) if 100 * len(s & sets[0]) >= 75 * len(s | sets[0])}
+    component = {x["doc_id"]: x["component_id"] for x in got}
+    assert all(component[i] == component[0] for i in near)
+    assert all(component[i] == i for i in range(10_000, 15_000))
+    assert sum(compared) < 3 * len(rows)
 
 
 def test_hot_join_deals_rows_alike(spark):
