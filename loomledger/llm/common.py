@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words as the contracts of mixing and near duplicates define them (RE2 and Java read it alike).
@@ -62,6 +62,11 @@ def rows_fit(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def share_of(rows: Column, share: float) -> Column:
+    """Whether a row is in a sample of about `share` of all, by its hash `rows` (64 bits): no row is sorted or moved."""
+    return F.shiftrightunsigned(rows, 12).cast("double") < share * (1 << 52)
+
+
 def semi(df: DataFrame, ids: DataFrame, key: str, most: int = 500_000, how: str = "left_semi") -> DataFrame:
     """Rows of `df` whose `key` is (left_anti: isn't) in the one column of `ids`; nulls match nulls.
 

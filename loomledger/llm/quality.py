@@ -1,6 +1,6 @@
 """Quality from weak labels: overlapping heuristic labellers vote, expectation-maximisation estimates how accurate each is (Dawid and Skene, 1979), and the posterior labels train a linear scorer over hashed features.
 
-Votes are 1 (good), 0 (bad) or -1 (none). Only counts of vote patterns go to the estimation, at most 3 to the number of labellers of them, whatever the corpus. The scorer is trained on at most `MOST_ROWS` texts, the first by a hash of the text; votes, patterns and scores cover all.
+Votes are 1 (good), 0 (bad) or -1 (none). Only counts of vote patterns go to the estimation, at most 3 to the number of labellers of them, whatever the corpus. The scorer is trained on at most `MOST_ROWS` texts, a share of all rows by a hash of id and text; votes, patterns and scores cover all.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_fit
+from .common import share_of
 
 SLOTS = 1 << 16
 MOST_ROWS = 20_000
@@ -94,17 +94,17 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32())], names=["code"])
 
 
-def label_model(docs: DataFrame, text: str = "text") -> tuple[dict[int, float], dict[str, float]]:
-    """The posterior of each vote pattern, and the estimated accuracy of each labeller when it votes."""
+def label_model(docs: DataFrame, text: str = "text") -> tuple[dict[int, float], dict[str, float], int]:
+    """The posterior of each vote pattern, the estimated accuracy of each labeller when it votes, and the number of rows. Repeated rows count each."""
     rows = docs.select(F.col(text).alias("text")).mapInArrow(_voted, "code int").groupBy("code").count().orderBy("code").collect()
     if not rows:
-        return {}, {}
+        return {}, {}, 0
     code, counts = np.array([r["code"] for r in rows]), np.array([r["count"] for r in rows], dtype=float)
     patterns = np.stack([code // 3**j % 3 - 1 for j in range(len(LABELLERS))], axis=1)
     table, share, good = estimate(patterns, counts)
     prior = np.array([1 - share, share])
     right = {name: float((prior * [t[0, 1], t[1, 2]]).sum() / (prior[:, None] * t[:, 1:]).sum()) for name, t in zip(LABELLERS, table, strict=True)}
-    return dict(zip(code.tolist(), good.tolist(), strict=True)), right
+    return dict(zip(code.tolist(), good.tolist(), strict=True)), right, int(counts.sum())
 
 
 def _fit(rows: list[tuple[list[int], list[float], float]], steps: int = 200, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -127,22 +127,23 @@ def _fit(rows: list[tuple[list[int], list[float], float]], steps: int = 200, rat
 def weak_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS, threshold: float = 0.5) -> DataFrame:
     """(doc_id, posterior, score, keep) of every row of `docs`: the label model's and the scorer's probability that the text is good; keep: score >= threshold.
 
-    A null text counts as empty. Equal texts score alike. Other columns are ignored; an empty table gives no rows.
+    A null text counts as empty. Equal texts score alike, repeated rows and rows without an id too. A text is read whole, however long. Other columns are ignored; an empty table gives no rows.
     """
     own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    posterior, _ = label_model(own, "text")
-    sample = own.select("text")
-    if not rows_fit(sample, most_rows):
-        sample = sample.withColumn("by", F.xxhash64("text")).orderBy("by").limit(most_rows).select("text")
+    posterior, _, n = label_model(own, "text")
+    by = F.xxhash64("id", "text")
+    sample = own.select("text", by.alias("by")).where(share_of(by, most_rows / max(n, 1)) if n > most_rows else F.lit(True))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = [features(t) for t in texts]
             good = [posterior[sum((v + 1) * 3**j for j, v in enumerate(votes(t)))] for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32())), pa.array(good)], names=["slots", "shares", "good"])
+            yield pa.RecordBatch.from_arrays([batch.column("by"), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32())), pa.array(good)], names=["by", "slots", "shares", "good"])
 
-    rows = [(r["slots"], r["shares"], r["good"]) for r in sample.mapInArrow(encode, "slots array<int>, shares array<float>, good double").collect()]
+    # about most_rows of them, cut to so many
+    rows = sorted((r["by"], r["slots"], r["shares"], r["good"]) for r in sample.mapInArrow(encode, "by long, slots array<int>, shares array<float>, good double").collect())
+    rows = [r[1:] for r in rows[:most_rows]]
     w, bias = _fit(rows) if rows else (np.zeros(SLOTS), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), bias, posterior))  # of fixed size
 

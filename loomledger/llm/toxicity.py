@@ -2,7 +2,7 @@
 
 Terms are the words of a text and their first 3 to 8 bytes, hashed into 2^18 slots; a text has a term or hasn't. The counts of every slot over all labelled training texts choose the slots that the model sees. The machine has a weight for each and a short vector; the product of two vectors is the weight of the pair, so an insult beside the mention of a group counts for more than the two alone.
 
-Training takes at most `MOST_ROWS` labelled texts, the first by a hash of their id; counts and scores cover all.
+Training takes at most `MOST_ROWS` labelled texts, a share of them by a hash of their id; counts and scores cover all.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, rows_fit
+from .common import fresh, rows_fit, share_of
 from .words import ALNUM, U, Words, chunks
 
 SLOTS = 1 << 18
@@ -109,7 +109,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS) -> Machine | None:
-    """A machine fitted to the labels, or None if there are no examples of one label."""
+    """A machine fitted to the labels, or None if there are no examples of one label.
+
+    Labels that are null, or of ids that no row has, don't count; rows without an id have none. Of repeated labels of an id the highest holds; repeated rows of an id count each. Empty tables give None.
+    """
     examples = _examples(docs, labels, doc_id, text, label)
     # at most SLOTS + 1 rows, whatever the corpus
     rows = examples.select("text", "label").mapInArrow(_counted, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
@@ -131,10 +134,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             term = number[slot]
             text_, term = text_[term >= 0], term[term >= 0]
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text_, np.arange(len(texts) + 1)), pa.int32()), pa.array(term))
-            yield pa.RecordBatch.from_arrays([lists, batch.column("label")], names=["terms", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column("by"), lists, batch.column("label")], names=["by", "terms", "label"])
 
-    few = examples.withColumn("by", F.xxhash64("id")).orderBy("by", "id").limit(most_rows) if not rows_fit(examples.select("id"), most_rows) else examples
-    sample = few.select("text", "label").mapInArrow(encode, "terms array<int>, label int").toPandas()
+    by = F.xxhash64("id")
+    few = examples.select(by.alias("by"), "text", "label").where(share_of(by, most_rows / n_all) if (n_all := all_clean + all_toxic) > most_rows else F.lit(True))
+    # about most_rows of them, cut to so many
+    sample = few.mapInArrow(encode, "by long, terms array<int>, label int").toPandas().sort_values("by", kind="stable")[:most_rows]
     count = np.array([len(x) for x in sample.terms])
     model.fit(np.repeat(np.arange(len(sample)), count), np.concatenate(sample.terms.to_list()).astype(np.int64), (sample.label.to_numpy() > 0).astype(float))
     return model

@@ -361,6 +361,11 @@ def test_toxicity(spark):
     kept = toxicity.drop_toxic(docs, marks)
     assert kept.columns == docs.columns and kept.where("doc_id is null or doc_id > 599").count() == 3
     assert toxicity.drop_toxic(docs, marks.limit(0)).count() == docs.count()
+    # a sample of the labelled rows, repeated rows, and one very long text
+    more = docs.union(docs).union(docs.where("doc_id = 5").withColumn("text", F.repeat(F.concat("text", F.lit(" ")), 5000)))
+    out, name = toxicity.scored(more, toxicity.train(more, marks, most_rows=300))
+    got = {x["doc_id"]: x[name] for x in out.collect()}
+    assert sum((got[i] >= 0.5) == bool(y) for i, y in held) >= 0.9 * len(held)
 
 
 def test_machine_learns_pairs():
@@ -404,6 +409,36 @@ def test_quality(spark):
     got = {x["doc_id"]: x for x in quality.weak_quality(docs).collect()}
     assert sum(got[i]["keep"] for i in range(120)) == 120 and sum(got[i]["keep"] for i in range(120, 150)) == 0
     assert got[150]["score"] == got[151]["score"]
-    _, right = quality.label_model(docs)
-    assert set(right) == set(quality.LABELLERS)
+    _, right, n = quality.label_model(docs)
+    assert n == 152 and set(right) == set(quality.LABELLERS)
     assert quality.weak_quality(docs.limit(0)).count() == 0
+    # a sample of 80 of 304 rows, repeated rows and one very long text among them
+    more = docs.union(docs.withColumn("doc_id", F.col("doc_id") + 1000)).union(docs.where("doc_id = 0").withColumn("text", F.repeat(F.concat("text", F.lit(" ")), 3000)))
+    some = {(x["doc_id"], x["score"]): x["keep"] for x in quality.weak_quality(more, most_rows=80).collect()}
+    assert sum(k == (i % 1000 < 120) for (i, _), k in some.items() if i % 1000 < 150) >= 0.95 * 300
+
+
+def test_quality_em():
+    """The posteriors are those of the same steps taken vote by vote."""
+    r = np.random.default_rng(3)
+    rows = r.integers(-1, 2, (400, 3))
+    patterns, counts = np.unique(rows, axis=0, return_counts=True)
+    table, share, good = quality.estimate(patterns, counts.astype(float))
+    own = [0.1 if 0 in v else 0.9 for v in rows.tolist()]
+    for _ in range(quality.ROUNDS):
+        p = (sum(own) + 1) / (len(own) + 2)
+        t = {}
+        for j in range(3):
+            for label in (0, 1):
+                w = [g if label else 1 - g for g in own]
+                c = [sum(x for x, v in zip(w, rows[:, j].tolist(), strict=True) if v == k) for k in (-1, 0, 1)]
+                c = [c[0] + 0.1, c[1] + 0.1 + 0.9 * (label == 0), c[2] + 0.1 + 0.9 * (label == 1)]
+                t[j, label] = [x / sum(c) for x in c]
+        own = []
+        for v in rows.tolist():
+            a, b = 1 - p, p
+            for j in range(3):
+                a, b = a * t[j, 0][v[j] + 1], b * t[j, 1][v[j] + 1]
+            own.append(b / (a + b))
+    want = {tuple(v): g for v, g in zip(rows.tolist(), own, strict=True)}
+    assert share == pytest.approx(p) and all(g == pytest.approx(want[tuple(v)], abs=1e-6) for v, g in zip(patterns.tolist(), good, strict=True))
