@@ -60,10 +60,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_lines, n_deleted: lines of the text and how many of them went (null for a null text, 0 for an empty one); kept_sha256: of what stayed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = line_dedup.dedup_lines(docs.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")), drop_emptied=False)
-    left = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    return kept.select("doc_id", "n_lines", (F.col("n_lines") - left).alias("n_deleted"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    lines = F.when(F.col("text").isNotNull(), lines)
+    kept = line_dedup.dedup_lines(docs.withColumn("n_lines", lines), drop_emptied=False)
+    return kept.select("doc_id", "n_lines", (F.col("n_lines") - lines).alias("n_deleted"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_pii, op3_token_counts, op4_quality, op5_ngram_jaccard, op6_decontaminate, op7_chat_format, op8_fingerprint, op9_toxicity, op10_line_dedup)}

@@ -24,7 +24,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = mix(np.arange(1, 257, dtype=U))[_LOWER]
+_CASED = mix(np.arange(1, 257, dtype=U))
+_BYTE = _CASED[_LOWER]
 
 #: Bytes of words: all but space and \t \n \v \f \r.
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -45,19 +46,19 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of texts: `hash` (64 bits of each word, ASCII case ignored), those of text i at first[i] to first[i + 1]; start, end: bytes in `buf`."""
+    """Words of texts: `hash` (64 bits of each word; ASCII case is ignored unless `cased`), those of text i at first[i] to first[i + 1]; start, end: bytes in `buf`."""
 
-    def __init__(self, texts: list[bytes], is_word: np.ndarray = NOT_SPACE):
+    def __init__(self, texts: list[bytes], is_word: np.ndarray = NOT_SPACE, cased: bool = False):
         buf = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", dtype=np.uint8)
         edge = np.flatnonzero(np.diff(is_word[buf].view(np.int8)))
         start, end = edge[::2] + 1, edge[1::2] + 1
         up, down = _power(len(buf))
-        total = np.cumsum(_BYTE[buf] * up[: len(buf)])
+        total = np.cumsum((_CASED if cased else _BYTE)[buf] * up[: len(buf)])
         self.hash = mix((total[end - 1] - total[start - 1]) * down[start])
         offset = np.cumsum([1, *(len(t) + 1 for t in texts)])
         self.first = np.searchsorted(start, offset)
         self.start, self.end, self.offset = start, end, offset
-        self._total, self._down = total, down
+        self.buf, self._total, self._down = buf, total, down
 
     def prefix(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Which words are longer than n bytes, and the hashes of their first n bytes."""
@@ -70,6 +71,13 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def runs_hash(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs x[start:end], in their order."""
+    up, down = _power(len(x) + 1)
+    total = np.concatenate((np.zeros(1, dtype=U), np.cumsum(x * up[: len(x)])))
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about `most` bytes of text each (one text at least), and their texts as UTF-8; a null text is empty."""
     for batch in batches:

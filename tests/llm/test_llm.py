@@ -224,13 +224,82 @@ def test_line_dedup(spark):
         (1, f"start\n{long}\nend"), (2, f"other\n{long}\ncommon"), (3, "short\ncommon"), (4, "\n".join(half)), (5, "\n".join(["mine", *half, "tail"])),
         (6, "\n".join(half[:1])), (7, None), (8, ""), (9, f"start\n{long}\nend"), (10, f"{long}\nnew\n{long}"),
     ]
-    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").withColumn("ranges", F.lit(1)).withColumn("k", F.lit(2))
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").withColumn("ranges", F.lit(1)).withColumn("K", F.lit(2))
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
     assert got == {1: rows[0][1], 2: "other\ncommon", 3: "short\ncommon", 4: rows[3][1], 5: "mine\ntail", 6: half[0], 7: None, 8: "", 10: "new"}
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, drop_emptied=False).collect()}[9] == ""
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def line_runs(rows, least):
+    """For each row's lines with words: which must go (they lie in the fewest lines that hold `least` words from some line on, and these occurred before), and which may (they lie in any run of so many words that did)."""
+    own = {}
+    for i, t in rows:
+        own[i] = [tuple(x.split()) for x in (t or "").split("\n") if x.split()]
+    place, must, may = {}, {}, {}
+    order = sorted(own)
+    for i in order:
+        must[i], may[i] = set(), set()
+        for s in range(len(own[i])):
+            e, n = s, 0
+            while e < len(own[i]) and n < least:
+                n += len(own[i][e])
+                e += 1
+            if n >= least:
+                if place.setdefault(tuple(own[i][s:e]), (i, s)) != (i, s):
+                    must[i] |= set(range(s, e))
+        for j in order[: order.index(i) + 1]:
+            for shift in range(-len(own[i]) + 1, len(own[j])):
+                if j == i and shift >= 0:
+                    continue
+                run = []
+                for s in range(len(own[i]) + 1):
+                    if s < len(own[i]) and 0 <= s + shift < len(own[j]) and own[i][s] == own[j][s + shift]:
+                        run.append(s)
+                    else:
+                        if sum(len(own[i][x]) for x in run) >= least:
+                            may[i] |= set(run)
+                        run = []
+    return own, must, may
+
+
+def test_line_dedup_random(spark):
+    """Against brute force: every window that occurred before goes, and nothing that isn't in a run of so many words that did."""
+    for seed, least in ((1, 6), (2, 6), (3, 9), (4, 3)):
+        r = random.Random(seed)
+        few = [" ".join(r.choice("abcde") for _ in range(r.randint(1, 4))) for _ in range(4 + 2 * seed)]
+        rows = []
+        for i in range(40):
+            t = [r.choice([*few, "", " "]) if r.random() < 0.8 else f"own{i} {r.random()}" for _ in range(r.randint(0, 14))]
+            if rows and r.random() < 0.5:
+                old = r.choice(rows)[1].split("\n")
+                a = r.randrange(len(old))
+                t[len(t) // 2 : len(t) // 2] = old[a : a + r.randint(1, 8)]
+            rows.append((i, "\n".join(t)))
+        own, must, may = line_runs(rows, least)
+        assert sum(map(len, must.values())) > 20
+        docs = spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id long, text string")
+        got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(docs, min_words=least, drop_emptied=False).collect()}
+        ks = {x["doc_id"]: x["k"] for x in docs.select("doc_id", line_dedup.row_key("doc_id", "text").alias("k")).collect()}
+        gone = {i: set() for i, _ in rows}
+        for x in line_dedup.repeated_runs(docs, min_words=least).collect():
+            for i in [i for i in ks if ks[i] == x["k"]]:
+                gone[i] |= set(range(x["start"], x["last"] + 1))
+        for i, t in rows:
+            assert must[i] <= gone[i] <= may[i], (seed, i)
+            assert [tuple(x.split()) for x in got[i].split("\n") if x.split()] == [x for k, x in enumerate(own[i]) if k not in gone[i]]
+
+
+def test_line_dedup_long(spark):
+    """A text of 20,000 lines and its copy, one of 20,000 equal lines, and one of 20,000 lines in blocks of another order."""
+    lines = [f"line {k} has some words of its own" for k in range(20_000)]
+    blocks = [lines[k : k + 10] for k in range(0, 20_000, 10)]
+    random.Random(1).shuffle(blocks)
+    rows = [(1, "\n".join(lines)), (2, "new\n" + "\n".join(lines)), (3, "\n".join(["the same line again and again"] * 20_000)), (4, "\n".join(x for b in blocks for x in b))]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "new", 3: "the same line again and again"}
+
+
 def test_mixing(spark, docs):
     out, n = mixing.copies(docs.withColumn("size", F.lit(0)).withColumn("target", F.lit(0)))
     rows = out.collect()
