@@ -2,15 +2,17 @@
 
 **Base.** Emails, IPv4 addresses, card numbers (Luhn) and phone numbers, by one regular expression each: leftmost, not overlapping within a kind, places in code points.
 
-**Bootstrapping.** Instances are tokens with a digit or an @, and runs of such tokens without letters, so that a phone or card number of several tokens is one. An instance's patterns are the word before it and the word after it, each with its shape (runs of capitals, small letters and digits). Instances that hold a base span are the seeds. In turns, as a graph in Spark, a pattern is scored by the share of its distinct instances that are known or found of a kind, and patterns of high score and enough of these name further instances, which then support patterns without any seed. Identifiers that have neither a digit nor an @ are no instances.
+**Bootstrapping.** Instances are tokens with a digit or an @, and runs of such tokens without letters, so that a phone or card number of several tokens is one. An instance's patterns are the word before it, the word after it (each with a coarse class of the instance) and both words. Instances that hold a base span are the seeds. In turns, as a graph in Spark, a pattern is scored by the share of its distinct instances that are known or found of a kind (the lower end of Wilson's interval, so that few instances prove little), and patterns of high score and enough of these name further instances, which then support patterns without any seed, until the scores settle. Identifiers that have neither a digit nor an @ are no instances.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, rows_fit
+from .common import cut, free, fresh, rows_fit
 
 # The kinds in the order of the output, and their expressions. Possessive repeats and anchored starts match
 # the same as the plain forms, in time linear in the text.
@@ -22,17 +24,20 @@ KINDS = (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE))
 _NUMERIC = r"[^\s0-9A-Za-z@]*+[0-9][^\sA-Za-z@]*+(?!\S)"
 MENTION = rf"(?<!\S)(?:{_NUMERIC}(?:\x20{_NUMERIC})*+|[^\s0-9@]*+[0-9@]\S*+)"
 
-ROUNDS = 3
+#: Turns end when the scores settle: when what is found, and its scores in all, are as in the turn before. They always end after so many.
+MOST_ROUNDS = 12
 LEAST_SEEDS = 3
-LEAST_SCORE = 0.8
+LEAST_SCORE = 0.6
 _BLOCK = 256
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often it is named, inner functions included."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Matches with their places: array of (start, end, value, gap), gap being the text before. Lengths are summed in blocks, then within them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    rows = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("value"), g.alias("gap")))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string,gap:string>>)")
 
     def step(acc: Column, r: Column) -> Column:
@@ -40,13 +45,15 @@ def _matches(text: Column, pattern: str) -> Column:
         end = start + F.length(r["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), r["value"].alias("value"), r["gap"].alias("gap")))).alias("out"))
 
-    def block(acc: Column, part: Column) -> Column:
-        done = F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
-        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+    def sized(acc: Column, part: Column) -> Column:
+        return F.struct((acc["at"] + F.aggregate(part, F.lit(0), lambda n, r: n + F.length(r["gap"]) + F.length(r["value"]))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
 
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / _BLOCK).cast("int")), lambda k: F.slice(rows, k * _BLOCK + 1, F.lit(_BLOCK)))
-    nested = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int,end:int,value:string,gap:string>>>)").alias("out")), block)
-    return F.when(F.size(found) > 0, F.flatten(nested["out"])).otherwise(empty)
+    def placed(rows: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / _BLOCK).cast("int")), lambda k: F.slice(rows, k * _BLOCK + 1, F.lit(_BLOCK)))
+        return F.when(F.size(rows) > 0, _let(parts, lambda parts: F.flatten(F.zip_with(parts, F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), sized)["out"], lambda part, at: F.aggregate(part, F.struct(at.alias("at"), empty.alias("out")), step)["out"])))).otherwise(empty)
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return _let(_let(both, lambda x: F.zip_with(x["found"], F.slice(x["gaps"], F.lit(1), F.size(x["found"])), lambda m, g: F.struct(m.alias("value"), g.alias("gap")))), placed)
 
 
 def _digits(value: Column) -> Column:
@@ -69,7 +76,7 @@ def _holds(kind: str, value: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(value, r"\."), lambda p: p.rlike(r"^0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
     if kind == "card":
-        return F.length(_digits(value)).between(13, 19) & _luhn(_digits(value))
+        return F.when(F.length(_digits(value)).between(13, 19), _luhn(_digits(value))).otherwise(False)
     if kind == "phone":
         return F.length(_digits(value)).between(9, 15)
     return F.lit(True)
@@ -83,14 +90,26 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(sorted_, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _shape(token: Column) -> Column:
-    for runs, sign in (("[A-Z]+", "A"), ("[a-z]+", "a"), ("[0-9]+", "0")):
-        token = F.regexp_replace(token, runs, sign)
-    return token
+def _class(token: Column) -> Column:
+    """@ if it holds one, 0 without letters, else a: hardly more than what makes a token an instance, so that patterns reach beyond the base expressions."""
+    return F.when(F.contains(token, F.lit("@")), "@").when(token.rlike("[A-Za-z]"), "a").otherwise("0")
+
+
+def _kind_of(token: Column) -> Column:
+    """The first kind whose expression a token holds, or null: a token is looked at alone, so that a text of many costs no more than their lengths."""
+    needs = {"email": F.contains(token, F.lit("@")), "phone": F.contains(token, F.lit("+"))}
+    kind = F.lit(None).cast("string")
+
+    def held(name: str, pattern: str) -> Column:
+        return F.exists(F.regexp_extract_all(token, F.lit(pattern), F.lit(0)), lambda m: _holds(name, m))
+
+    for name, pattern in reversed(KINDS):
+        kind = F.when(needs.get(name, F.lit(True)) & held(name, pattern), F.lit(name)).otherwise(kind)
+    return kind
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """`docs` with arrays of base spans (kind, start, end) and of mentions (start, end, token, contexts, kind of the span that they hold), and these columns' names."""
+    """`docs` with arrays of base spans (kind, start, end) and of mentions (start, end, token, contexts, kind of the base that they hold), and these columns' names."""
     names = dict(zip(("spans", "mentions"), fresh(docs, "spans", "mentions"), strict=True))
     t = F.coalesce(F.col(text), F.lit(""))
     needs = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+"))}
@@ -103,9 +122,7 @@ def base_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str
         return F.when(needs.get(kind, digit), spans).otherwise(none)
 
     out = docs.withColumn(names["spans"], F.concat(*(own(k, p) for k, p in KINDS)))
-    spans = F.col(names["spans"])
 
-    found = _matches(t, MENTION)
     blank = lambda x: F.trim(F.translate(x, "\n\t\r", "   "))
 
     def word(x: Column, at: int) -> Column:
@@ -116,33 +133,48 @@ def base_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str
     def mention(m: Column, near: Column) -> Column:
         token = F.regexp_replace(m["value"], r"[.,;:!?)\]}'\"]+$", "")
         end = m["start"] + F.length(token)
-        inside = F.filter(spans, lambda s: (s["start"] < end) & (s["end"] > m["start"]))
         left, right = word(F.concat_ws(" ", near["before"], m["gap"]), -1), word(near["after"], 1)
-        shape = F.substr(_shape(token), F.lit(1), F.lit(64))
-        own = F.filter(F.array(F.when(left != "", F.concat_ws(" ", F.lit("<"), left, shape)), F.when(right != "", F.concat_ws(" ", F.lit(">"), right, shape))), lambda c: c.isNotNull())
-        return F.struct(m["start"].alias("start"), end.alias("end"), token.alias("token"), own.alias("contexts"), F.try_element_at(inside, F.lit(1))["kind"].alias("kind"))
-
-    # for each mention the one before it, and the text up to the one after it with that one
-    values = F.transform(found, lambda m: m["value"])
-    after = F.zip_with(F.slice(F.split(t, MENTION, -1), F.lit(2), F.size(found)), F.slice(values, F.lit(2), F.size(found)), lambda g, v: F.concat_ws(" ", g, v))
-    near = F.zip_with(F.slice(F.concat(F.array(F.lit("")), values), F.lit(1), F.size(found)), after, lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+        sides = (left != "") & (right != "")
+        own = F.array(F.when(left != "", F.concat_ws(" ", F.lit("<"), left, _class(token))), F.when(right != "", F.concat_ws(" ", F.lit(">"), right, _class(token))), F.when(sides, F.concat_ws(" ", F.lit("<>"), left, right)))
+        own = F.filter(own, lambda c: c.isNotNull())
+        return F.struct(m["start"].alias("start"), end.alias("end"), token.alias("token"), own.alias("contexts"), _kind_of(token).alias("kind"))
+
+    def mentions(x: Column) -> Column:
+        # for each mention the one before it, and the text up to the one after it with that one
+        values = F.transform(x["found"], lambda m: m["value"])
+        after = F.zip_with(F.slice(x["gaps"], F.lit(2), F.size(x["found"])), F.slice(values, F.lit(2), F.size(x["found"])), lambda g, v: F.concat_ws(" ", g, v))
+        near = F.zip_with(F.slice(F.concat(F.array(F.lit("")), values), F.lit(1), F.size(x["found"])), after, lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+        return F.zip_with(x["found"], near, mention)
+
+    listed = _let(F.struct(_matches(t, MENTION).alias("found"), F.split(t, MENTION, -1).alias("gaps")), mentions)
     nothing = F.expr("cast(array() as array<struct<start:int,end:int,token:string,contexts:array<string>,kind:string>>)")
-    return out.withColumn(names["mentions"], F.when(digit | needs["email"], F.zip_with(found, near, mention)).otherwise(nothing)), names
+    return out.withColumn(names["mentions"], F.when(digit | needs["email"], listed).otherwise(nothing)), names
+
+
+def _lower(hits: Column, n: Column) -> Column:
+    """The lower end of Wilson's interval of a share, one standard deviation wide."""
+    p = hits / n
+    return (p + 1 / (2 * n) - F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + 1 / (4 * n * n))) / (1 + 1 / n)
 
 
 def contexts(mentions: DataFrame) -> DataFrame:
-    """(context, kind, score, seeds) from rows (token, context, kind), kind null if unknown. In each of ROUNDS turns the instances of good contexts are found, and count for other contexts, with seeds or without."""
+    """(context, kind, score, seeds) from rows (token, context, kind), kind null if unknown. In turns the instances of good contexts are found, and count for other contexts, with seeds or without, until the scores settle."""
     graph = cut(mentions.groupBy("context", "token").agg(F.max("kind").alias("known")))
     size = cut(graph.groupBy("context").agg(F.count("*").alias("n")))
     known = cut(graph.where("known is not null").groupBy("token").agg(F.max("known").alias("kind")).withColumn("token_score", F.lit(1.0)))
-    free = cut(graph.select("context", "token").join(known, "token", "left_anti"))
-    have = known
-    for turn in range(ROUNDS):
-        sums = graph.select("context", "token").join(have, "token").groupBy("context", "kind").agg(F.sum("token_score").alias("total"), F.count("*").alias("seeds"))
-        context = cut(sums.join(size, "context").select("context", "kind", (F.col("total") / F.col("n")).alias("score"), "seeds"))
-        if turn + 1 < ROUNDS:
-            found = free.join(good_contexts(context), "context").groupBy("token").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("token_score"))
-            have = cut(known.unionByName(found))
+    pairs = graph.select("context", "token")
+    have, before, context = known, None, None
+    for _ in range(MOST_ROUNDS):
+        sums = pairs.join(have, "token").groupBy("context", "kind").agg(F.sum("token_score").alias("total"), F.count("*").alias("seeds"))
+        last, context = context, cut(sums.join(size, "context").select("context", "kind", _lower(F.col("total"), F.col("n")).alias("score"), "seeds"))
+        free(*filter(None, [last]))
+        found = pairs.join(good_contexts(context), "context").groupBy("token").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("token_score"))
+        have = cut(known.unionByName(found.join(known, "token", "left_anti")))
+        now = have.agg(F.count("*"), F.round(F.sum("token_score"), 2)).first()
+        if now == before or (before is None and now[0] == known.count()):
+            break
+        before = now
+    free(graph, size, known)
     return context
 
 
