@@ -17,6 +17,11 @@ def idempotent_apply(events: DataFrame, ledger: DataFrame, event_id: str = "even
     return events.join(ledger.select(event_id), event_id, "left_anti").dropDuplicates([event_id])
 
 
+def event_ledger_append(ledger: DataFrame, events: DataFrame, event_id: str = "event_id") -> DataFrame:
+    """The ledger with the events that it doesn't have, each once; what is there stays as it is."""
+    return ledger.unionByName(idempotent_apply(events, ledger, event_id).select(*ledger.columns))
+
+
 def handoff_lag(pairs: DataFrame, upstream: str, downstream: str, kind: str) -> DataFrame:
     """With lag_days and breached: whether the lag is outside the window of its kind."""
     low, high = HANDOFF_DAYS[kind]
@@ -58,15 +63,23 @@ def collision_check(df: DataFrame, id: str, key: str) -> DataFrame:
 
 
 def valid_range_join(facts: DataFrame, ranges: DataFrame, on: str, at: str, code: str) -> DataFrame:
-    """The lowest code valid at a fact's date (valid_from <= date < valid_to, open if NULL); NULL if none. Ranges are few per key."""
-    hit = facts.join(ranges, (facts[on] == ranges[on]) & (facts[at] >= ranges["valid_from"]) & (ranges["valid_to"].isNull() | (facts[at] < ranges["valid_to"])), "left").drop(ranges[on])
-    return hit.groupBy(*facts.columns).agg(F.min(code).alias(code))
+    """The lowest code valid at a fact's date (valid_from <= date < valid_to, open if NULL); NULL if none. Every fact stays one row.
+
+    The ranges of a key are cut where any of them begins or ends; each piece has its lowest code, so a fact meets one piece at most.
+    """
+    r = ranges.select(F.col(on).alias("_on"), "valid_from", "valid_to", F.col(code).alias(code))
+    cuts = r.select("_on", F.col("valid_from").alias("_from")).union(r.where("valid_to is not null").select("_on", "valid_to")).distinct()
+    pieces = cuts.withColumn("_to", F.lead("_from").over(Window.partitionBy("_on").orderBy("_from")))
+    own = r.withColumnRenamed("_on", "_key")
+    valid = pieces.join(own, (F.col("_on") == F.col("_key")) & (F.col("_from") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_from") < F.col("valid_to")))).groupBy("_on", "_from", "_to").agg(F.min(code).alias(code))
+    return facts.join(valid, (facts[on] == F.col("_on")) & (facts[at] >= F.col("_from")) & (F.col("_to").isNull() | (facts[at] < F.col("_to"))), "left").select(*(facts[c] for c in facts.columns), code)
 
 
 def post_revenue(invoices: DataFrame, daily: DataFrame, centers: DataFrame) -> DataFrame:
-    """INV postings of invoices (order_id, invoice_date, company_code, currency_code, company_currency, amount): both currencies, period, valid cost centre."""
+    """INV postings of invoices (order_id, invoice_date, company_code, currency_code, company_currency, amount): both currencies, period, the lowest valid cost centre that is active."""
     from ..functions.money import convert_currency
 
+    centers = centers.where("is_active") if "is_active" in centers.columns else centers
     placed = valid_range_join(invoices, centers, "company_code", "invoice_date", "cost_center_code")
     both = convert_currency(placed, daily, "amount", "currency_code", "company_currency", "invoice_date", "amount_company")
     return both.select(F.col("order_id").alias("posting_id"), F.concat(F.lit("INV-"), F.lpad(F.col("order_id").cast("string"), 12, "0")).alias("document_number"), F.lit("INV").alias("document_type"), "company_code", "cost_center_code", F.col("invoice_date").alias("posting_date"), F.date_format("invoice_date", "yyyy-MM").alias("fiscal_period"), "currency_code", F.col("amount").alias("amount_doc"), "company_currency", "amount_company")

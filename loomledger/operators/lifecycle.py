@@ -31,14 +31,26 @@ def sla_status(at: Column, due: Column) -> Column:
     return F.when(F.to_date(at) > F.to_date(due), "BREACHED").otherwise("ON_TIME")
 
 
-def clamp_not_before(at: Column, *floors: Column) -> Column:
-    """`at` raised to each floor that isn't NULL."""
+def clamp_not_before(at: Column, *floors: Column, by_date: bool = False) -> Column:
+    """`at` raised to each floor that isn't NULL. by_date: `at` or the floor is a date, so that a floor later on the same day doesn't raise it."""
     for f in floors:
         f = f.cast("timestamp_ntz")
-        at = F.when(f.isNotNull() & (at < f), f).otherwise(at)
+        below = F.to_date(at) < F.to_date(f) if by_date else at < f
+        at = F.when(f.isNotNull() & below, f).otherwise(at)
     return at
 
 
+# Days of each service level, and how many kilometres take a further day.
+SERVICE_DAYS = {"GROUND": 5, "EXPRESS": 2, "SEA": 9}
+KM_PER_DAY = 900
+
+
+def promised_date(ship: Column, service: Column, km: Column) -> Column:
+    """The ship date and the days of the service level, and one for each whole 900 km."""
+    days = F.create_map(*(F.lit(x) for pair in SERVICE_DAYS.items() for x in pair))[service]
+    return F.date_add(ship, (days + F.floor(km / KM_PER_DAY)).cast("int"))
+
+
 def infer_order_history(orders: DataFrame, id: str = "order_id") -> DataFrame:
     """Transitions that an order's current row implies, from columns created_at, updated_at, requested_date, ship_date (DATE), invoiced_at, status.
 

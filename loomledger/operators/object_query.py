@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -40,7 +41,10 @@ def predicate(df: DataFrame, field: str, op: str, value) -> Column:
         fold = text and all(isinstance(v, str) for v in items)
         return F.lower(c).isin([v.lower() for v in items]) if fold else c.isin(items)
     if op == "LIKE":
-        return c.ilike(value) if text else c.cast("string").like(value)
+        pattern = value.replace("\\", "\\\\")  # a backslash is a letter like others here
+        return c.ilike(pattern) if text else c.cast("string").like(pattern)
+    if text and not isinstance(value, str):
+        raise QueryError("INVALID_QUERY_FILTER_OPERATOR", f"{name} is text, {value!r} isn't")
     if op in ("=", "!="):
         left, right = (F.lower(c), F.lit(value.lower())) if text and isinstance(value, str) else (c, F.lit(value).cast(df.schema[name].dataType))
         return left == right if op == "=" else left != right
@@ -77,9 +81,13 @@ def record_envelope(df: DataFrame, kind: str, id: str, base: str = "/services/da
 def result_index(df: DataFrame, id: str, *order: str) -> DataFrame:
     """(sequence_number, id) of the ordered rows, from 0.
 
-    Rows are range-partitioned by the order, numbered within partitions, and shifted by the sizes of the partitions before: no partition holds them all.
+    Rows are range-partitioned by the order, numbered within partitions, and shifted by the sizes of the partitions before: no partition holds them all. The ranges are drawn once: with a checkpoint folder they are kept there, so that rows that are computed again fall in the same ones.
     """
     ranged = df.select(id, *(c for c in order if c != id)).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    if folder := df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        path = f"{folder}/index-{uuid.uuid4().hex}"
+        ranged.write.parquet(path)
+        ranged = df.sparkSession.read.parquet(path)
     before = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     at = F.row_number().over(Window.partitionBy("part").orderBy(*order))
     return ranged.withColumn("at", at).join(F.broadcast(before), "part").select((F.col("at") - 1 + F.col("shift")).alias("sequence_number"), id)

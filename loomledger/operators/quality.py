@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,18 +55,61 @@ def schema_fingerprint(contract: DataFrame) -> DataFrame:
 
 def contract_versions(known: DataFrame, seen: DataFrame) -> DataFrame:
     """`known` (table_name, version, schema_fingerprint, retired) with new versions for unseen fingerprints, numbered on; the one before retires. A fingerprint that returns adds nothing."""
-    new = seen.join(known.select("table_name", "schema_fingerprint"), ["table_name", "schema_fingerprint"], "left_anti")
+    new = seen.select("table_name", "schema_fingerprint").distinct().join(known.select("table_name", "schema_fingerprint"), ["table_name", "schema_fingerprint"], "left_anti")
     last = known.groupBy("table_name").agg(F.max("version").alias("last"))
-    added = new.join(last, "table_name", "left").select("table_name", (F.coalesce("last", F.lit(0)) + 1).cast("int").alias("version"), "schema_fingerprint", F.lit(False).alias("retired"))
-    old = known.join(added.select("table_name", F.lit(True).alias("replaced")), "table_name", "left").select("table_name", F.col("version").cast("int").alias("version"), "schema_fingerprint", (F.col("retired") | F.coalesce("replaced", F.lit(False))).alias("retired"))
+    own = Window.partitionBy("table_name").orderBy("schema_fingerprint")  # several unseen ones of a table follow each other, the last one holds
+    number, next_ = F.coalesce("last", F.lit(0)) + F.row_number().over(own), F.lead("schema_fingerprint").over(own)
+    added = new.join(last, "table_name", "left").select("table_name", number.cast("int").alias("version"), "schema_fingerprint", next_.isNotNull().alias("retired"))
+    old = known.join(added.select("table_name", F.lit(True).alias("replaced")).distinct(), "table_name", "left").select("table_name", F.col("version").cast("int").alias("version"), "schema_fingerprint", (F.col("retired") | F.coalesce("replaced", F.lit(False))).alias("retired"))
     return old.unionByName(added)
 
 
+def current_contract(versions: DataFrame, columns: DataFrame) -> DataFrame:
+    """The columns (table_name, schema_fingerprint, column_name, ...) of each table's version that isn't retired."""
+    return versions.where("not retired").select("table_name", "version", "schema_fingerprint").join(columns, ["table_name", "schema_fingerprint"])
+
+
+def describe_type(df: DataFrame, id: str) -> DataFrame:
+    """(field, type, nillable, custom) of an object's fields, in order. Its id and names that end in Id are of type id; decimals count as text; only the id must have a value."""
+    kinds = {"boolean": "boolean", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "double", "double": "double", "date": "datetime", "timestamp": "datetime", "timestamp_ntz": "datetime"}
+    kind = lambda f: "id" if f.name == id or f.name.endswith("Id") else kinds.get(f.dataType.simpleString(), "string")
+    rows = [(f.name, kind(f), f.name != id, f.name.endswith("__c")) for f in df.schema.fields]
+    return df.sparkSession.createDataFrame(rows, "field string, type string, nillable boolean, custom boolean")
+
+
+def history_coverage(entities: DataFrame, history: DataFrame) -> DataFrame:
+    """(entity_type, eligible, inferred, recorded, invalid) from entities (entity_type, entity_id) and history (entity_type, entity_id, origin, occurred_at, recorded_at): how many there are, how many have inferred and recorded histories, and whose first event is later than all their records."""
+    inferred = F.col("origin").eqNullSafe(F.lit("inferred_baseline"))
+    each = history.groupBy("entity_type", "entity_id").agg(F.max(inferred).alias("inferred"), F.max(~inferred).alias("recorded"), (F.min("occurred_at") > F.max("recorded_at")).alias("invalid"))
+    both = entities.distinct().join(each, ["entity_type", "entity_id"], "left")
+    return both.groupBy("entity_type").agg(F.count("*").alias("eligible"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(c) for c in ("inferred", "recorded", "invalid")))
+
+
+def run_state_counts(runs: DataFrame) -> DataFrame:
+    """(state, runs, first_incomplete): runs (business_date, state) by state, and the first date that isn't completed."""
+    first = runs.agg(F.min(F.when(F.col("state") != "COMPLETED", F.col("business_date"))).alias("first_incomplete"))
+    return runs.groupBy("state").agg(F.count("*").alias("runs")).crossJoin(F.broadcast(first))  # one row
+
+
+def backfill_status(progress: DataFrame) -> DataFrame:
+    """The last checkpoint of each target: (target, scanned, updated, done) from rows (target, at, scanned, updated, done)."""
+    return progress.groupBy("target").agg(F.max_by(F.struct("scanned", "updated", "done"), F.struct("at", "scanned")).alias("x")).select("target", "x.*")
+
+
+def typed_load(df: DataFrame, types: dict[str, str], required: set[str], rules: dict[str, Column]) -> DataFrame:
+    """`df` with the columns and types of a contract. What is missing or NULL comes from its rule; supplied values stay; a required column without values or a rule is an error. Rules see the typed columns."""
+    if lacking := sorted(c for c in required if c not in df.columns and c not in rules):
+        raise ValueError(f"required columns without values or rules: {', '.join(lacking)}")
+    typed = df.select(*((F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in types.items()))
+    return typed.select(*((F.coalesce(F.col(c), rules[c].cast(t)) if c in rules else F.col(c)).alias(c) for c, t in types.items()))
+
+
 def schema_drift(before: DataFrame, now: DataFrame) -> DataFrame:
-    """(column_name, change): added, removed or retyped columns."""
-    both = before.select("column_name", F.col("data_type").alias("old")).join(now.select("column_name", F.col("data_type").alias("new")), "column_name", "full")
+    """(table_name, column_name, change): added, removed or retyped columns."""
+    side = lambda df, name: df.select("table_name", "column_name", F.col("data_type").alias(name))
+    both = side(before, "old").join(side(now, "new"), ["table_name", "column_name"], "full")
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "retyped")
-    return both.withColumn("change", change).where("change is not null").select("column_name", "change")
+    return both.withColumn("change", change).where("change is not null").select("table_name", "column_name", "change")
 
 
 def audit_backfill(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

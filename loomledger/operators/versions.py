@@ -50,10 +50,3 @@ def id_diff(expected: DataFrame, actual: DataFrame, id: str) -> DataFrame:
     """Ids that are missing and unexpected."""
     e, a = expected.select(id).distinct(), actual.select(id).distinct()
     return e.join(a, id, "left_anti").withColumn("finding", F.lit("missing")).union(a.join(e, id, "left_anti").withColumn("finding", F.lit("unexpected")))
-
-
-def ledger_changes(before: DataFrame, now: DataFrame, id: str) -> DataFrame:
-    """(id, change) of rows of an append-only ledger that were changed or deleted between two snapshots."""
-    mark = lambda d, n: d.select(F.col(id), F.xxhash64(*d.columns).alias(n))
-    both = mark(before, "h0").join(mark(now, "h1"), id, "left")
-    return both.where(F.col("h1").isNull() | (F.col("h0") != F.col("h1"))).select(id, F.when(F.col("h1").isNull(), "deleted").otherwise("changed").alias("change"))

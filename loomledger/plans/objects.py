@@ -86,9 +86,9 @@ def oq_range(spark, d):
     return oq.object_query(b.table(spark, d, "orders"), ["o_orderkey"], [("o_totalprice", ">=", 100000), ("o_orderpriority", "<", "3")])
 
 
-@query("SELECT p_partkey FROM part WHERE p_type ILIKE '%a_s%'", views=False)
+@query("SELECT p_partkey FROM part WHERE p_type ILIKE '%o_o%' OR p_type ILIKE 'zz%'", views=False)
 def oq_like(spark, d):
-    return oq.object_query(b.table(spark, d, "part"), ["p_partkey"], [("p_type", "LIKE", "%A_S%")])
+    return oq.object_query(b.table(spark, d, "part"), ["p_partkey"], [("p_type", "LIKE", "%O_O%")])
 
 
 @query("SELECT o_orderkey FROM orders WHERE lower(o_orderstatus) IN ('p', 'f')", views=False)
@@ -258,9 +258,9 @@ def rolling_usage(spark, d):
     return e.select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("s").rangeBetween(-86400, 0)).alias("events_24h"))
 
 
-@query("SELECT user_id, arg_max(event_type, ts) AS stage, max(ts) AS at FROM events GROUP BY user_id", views=False)
+@query("SELECT user_id, event_type AS stage, ts AS at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1", views=False)
 def checkpoint_latest(spark, d):
-    return b.table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("stage"), F.max("ts").alias("at"))
+    return b.table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("stage"), F.max("ts").alias("at"))
 
 
 @query("SELECT event_type, count(*) AS n, max(CAST(ts AS DATE)) AS last_date FROM events GROUP BY event_type", views=False)
@@ -268,6 +268,6 @@ def event_stats(spark, d):
     return b.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max(F.to_date("ts")).alias("last_date"))
 
 
-@query("SELECT event_id, event_type FROM events WHERE CAST(ts AS DATE) <= DATE '1995-06-30' AND event_type = 'purchase'", views=False)
+@query("SELECT event_id, event_type FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-10' AND event_type = 'purchase'", views=False)
 def events_through(spark, d):
-    return b.table(spark, d, "events").where((F.to_date("ts") <= F.lit("1995-06-30").cast("date")) & (F.col("event_type") == "purchase")).select("event_id", "event_type").orderBy("event_id")
+    return b.table(spark, d, "events").where((F.to_date("ts") <= F.lit("2024-01-10").cast("date")) & (F.col("event_type") == "purchase")).select("event_id", "event_type").orderBy("event_id")

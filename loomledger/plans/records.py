@@ -21,7 +21,7 @@ _COLUMNS = ("entity_id", "previous_status", "new_status", "occurred_at", "sla_st
 @query("""WITH inv AS (SELECT order_id, status, CAST(ship_date AS TIMESTAMP) AS created_at, CAST(ship_date + CAST(order_id % 7 - 1 AS INTEGER) AS TIMESTAMP) AS updated_at FROM ord JOIN ship USING (order_id) WHERE status IN ('INVOICED', 'CANCELLED')),
 h AS (SELECT order_id AS entity_id, NULL AS previous_status, 'ISSUED' AS new_status, created_at AS occurred_at FROM inv UNION ALL SELECT order_id, 'ISSUED', 'VOID', updated_at FROM inv WHERE status = 'CANCELLED' AND updated_at >= created_at) SELECT entity_id, previous_status, new_status, occurred_at, 'ON_TIME' AS sla_status FROM h""")
 def infer_invoice_history(spark, d):
-    o = b.orders(spark, d).where("status in ('INVOICED', 'CANCELLED')").join(b.shipments(spark, d), "order_id")
+    o = b.bare_orders(spark, d).where("status in ('INVOICED', 'CANCELLED')").join(b.shipments(spark, d), "order_id")
     updated = F.date_add("ship_date", (F.col("order_id") % 7 - 1).cast("int")).cast("timestamp_ntz")
     invoices = o.select(F.col("order_id").alias("invoice_id"), F.when(F.col("status") == "CANCELLED", "VOID").otherwise("ISSUED").alias("status"), F.col("ship_date").cast("timestamp_ntz").alias("created_at"), updated.alias("updated_at"))
     return lc.infer_invoice_history(invoices).where("new_status is not null").select(*_COLUMNS)
@@ -44,7 +44,7 @@ _FACTS = "all_ev AS (SELECT order_id, 'order' AS kind, created_at AS happened FR
 
 def facts(spark, d):
     """Order, shipment, delivery and invoice events before 1997; some shipments weren't told."""
-    o, s = b.orders(spark, d), b.shipments(spark, d)
+    o, s = b.bare_orders(spark, d), b.shipments(spark, d)
     at = lambda df, kind, c: df.select("order_id", F.lit(kind).alias("kind"), c.cast("timestamp_ntz").alias("at"))
     told = at(o, "order", F.col("created_at")).union(at(s, "shipment", F.col("ship_date"))).union(at(s, "delivery", F.col("delivered_date"))).union(at(s, "invoice", F.date_add("delivered_date", 1)))
     return told.where(F.col("at") < F.lit("1997-01-01").cast("timestamp_ntz")).where("not (kind = 'shipment' and order_id % 13 = 0)")
@@ -138,7 +138,7 @@ def stage_history_check(spark, d):
 @query("""WITH h AS (SELECT order_id, 'PENDING' AS new_status, created_at AS occurred_at FROM ord UNION ALL SELECT order_id, 'SHIPPED', CAST(ship_date AS TIMESTAMP) FROM ship)
 SELECT * FROM h WHERE order_id % 3 > 0 OR new_status = 'PENDING'""")
 def append_history(spark, d):
-    o = b.orders(spark, d).select("order_id", F.lit("PENDING").alias("new_status"), F.col("created_at").cast("timestamp_ntz").alias("occurred_at"))
+    o = b.bare_orders(spark, d).select("order_id", F.lit("PENDING").alias("new_status"), F.col("created_at").cast("timestamp_ntz").alias("occurred_at"))
     s = b.shipments(spark, d).select("order_id", F.lit("SHIPPED").alias("new_status"), F.col("ship_date").cast("timestamp_ntz").alias("occurred_at"))
     new = o.union(s).withColumn("event_id", F.concat_ws(":", F.col("order_id").cast("string"), "new_status"))
     return lc.append_history(new.where("order_id % 3 = 0 and new_status = 'PENDING'"), new, "event_id", "order_id").drop("event_id")
@@ -183,7 +183,7 @@ def ingest_results(spark, d):
 
 @query("SELECT order_id, CASE WHEN order_id % 5 = 0 THEN CAST(order_date AS TIMESTAMP) + INTERVAL 2 HOUR ELSE created_at END AS created_at, coalesce(CAST(delivered_date AS TIMESTAMP) + INTERVAL 17 HOUR, CAST(order_date AS TIMESTAMP) + INTERVAL 8 HOUR) AS updated_at FROM ord LEFT JOIN ship USING (order_id)")
 def audit_backfill(spark, d):
-    o = b.orders(spark, d).withColumn("created_at", F.when(F.col("order_id") % 5 > 0, F.col("created_at"))).join(b.shipments(spark, d), "order_id", "left")
+    o = b.bare_orders(spark, d).withColumn("created_at", F.when(F.col("order_id") % 5 > 0, F.col("created_at"))).join(b.shipments(spark, d), "order_id", "left")
     return q.audit_backfill(o, {"created_at": at_hour("order_date", 2), "updated_at": F.coalesce(at_hour("delivered_date", 17), at_hour("order_date", 8))}).select("order_id", "created_at", "updated_at")
 
 
@@ -262,3 +262,10 @@ def d_mix_shift(spark, d):
     both = b.orders(spark, d).join(b.lines(spark, d), "order_id").withColumn("margin", (F.col("line_amount") - cost).cast("decimal(18,2)"))
     year = lambda y: both.where(F.year("order_date") == y)
     return m.mix_shift(year(1996), year(1997), "segment", "line_amount", "margin")
+
+
+@query(f"WITH {_FREIGHT} SELECT carrier, count(*) AS n, round(regr_slope(CAST(freight AS DOUBLE), CAST(kg AS DOUBLE)), 6) AS per_kg, round(regr_intercept(CAST(freight AS DOUBLE), CAST(kg AS DOUBLE)), 4) AS base FROM fr GROUP BY carrier")
+def f_freight_regression(spark, d):
+    """Freight on weight, by carrier."""
+    y, x = F.col("freight").cast("double"), F.col("kg").cast("double")
+    return freight(spark, d).groupBy("carrier").agg(F.count("*").alias("n"), F.round(F.regr_slope(y, x), 6).alias("per_kg"), F.round(F.regr_intercept(y, x), 4).alias("base"))

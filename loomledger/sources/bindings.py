@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Region -> booking entity and functional currency; first day, last day, and base and step of each rate.
@@ -27,9 +27,19 @@ def customers(spark: SparkSession, d: str) -> DataFrame:
     return c.join(F.broadcast(entities(spark)), F.col("r_name") == F.col("region")).select(key.alias("customer_id"), F.col("c_name").alias("customer_name"), F.col("c_mktsegment").alias("segment"), "region", "company_code", "company_currency", spelled.alias("account_text"))
 
 
+def bare_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as their own table has them: no join."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("created_at"), F.to_date("o_orderdate").alias("order_date"), _status().alias("status"), F.col("o_orderpriority").alias("channel"))
+
+
+def _status() -> Column:
+    return F.when(F.col("o_orderkey") % 29 == 0, "CANCELLED").when(F.col("o_orderstatus") == "P", "PENDING").when(F.col("o_orderstatus") == "F", "SHIPPED").otherwise("INVOICED")
+
+
 def orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their customers' region, entity, currency and segment."""
     o = table(spark, d, "orders").join(customers(spark, d), F.col("o_custkey") == F.col("customer_id"))
-    status = F.when(F.col("o_orderkey") % 29 == 0, "CANCELLED").when(F.col("o_orderstatus") == "P", "PENDING").when(F.col("o_orderstatus") == "F", "SHIPPED").otherwise("INVOICED")
+    status = _status()
     currency = F.when(F.col("o_orderkey") % 6 == 0, "USD").otherwise(F.col("company_currency"))
     return o.select(F.col("o_orderkey").alias("order_id"), "customer_id", F.col("o_orderdate").alias("created_at"), F.to_date("o_orderdate").alias("order_date"), status.alias("status"), currency.alias("currency_code"), "region", "segment", "company_code", "company_currency", F.col("o_orderpriority").alias("channel"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,16 +27,25 @@ class ObjectSpec:
     format: str = "parquet"
 
 
+def matched(spark: SparkSession, pattern: str) -> list[str]:
+    """The files and folders that a glob names, in any store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [str(s.getPath()) for s in found or []]
+
+
 def scan_object(spark: SparkSession, spec: ObjectSpec) -> DataFrame:
     """All files of an object, columns by name; declared and empty without files; newest versions if it has deltas. The storage partition isn't a field."""
     from ..operators.versions import alias_columns, latest_version
 
     schema = spark.createDataFrame([], spec.schema).schema
-    paths = [*spec.paths, *spec.deltas]
+    paths = [f for p in (*spec.paths, *spec.deltas) for f in matched(spark, p)]
     if not paths:
         df = spark.createDataFrame([], schema)
-    elif spec.format == "csv":
-        df = spark.read.schema(schema).option("header", True).csv(paths)
+    elif spec.format == "csv":  # each file has a header of its own: columns go by name
+        files = [spark.read.option("header", True).option("enforceSchema", False).csv(p) for p in paths]
+        whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), files)
+        df = whole.select(*((F.col(f.name).cast(f.dataType) if f.name in whole.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema), *(c for c in whole.columns if c not in schema.names and c != "business_date"))
     else:
         df = spark.read.option("mergeSchema", True).parquet(*paths)
     df = alias_columns(df.drop("business_date"), spec.aliases)
@@ -84,39 +94,93 @@ def csv_ingest(rows: DataFrame, kinds: dict[str, str], existing: DataFrame | Non
     return accepted, rows.join(failed, row).select(row, "error", *kinds)
 
 
-def export_parts(df: DataFrame, path: str, order: list[str], rows_per_part: int = 100_000) -> DataFrame:
-    """Writes ordered CSV parts of at most `rows_per_part` rows with headers (all or nothing by Spark's commit) and gives the manifest: part, path, start_record, end_record, records, bytes, sha256.
+_CSV = {"header": "true", "escape": '"', "multiLine": "true"}
+
+
+def export_parts(df: DataFrame, path: str, order: list[str], rows_per_part: int = 100_000, resume: bool = False) -> DataFrame:
+    """Writes ordered CSV parts of at most `rows_per_part` rows with headers (each run all or nothing by Spark's commit) and gives the manifest: part, path, start_record, end_record, records, bytes, sha256.
 
-    `order` must be total. A rerun replaces what an interrupted one left.
+    `order` must be total. A rerun replaces what is there; with `resume` it keeps committed runs and goes on after their last row, dropping what an interrupted one left.
     """
     spark = df.sparkSession
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("maxRecordsPerFile", rows_per_part).csv(path)
-    files = spark.read.format("binaryFile").load(f"{path}/part-*").select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    counts = spark.read.option("header", True).csv(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("records"))
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    both = files.join(counts.select(name(F.col("path")).alias("file"), "records"), name(F.col("path")) == F.col("file")).select(F.col("file"), "path", "bytes", "sha256", "records")
-    w = Window.orderBy("file")  # a row per part
+    done = [p for p in matched(spark, f"{path}/run=*") if matched(spark, f"{p}/_SUCCESS")] if resume else []
+    rest = df
+    if done:
+        key = F.struct(*(F.col(c).cast(df.schema[c].dataType).alias(c) for c in order))
+        last = spark.read.options(**_CSV).csv(done).agg(F.max(key).alias("last"))  # one row
+        rest = df.crossJoin(F.broadcast(last)).where(F.col("last").isNull() | (F.struct(*order) > F.col("last"))).drop("last")
+    else:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    rest.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").options(**_CSV).option("maxRecordsPerFile", rows_per_part).csv(f"{path}/run={len(done):06d}")
+    files = spark.read.format("binaryFile").load(f"{path}/run=*/part-*").select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    counts = spark.read.options(**_CSV).csv(f"{path}/run=*/part-*").groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("records"))
+    at = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")
+    both = files.withColumn("place", F.struct(at("run=([0-9]+)"), at("part-([0-9]+)-"), at("-c([0-9]+)[.]csv"))).join(counts.select(F.regexp_replace("path", "^file:/+", "/").alias("file"), "records"), F.regexp_replace("path", "^file:/+", "/") == F.col("file"))
+    w = Window.orderBy("place")  # a row per part
     end = F.sum("records").over(w)
     return both.select((F.row_number().over(w) - 1).alias("part"), "path", (end - F.col("records")).alias("start_record"), end.alias("end_record"), "records", "bytes", "sha256")
 
 
-def export_window(spark: SparkSession, manifest: DataFrame, offset: int, n: int) -> list[str]:
-    """The parts that hold records [offset, offset + n); past the end is an error."""
+def record_offsets(parts: DataFrame, order: str, records: str = "records") -> DataFrame:
+    """Parts with start_record and end_record, by their sizes and order."""
+    end = F.sum(records).over(Window.orderBy(order))  # a row per part
+    return parts.withColumn("start_record", end - F.col(records)).withColumn("end_record", end)
+
+
+def export_window(spark: SparkSession, manifest: DataFrame, offset: int, n: int) -> tuple[DataFrame, int | None]:
+    """Records [offset, offset + n) of an export with their record numbers, and the offset of the next window (None at the end); past the end is an error. Only the parts that hold them are read."""
     total = manifest.agg(F.max("end_record")).first()[0] or 0
     if offset > total:
         raise ValueError(f"{offset} is past the end, {total}")
-    return [r["path"] for r in manifest.where((F.col("end_record") > offset) & (F.col("start_record") < offset + n)).orderBy("part").select("path").collect()]
+    parts = manifest.where((F.col("end_record") > offset) & (F.col("start_record") < offset + n)).orderBy("part").select("path", "start_record").collect()
+    each = []
+    for p in parts or manifest.orderBy("part").select("path", "start_record").limit(1).collect():
+        rows = spark.read.options(**_CSV).csv(p["path"])  # a file with quoted line ends isn't split: its rows are numbered in order
+        each.append(rows.withColumn("record", F.monotonically_increasing_id() + p["start_record"]))
+    out = reduce(DataFrame.union, each).where(F.col("record").between(offset, offset + n - 1))
+    return out, (offset + n if offset + n < total else None)
 
 
 def publish_delta(df: DataFrame, root: str, business_date: str, event_id: str = "event_id") -> bool:
     """Writes one business date's partition once. The same events again are a no-op (False); others for a published date are an error."""
     spark = df.sparkSession
     path = f"{root}/business_date={business_date}"
-    mark = lambda d: d.agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_set(F.col(event_id).cast("string")))), 256)).first()[0]
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+    # ids are counted and their hashes added up in parts: no row holds them all
+    mark = lambda d: d.select(F.col(event_id).cast("string").alias("e")).distinct().agg(F.count("*"), F.sum(F.xxhash64("e").cast("decimal(38,0)")), F.sum(F.crc32("e"))).first()
+    if matched(spark, f"{path}/_SUCCESS"):
         if mark(spark.read.parquet(path)) != mark(df):
             raise ValueError(f"{business_date} is published with other events")
         return False
     df.write.mode("overwrite").parquet(path)
     return True
+
+
+def deferred_full_copy(spark: SparkSession, spec: ObjectSpec, path: str) -> DataFrame:
+    """The mutable table of an object: a copy of its seed made once, at first use; an id that repeats is an error."""
+    if not matched(spark, f"{path}/_SUCCESS"):
+        seed = scan_object(spark, spec)
+        if not seed.groupBy(spec.id).count().where("count > 1").isEmpty():
+            raise ValueError(f"{spec.name} has repeated ids")
+        seed.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def parse_lines(lines: DataFrame, columns: list[str], delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
+    """(rows, files) of text lines (file, line_no, line), line 0 being a file's header.
+
+    A file whose header has an empty or unknown name, or one of whose rows has more values than it, is rejected whole; short rows are padded with NULL. rows: file, row_number and the columns as text, of accepted files; files: file, rows, error (NULL if accepted).
+    """
+    mark = F.lit(f'\\Q{delimiter}\\E(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    plain = F.split(F.col("line"), F.lit(f"\\Q{delimiter}\\E"), -1)
+    values = F.when(F.contains(F.col("line"), F.lit('"')), F.split(F.col("line"), mark, -1)).otherwise(plain)
+    unquoted = F.transform(values, lambda v: F.when(v.rlike('^".*"$'), F.replace(F.substr(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v))
+    cut = lines.withColumn("values", unquoted)
+    heads = cut.where("line_no = 0").select("file", F.col("values").alias("names"))
+    body = cut.where("line_no > 0").join(heads, "file")
+    files = body.groupBy("file", "names").agg(F.count("*").alias("rows"), F.max(F.size("values") > F.size("names")).alias("wide")).join(heads, ["file", "names"], "right")
+    error = F.when(F.array_contains("names", ""), "empty column name").when(F.size(F.array_except("names", F.array(*map(F.lit, columns)))) > 0, "unknown column").when(F.col("wide"), "too many values")
+    files = files.select("file", F.coalesce("rows", F.lit(0)).alias("rows"), error.alias("error"))
+    good = body.join(files.where("error is null").select("file"), "file", "left_semi")
+    value = lambda c: F.get(F.col("values"), (F.array_position("names", c) - 1).cast("int"))
+    return good.select("file", F.col("line_no").alias("row_number"), *(F.when(F.array_contains("names", c), value(c)).alias(c) for c in columns)), files

@@ -31,18 +31,24 @@ def stream_sla(up: DataFrame, down: DataFrame, key: str, up_ts: str, down_ts: st
     return u.join(d, F.expr(f"{key} = down_key and down_at >= up_at and down_at <= up_at + interval {days} days"), "leftOuter").select(key, "up_at", "down_at", F.col("down_at").isNull().alias("breached"))
 
 
+def _latest(df: DataFrame, id: str, *order: str) -> DataFrame:
+    return df.groupBy(id).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("row")).select("row.*")
+
+
 def stream_current(events: DataFrame, root: str, checkpoint: str, id: str, *order: str):
-    """Keeps the latest row of each id: every batch writes a new version of the state, named by the batch, so a replayed batch writes the same again."""
+    """Keeps the latest row of each id: a batch writes its own latest rows under its number, no more, so a replayed batch writes the same again. `read_current` has the state."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{root}/v{number - 1}") if number else batch.limit(0)
-        both = old.unionByName(batch)
-        both.groupBy(id).agg(F.max_by(F.struct(*both.columns), F.struct(*order)).alias("row")).select("row.*").write.mode("overwrite").parquet(f"{root}/v{number}")
+        _latest(batch, id, *order).write.mode("overwrite").parquet(f"{root}/batch={number}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_current(spark: SparkSession, root: str, id: str, *order: str) -> DataFrame:
+    """The state that `stream_current` keeps."""
+    return _latest(spark.read.parquet(root).drop("batch"), id, *order)
+
+
 def stream_late(events: DataFrame, checkpoint: str, sink: str):
     """Counts rows that became available after their business date, by batch."""
 

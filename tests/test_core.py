@@ -8,9 +8,9 @@ from loomledger.operators import lifecycle as lc
 from loomledger.operators import object_query as oq
 from loomledger.operators import quality as q
 from loomledger.operators import versions as v
-from loomledger.operators.events import apply_patches, hold_and_release, idempotent_apply
+from loomledger.operators.events import apply_patches, hold_and_release, idempotent_apply, valid_range_join
 from loomledger.operators.metrics import mix_shift
-from loomledger.sources.exchange import ObjectSpec, csv_ingest, csv_lines, export_parts, export_window, publish_delta, scan_object, snapshot_fingerprint
+from loomledger.sources.exchange import ObjectSpec, csv_ingest, csv_lines, deferred_full_copy, export_parts, export_window, publish_delta, scan_object, snapshot_fingerprint
 from loomledger.streaming import streams
 
 
@@ -46,7 +46,6 @@ def test_versions(spark):
     delta = spark.createDataFrame([("1", "c", 2), ("3", "d", 2)], "id string, name string, v int")
     assert sorted((r["id"], r["name"]) for r in v.overlay_deltas(base, delta, "id", "v").collect()) == [("1", "c"), ("2", "b"), ("3", "d")]
     assert sorted((r["id"], r["name"]) for r in v.latest_version(base.union(delta), "id", "v").collect()) == [("1", "c"), ("2", "b"), ("3", "d")]
-    assert sorted(tuple(r) for r in v.ledger_changes(base, delta, "id").collect()) == [("1", "changed"), ("2", "deleted")]
     assert v.alias_columns(base, {"owner": "name", "name": "id"}).first()["name"] == "a"
 
 
@@ -111,7 +110,14 @@ def test_quality(spark):
     assert q.contract_versions(known, q.schema_fingerprint(c)).count() == 1
     wider = q.contract_columns(df.withColumn("x", F.lit(1)), "t")
     assert q.contract_versions(known, q.schema_fingerprint(wider)).where("not retired").first()["version"] == 2
-    assert [tuple(r) for r in q.schema_drift(c, wider).collect()] == [("x", "added")]
+    assert [tuple(r) for r in q.schema_drift(c, wider).collect()] == [("t", "x", "added")]
+    both = q.contract_versions(known, q.schema_fingerprint(wider).union(q.schema_fingerprint(q.contract_columns(df.drop("note"), "t"))))
+    assert sorted((r["version"], r["retired"]) for r in both.collect()) == [(1, True), (2, True), (3, False)]
+    assert [tuple(r) for r in q.describe_type(df.withColumn("x__c", F.lit(1.5)), "id").collect()] == [("id", "id", False, False), ("note", "string", True, False), ("order_date", "datetime", True, False), ("x__c", "double", True, True)]
+    loaded = q.typed_load(df.select(F.col("id").cast("string")), {"id": "bigint", "note": "string"}, {"id", "note"}, {"note": F.concat(F.lit("n"), F.col("id").cast("string"))})
+    assert [tuple(r) for r in loaded.orderBy("id").collect()] == [(1, "n1"), (2, "n2"), (3, "n3")]
+    with pytest.raises(ValueError):
+        q.typed_load(df, {"z": "int"}, {"z"}, {})
 
 
 def test_ingest_and_export(spark, tmp_path):
@@ -124,7 +130,9 @@ def test_ingest_and_export(spark, tmp_path):
     assert {r["Name"]: r["error"] for r in bad.collect()} == {"Duplicate": "DUPLICATE_VALUE: Id already exists", "Invalid": "IsDeleted: invalid boolean"}
     manifest = export_parts(spark.range(25), str(tmp_path / "out"), ["id"], 10)
     assert manifest.agg(F.sum("records"), F.max("end_record")).first()[:] == (25, 25)
-    assert export_window(spark, manifest, 0, 5)
+    window, after = export_window(spark, manifest, 8, 5)
+    assert [(r["record"], r["id"]) for r in window.orderBy("record").collect()] == [(k, str(k)) for k in range(8, 13)] and after == 13
+    assert export_window(spark, manifest, 20, 5)[1] is None
     with pytest.raises(ValueError):
         export_window(spark, manifest, 99, 1)
     day = spark.createDataFrame([(1,), (2,)], "event_id int")
@@ -133,6 +141,87 @@ def test_ingest_and_export(spark, tmp_path):
         publish_delta(day.limit(1), str(tmp_path / "d"), "2024-01-01")
 
 
+def test_export_counts_and_resume(spark, tmp_path):
+    """Line ends inside values are no records; a rerun keeps what is committed and drops what isn't."""
+    out = str(tmp_path / "out")
+    text = spark.range(7).select("id", F.concat(F.lit('a "quoted"\nline '), F.col("id").cast("string")).alias("t"))
+    m = export_parts(text.where("id < 4"), out, ["id"], 2)
+    assert m.agg(F.sum("records")).first()[0] == 4
+    kept = {r["path"]: r["sha256"] for r in m.collect()}
+    (tmp_path / "out" / "run=000001").mkdir()
+    (tmp_path / "out" / "run=000001" / "part-00000-x-c000.csv").write_text("id,t\n99,lost\n")
+    again = export_parts(text, out, ["id"], 2, resume=True)
+    rows = again.collect()
+    assert {r["path"]: r["sha256"] for r in rows}.items() >= kept.items() and max(r["end_record"] for r in rows) == 7
+    window, _ = export_window(spark, again, 0, 7)
+    assert [r["t"] for r in window.orderBy("record").collect()] == [f'a "quoted"\nline {k}' for k in range(7)]
+
+
+def test_scan_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Name,Id\ny,2\n")
+    (tmp_path / "b.csv").write_text("Id,Name\n1,x\n")
+    spec = ObjectSpec("acc", (str(tmp_path / "*.csv"),), "Id string, Name string", format="csv")
+    assert sorted(tuple(r) for r in scan_object(spark, spec).collect()) == [("1", "x"), ("2", "y")]
+    none = scan_object(spark, ObjectSpec("none", (str(tmp_path / "*.parquet"),), "Id string, N int"))
+    assert none.dtypes == [("Id", "string"), ("N", "int")] and none.count() == 0
+    accounts(spark).withColumn("business_date", F.lit("2024-01-01")).write.partitionBy("business_date").parquet(str(tmp_path / "p"))
+    assert "business_date" not in scan_object(spark, ObjectSpec("acc", (str(tmp_path / "p"),), "Id string")).columns
+    copy = deferred_full_copy(spark, spec, str(tmp_path / "copy"))
+    (tmp_path / "b.csv").write_text("Id,Name\n1,changed\n")
+    assert sorted(r["Name"] for r in deferred_full_copy(spark, spec, str(tmp_path / "copy")).collect()) == ["x", "y"] == sorted(r["Name"] for r in copy.collect())
+    (tmp_path / "b.csv").write_text("Id,Name\n2,again\n")
+    with pytest.raises(ValueError):
+        deferred_full_copy(spark, spec, str(tmp_path / "other"))
+
+
+def test_like_and_types(spark):
+    df = spark.createDataFrame([("a\\%b",), ("a%b",), ("axb",)], "t string")
+    assert ids(oq.object_query(df, where=[("t", "LIKE", "A\\%B")])) == ["a\\%b"]
+    assert len(ids(oq.object_query(df, where=[("t", "LIKE", "A%B")]))) == 3
+    with pytest.raises(oq.QueryError):
+        oq.object_query(df, where=[("t", "=", 5)])
+
+
+def test_valid_ranges_keep_equal_facts(spark):
+    d = dt.date
+    facts = spark.createDataFrame([("k", d(2024, 1, 5))] * 2 + [("k", d(2025, 1, 1)), ("k", d(2020, 1, 1)), ("z", d(2024, 1, 5))], "k string, at date")
+    ranges = spark.createDataFrame([("k", "b", d(2023, 1, 1), None), ("k", "a", d(2024, 1, 1), d(2024, 2, 1))], "k string, code string, valid_from date, valid_to date")
+    got = sorted((r["k"], r["at"], r["code"] or "") for r in valid_range_join(facts, ranges, "k", "at", "code").collect())
+    assert got == [("k", d(2020, 1, 1), ""), ("k", d(2024, 1, 5), "a"), ("k", d(2024, 1, 5), "a"), ("k", d(2025, 1, 1), "b"), ("z", d(2024, 1, 5), "")]
+
+
+def run_out(query):
+    query.awaitTermination(90)
+    assert query.exception() is None
+
+
+def test_streams_over_two_batches(spark, tmp_path):
+    t = lambda h, m=0, day=1: dt.datetime(2024, 1, day, h, m)
+    src, schema = str(tmp_path / "src"), "event_id long, user_id long, stage string, ts timestamp_ntz, available_on date, business_date date"
+    batches = (
+        [(1, 7, "a", t(1), dt.date(2024, 1, 1), dt.date(2024, 1, 1)), (2, 8, "a", t(2), dt.date(2024, 1, 2), dt.date(2024, 1, 1))],
+        [(1, 7, "a", t(1), dt.date(2024, 1, 1), dt.date(2024, 1, 1)), (3, 7, "b", t(3), dt.date(2024, 1, 3), dt.date(2024, 1, 1)), (4, 9, "z", t(5, day=9), dt.date(2024, 1, 9), dt.date(2024, 1, 9)), (5, 10, "b", t(6, day=9), dt.date(2024, 1, 9), dt.date(2024, 1, 9))],
+    )
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = lambda: streams.stream_deltas(spark, src, spark.createDataFrame([], schema).schema)
+        sink = lambda name, df, mode="append": run_out(df.writeStream.outputMode(mode).format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"ck-{name}")).trigger(availableNow=True).start())
+        sink("dedup", streams.stream_dedup(stream(), "ts", "1 day", "event_id"))
+        run_out(streams.stream_current(stream(), str(tmp_path / "state"), str(tmp_path / "ck-state"), "user_id", "ts"))
+        run_out(streams.stream_late(stream(), str(tmp_path / "ck-late"), str(tmp_path / "late")))
+        sink("usage", streams.stream_usage(stream(), "ts", "1 hour", "2 hours", "1 hour"))
+        sink("sla", streams.stream_sla(stream().where("stage <> 'b'"), stream().where("stage = 'b'"), "user_id", "ts", "ts", 1))
+        now = {r["user_id"]: r["stage"] for r in streams.read_current(spark, str(tmp_path / "state"), "user_id", "ts").collect()}
+        assert now == ({7: "a", 8: "a"}, {7: "b", 8: "a", 9: "z", 10: "b"})[n]
+    assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "dedup")).collect()) == [1, 2, 3, 4, 5]
+    late = spark.read.parquet(str(tmp_path / "late"))
+    assert sorted((r["batch"], r["late"]) for r in late.collect()) == [(0, 1), (1, 1)]
+    usage = {r["start"].hour: r["n"] for r in spark.read.parquet(str(tmp_path / "usage")).collect() if r["start"].day == 1}
+    assert usage[1] >= 2 and usage[3] == 1  # overlapping windows
+    sla = {(r["user_id"], r["breached"]) for r in spark.read.parquet(str(tmp_path / "sla")).collect()}
+    assert (7, False) in sla and (8, True) in sla
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "src")
     rows = [(1, 7, "a", dt.datetime(2024, 1, 1, 0, 0, 5)), (1, 7, "a", dt.datetime(2024, 1, 1, 0, 0, 5)), (2, 7, "b", dt.datetime(2024, 1, 1, 0, 1, 5))]
@@ -144,7 +233,7 @@ def test_streams(spark, tmp_path):
     assert spark.table("dedup").count() == 2
     q2 = streams.stream_current(stream, str(tmp_path / "state"), str(tmp_path / "ck"), "user_id", "ts")
     q2.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "state/v0")).first()["stage"] == "b"
+    assert streams.read_current(spark, str(tmp_path / "state"), "user_id", "ts").first()["stage"] == "b"
     q3 = streams.stream_usage(stream, "ts", "1 minute", "60 seconds").writeStream.outputMode("complete").format("memory").queryName("usage").trigger(availableNow=True).start()
     q3.awaitTermination(60)
     assert sorted(r["n"] for r in spark.table("usage").collect()) == [1, 2]
