@@ -28,7 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:  # local runs and tests
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     path = f"{folder}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
