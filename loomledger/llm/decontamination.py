@@ -1,13 +1,14 @@
 """Benchmark decontamination by suffix arrays over the training texts.
 
-The documents are dealt into shards of a few MB as Spark reads them. Each shard gets a suffix array over its words (in the order of their 64-bit hashes, which is as good as any), and every suffix of every benchmark text is looked up by binary search, one word deeper at a time. That gives the longest verbatim match of each benchmark suffix in the shard, with all its places, and the documents touched by a match of a whole window are marked. Documents move nowhere: there is no shuffle at all.
+The documents are dealt into shards of a few MB as Spark reads them. Each shard gets a suffix array over its words (in the order of their 64-bit hashes, which is as good as any), and every suffix of every benchmark text is looked up by binary search, one word deeper at a time. That gives the places of each benchmark suffix in the shard; equal windows of the benchmark have the same places and are taken once, so work grows with the places and not with places times items. Each place of a window then finds its longest verbatim match between its neighbours in the benchmark's own suffix array, and the documents touched by a match of a whole window are marked. Documents move nowhere: there is no shuffle at all.
 
-The benchmark is a stated query set. It goes to the tasks in blocks of at most `BLOCK_BYTES`; each block is one pass over the documents.
+The benchmark is a stated query set. It goes to the tasks in blocks of at most `BLOCK_BYTES`; each block is one pass over the documents. With several blocks rows are numbered once, and a pass writes numbers and what it found, no texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,25 +17,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, fresh
-from .words import ALNUM, U, Words, chunks
+from .words import ALNUM, Runs, U, Words, chunks
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
-#: Suffixes are told apart by so many words at most; beyond that, longer matches are measured word by word.
+#: Suffixes of the documents are told apart by so many words at most: more than any window has.
 DEPTH = 16
 
 
-def suffix_array(words: np.ndarray) -> np.ndarray:
-    """Places in the order of the suffixes that start there, by prefix doubling up to DEPTH words; only what is still tied is sorted again."""
+def suffix_array(words: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Places in the order of the suffixes that start there, by prefix doubling up to `depth` words; only what is still tied is sorted again."""
     n = len(words)
     order = np.argsort(words, kind="stable")
     ordered = words[order]
     new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if n else np.zeros(0, dtype=bool)
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else np.zeros(0, dtype=np.int64)
-    rank = np.full(n + DEPTH, -1, dtype=np.int64)  # past the end: before all others
+    rank = np.full(n + depth, -1, dtype=np.int64)  # past the end: before all others
     rank[order] = start
     k = 1
-    while k < DEPTH:
+    while k < depth:
         tied = ~new | np.append(~new[1:], False) if n else new
         slot = np.flatnonzero(tied)
         if not len(slot):
@@ -97,16 +98,40 @@ class Suffixes:
             found = hi > lo
             alive, lo, hi, d = alive[found], lo[found], hi[found], d + 1
 
-    def longest(self, text: np.ndarray, suffix: np.ndarray, place: np.ndarray, known: int) -> np.ndarray:
-        """Words that agree from `suffix` and `place` on; `known` of them are already known to."""
-        length, alive = np.full(len(suffix), known), np.arange(len(suffix))
-        while len(alive):
-            s, p = suffix[alive] + length[alive], place[alive] + length[alive]
-            go = (self.left[suffix[alive]] > length[alive]) & (p < len(text))
-            alive, s, p = alive[go], s[go], p[go]
-            alive = alive[text[p] == self.hash[s]]
-            length[alive] += 1
-        return length
+    @cached_property
+    def ordered(self) -> np.ndarray:
+        """The benchmark's own suffix array: suffixes with a window of full length in the order of their words, an item's end (hash 0) before all words."""
+        ends = np.flatnonzero(self.left == 1) + 1
+        text = np.insert(self.hash[: len(self.at)], ends, U(0))
+        suffix_at = np.full(len(text), -1)
+        suffix_at[self.at + np.searchsorted(ends, self.at, "right")] = self.at
+        order = suffix_at[suffix_array(text, 1 << int(self.left.max(initial=1)).bit_length())]
+        return order[(order >= 0) & (self.left[order] >= WINDOW)]
+
+    def longest(self, text: np.ndarray, place: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of `text`, with `left` words to the end of its document: a suffix that agrees with it longest, and in how many words. Both neighbours of the place in the suffix array are compared; of two as good, the one before it is taken."""
+        order, own, other = self.ordered, Runs(self.hash), Runs(text)
+
+        def common(suffix: np.ndarray) -> np.ndarray:
+            """Words that agree, by halving."""
+            a, b = np.zeros(len(place), dtype=np.int64), np.minimum(self.left[suffix], left)
+            while (a < b).any():
+                mid = (a + b + 1) >> 1
+                same = own.hash(suffix, suffix + mid) == other.hash(place, place + mid)
+                a, b = np.where(same, mid, a), np.where(same, b, mid - 1)
+            return a
+
+        lo, hi = np.zeros(len(place), dtype=np.int64), np.full(len(place), len(order))
+        while (go := lo < hi).any():
+            mid = (lo + hi) >> 1
+            suffix = order[np.minimum(mid, len(order) - 1)]
+            n = common(suffix)
+            ended = n == self.left[suffix]
+            before = ended | ((n < left) & (self.hash[np.where(ended, 0, suffix + n)] < text[np.minimum(place + n, len(text) - 1)]))
+            lo, hi = np.where(go & before, mid + 1, lo), np.where(go & ~before, mid, hi)
+        under, over = order[np.maximum(lo - 1, 0)], order[np.minimum(lo, len(order) - 1)]
+        n_under, n_over = common(under), common(over)
+        return np.where(n_under >= n_over, under, over), np.maximum(n_under, n_over)
 
 
 _HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -121,55 +146,73 @@ def _shard(suffixes: Suffixes, texts: list[bytes]) -> list[dict]:
     text = np.insert(w.hash, w.first[1:], U(0))
     order = suffix_array(text)
     hit = np.zeros(len(text) + 1, dtype=np.int64)
-    item_of, doc_of, best = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], {}
+    none = np.zeros(0, dtype=np.int64)
+    holders, found_doc, found_window = [], [none], [none]  # items of each different window; which document has which window
+    best_place, best_words, best_suffix = [none], [none], [none]
     for d, alive, lo, hi in suffixes.matches(text, order):
-        whole = np.flatnonzero((suffixes.need[alive] == d) & (suffixes.left[alive] >= d))
-        if not len(whole):
+        whole = (suffixes.need[alive] == d) & (suffixes.left[alive] >= d)  # a short item is a window only at its first word
+        if not whole.any():
             continue
-        count = (hi - lo)[whole]
-        slot = np.repeat(lo[whole] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        place, who = order[slot], np.repeat(alive[whole], count)
-        # d is a window of a short item only at its first word
+        alive, lo, hi = alive[whole], lo[whole], hi[whole]
+        by = np.argsort(lo, kind="stable")  # equal windows have the same places
+        new = np.flatnonzero(np.diff(lo[by], prepend=-1))
+        count = (hi - lo)[by[new]]
+        slot = np.repeat(lo[by[new]] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        place, window = order[slot], np.repeat(np.arange(len(new)), count)
         np.add.at(hit, place, 1)
         np.add.at(hit, place + d, -1)
         doc = np.searchsorted(first, place, "right") - 1
-        both = np.unique((doc << 32) | suffixes.item[who])
-        doc_of.append(both >> 32)
-        item_of.append(both & 0xFFFFFFFF)
-        length = suffixes.longest(text, who, place, d)
-        by = np.lexsort((place, suffixes.item[who], -length, doc))
-        for k in by[np.flatnonzero(np.diff(doc[by], prepend=-1))]:  # the first of each text
-            if doc[k] not in best or length[k] > best[doc[k]]["words"]:
-                best[int(doc[k])] = {"item_id": str(suffixes.ids[suffixes.item[who[k]]]), "item_word": int(who[k] - np.searchsorted(suffixes.item, suffixes.item[who[k]])), "doc_word": int(place[k] - first[doc[k]]), "words": int(length[k])}
+        both = np.unique((doc << 32) | (window + len(holders)))
+        found_doc.append(both >> 32)
+        found_window.append(both & 0xFFFFFFFF)
+        holders += [np.unique(suffixes.item[x]) for x in np.split(alive[by], new[1:])]
+        if d < WINDOW:
+            suffix, length = alive[by[new]][window], np.full(len(place), d)
+        else:
+            suffix, length = suffixes.longest(text, place, first[doc + 1] - 1 - place)
+        best_place.append(place)
+        best_words.append(length)
+        best_suffix.append(suffix)
+    place, length, suffix = (np.concatenate(x) for x in (best_place, best_words, best_suffix))
+    doc = np.searchsorted(first, place, "right") - 1
+    by = np.lexsort((place, -length, doc))
+    best = {}
+    for k in by[np.flatnonzero(np.diff(doc[by], prepend=-1))].tolist():  # the first of each text
+        item = suffixes.item[suffix[k]]
+        best[int(doc[k])] = {"item_id": str(suffixes.ids[item]), "item_word": int(suffix[k] - np.searchsorted(suffixes.item, item)), "doc_word": int(place[k] - first[doc[k]]), "words": int(length[k])}
     covered = (np.cumsum(hit)[:-1] > 0).astype(np.int8)
     edge = np.flatnonzero(np.diff(np.concatenate(([0], covered, [0]))))
     spans: dict[int, list] = {}
     for a, b in edge.reshape(-1, 2).tolist():
         doc = int(np.searchsorted(first, a, "right")) - 1
         spans.setdefault(doc, []).append({"start": a - int(first[doc]), "end": b - int(first[doc])})
-    items: dict[int, set] = {}
-    for doc, item in zip(np.concatenate(doc_of).tolist(), np.concatenate(item_of).tolist(), strict=True):
-        items.setdefault(doc, set()).add(str(suffixes.ids[item]))
+    doc, window = np.concatenate(found_doc), np.concatenate(found_window)
+    by = np.argsort(doc, kind="stable")
+    doc, window = doc[by], window[by]
+    edges = np.flatnonzero(np.diff(doc, prepend=-1))
+    items: dict[int, list] = {}
+    for i, own in zip(doc[edges].tolist(), np.split(window, edges[1:]) if len(edges) else [], strict=True):
+        items[i] = sorted(set(suffixes.ids[np.unique(np.concatenate([holders[x] for x in own]))].tolist()))
     words = np.diff(w.first).tolist()
-    return [{"n_words": n, "hits": spans.get(i, []), "items": sorted(items.get(i, ())), "longest": best.get(i)} for i, n in enumerate(words)]
+    return [{"n_words": n, "hits": spans.get(i, []), "items": items.get(i, []), "longest": best.get(i)} for i, n in enumerate(words)]
 
 
-def _merged(a: dict, b: dict) -> dict:
-    """What two blocks of the benchmark found in a text."""
+def _merged(parts: list[dict]) -> dict:
+    """What the blocks of the benchmark found in a text."""
     spans: list[dict] = []
-    for x in sorted([*(a["hits"] or []), *b["hits"]], key=lambda x: (x["start"], x["end"])):
+    for x in sorted((x for p in parts for x in p["hits"]), key=lambda x: (x["start"], x["end"])):
         if spans and x["start"] <= spans[-1]["end"]:
             spans[-1]["end"] = max(spans[-1]["end"], x["end"])
         else:
             spans.append(dict(x))
-    best = max((x for x in (a["longest"], b["longest"]) if x), key=lambda x: x["words"], default=None)
-    return {"n_words": b["n_words"], "hits": spans, "items": sorted({*(a["items"] or []), *b["items"]}), "longest": best}
+    best = min((p["longest"] for p in parts if p["longest"]), key=lambda x: (-x["words"], x["doc_word"], x["item_id"], x["item_word"]), default=None)
+    return {"n_words": parts[0]["n_words"], "hits": spans, "items": sorted({x for p in parts for x in p["items"]}), "longest": best}
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> tuple[DataFrame, str]:
     """`docs` (its columns `keep`, or all) with a column of what the benchmark has in each text, and that column's name.
 
-    The column is a struct: n_words; hits, the disjoint word ranges that lie in occurrences of benchmark windows; items, the sorted distinct ids with such windows; longest, the longest verbatim match through a window, with its places (ties: smallest item, then place).
+    The column is a struct: n_words; hits, the disjoint word ranges that lie in occurrences of benchmark windows; items, the sorted distinct ids with such windows; longest, the longest verbatim match through a window, with its places (ties: the first place in the text; of items, any one, the same in each run).
 
     A window is 10 consecutive words of an item, or all words of a shorter one. Null and empty texts have no words. Items without words match nothing; repeated items count once. All columns of `docs` stay as they are.
     """
@@ -177,26 +220,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
-    for k in range(blocks):
-        last = k + 1 == blocks
-        stay = docs.drop(name).columns if keep is None or not last else keep
-        schema = T.StructType([*(docs.schema[c] for c in stay), T.StructField(name, _ADDED)])
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+    stay = docs.drop(name).columns if keep is None else keep
+
+    def search(rows: DataFrame, own: DataFrame, stay: list[str], all_rows: bool) -> DataFrame:
         # bounded: a block of the stated query set
-        block = docs.sparkSession.sparkContext.broadcast(sorted((r["i"], r["t"]) for r in own.collect()))
+        block = rows.sparkSession.sparkContext.broadcast(sorted((r["i"], r["t"]) for r in own.collect()))
 
-        def one(batches: Iterator[pa.RecordBatch], block=block, k=k, stay=stay) -> Iterator[pa.RecordBatch]:
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             suffixes = Suffixes(block.value)
             for batch, texts in chunks(batches, text):
                 found = _shard(suffixes, texts)
-                if k:
-                    found = [_merged(x, y) for x, y in zip(batch.column(name).to_pylist(), found, strict=True)]
+                if not all_rows:
+                    hit = [i for i, x in enumerate(found) if x["hits"]]
+                    batch, found = batch.take(pa.array(hit, pa.int64())), [found[i] for i in hit]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in stay), pa.array(found, _arrow)], names=[*stay, name])
 
-        docs = docs.mapInArrow(one, schema)
-        if not last:
-            docs = cut(docs)
-    return docs, name
+        return rows.mapInArrow(one, T.StructType([*(rows.schema[c] for c in stay), T.StructField(name, _ADDED)]))
+
+    if blocks == 1:
+        return search(docs, items, stay, True), name
+    (row,) = fresh(docs.withColumn(name, F.lit(0)), "row")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    parts = None
+    for k in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+        part = cut(search(numbered.select(row, text), own, [row], k == 0))
+        parts = part if parts is None else parts.union(part)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(row), pa.array([_merged(x) for x in batch.column(name).to_pylist()], _arrow)], names=[row, name])
+
+    found = parts.groupBy(row).agg(F.collect_list(name).alias(name)).mapInArrow(merge, part.schema)
+    return numbered.join(found, row).select(*stay, name), name
 
 
 _span = pa.struct([("start", pa.int64()), ("end", pa.int64())])

@@ -71,11 +71,21 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+class Runs:
+    """Hashes of runs of `x`, whose sums are taken once."""
+
+    def __init__(self, x: np.ndarray):
+        up, self._down = _power(len(x) + 1)
+        self._total = np.concatenate((np.zeros(1, dtype=U), np.cumsum(x * up[: len(x)])))
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the runs x[start:end], in their order."""
+        return mix((self._total[end] - self._total[start]) * self._down[start] + (end - start).astype(U))
+
+
 def runs_hash(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the runs x[start:end], in their order."""
-    up, down = _power(len(x) + 1)
-    total = np.concatenate((np.zeros(1, dtype=U), np.cumsum(x * up[: len(x)])))
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+    return Runs(x).hash(start, end)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

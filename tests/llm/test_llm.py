@@ -184,7 +184,7 @@ def test_hot_join_deals_rows_alike(spark):
 
 def test_decontamination(spark, docs):
     source = [t for t in texts() if t and len(words(t)) > 25]
-    items = [("b1", " ".join(source[2].split()[3:20])), ("b2", "nothing of the sort"), ("b3", "One two"), (None, "x"), ("b4", None), ("b5", " ")]
+    items = [("b1", " ".join(source[2].split()[3:20])), ("b6", " ".join([*source[2].split()[3:22], "then", "other"])), ("b7", source[2]), ("b8", source[2]), ("b2", "nothing of the sort"), ("b3", "One two"), (None, "x"), ("b4", None), ("b5", " ")]
     bench = spark.createDataFrame(items, "item_id string, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = {}
@@ -193,22 +193,40 @@ def test_decontamination(spark, docs):
         n = min(10, len(own))
         for k in range(len(own) - n + 1 if n else 0):
             windows.setdefault(tuple(own[k : k + n]), set()).add(i)
-    for size in (1 << 20, 8):
+    for size in (1 << 20, 600):
         out, name = decontamination.contamination(docs.withColumn("contamination", F.lit(1)), bench, block_bytes=size)
         for r in out.collect():
             own = word.findall((r["text"] or "").translate(LOWER))
-            hit, found = [0] * len(own), set()
+            hit, found, far = [0] * len(own), set(), 0
             for win, who in windows.items():
                 for k in range(len(own) - len(win) + 1):
                     if tuple(own[k : k + len(win)]) == win:
                         found |= who
                         hit[k : k + len(win)] = [1] * len(win)
+                        for o in (word.findall((t or "").translate(LOWER)) for i, t in items if i in who):
+                            for j in range(len(o) - len(win) + 1):
+                                if tuple(o[j : j + len(win)]) == win:
+                                    far = max(far, next((n for n, (x, y) in enumerate(zip(o[j:], own[k:], strict=False)) if x != y), min(len(o) - j, len(own) - k)))
             x = r[name]
+            assert (x["longest"]["words"] if x["longest"] else 0) == far
             assert (x["n_words"], sum(h["end"] - h["start"] for h in x["hits"]), x["items"]) == (len(own), sum(hit), sorted(found))
             assert (x["longest"] is None) == (not found)
     assert decontamination.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_decontamination_common_opening(spark):
+    """Many items and many documents with one opening: work grows with both, not with their product."""
+    opening = " ".join(f"w{k}" for k in range(12))
+    bench = spark.createDataFrame([(f"b{i:04}", f"{opening} item{i}") for i in range(3000)], "item_id string, text string")
+    docs = spark.createDataFrame([(i, f"x {opening} doc{i} y") for i in range(3000)] + [(3000, f"{opening} item7")], "doc_id long, text string")
+    t = time.perf_counter()
+    out, name = decontamination.contamination(docs, bench)
+    got = {r["doc_id"]: r for r in out.select("doc_id", F.size(f"{name}.items").alias("n"), f"{name}.hits", f"{name}.longest").collect()}
+    assert time.perf_counter() - t < 20
+    assert all(got[i]["n"] == 3000 and [tuple(h) for h in got[i]["hits"]] == [(1, 13)] and got[i]["longest"]["words"] == 12 for i in range(3000))
+    assert got[3000]["n"] == 3000 and tuple(got[3000]["longest"]) == ("b0007", 0, 0, 13)
+
+
 def test_suffix_array():
     r = np.random.default_rng(0)
     text = r.integers(1, 4, 300).astype(np.uint64)
