@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import base64
 import functools
-import math
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 END = 50256
 BLOCK_TOKENS = 1 << 18
 GROUP = 1024
+#: Bytes of flat files that one task reads, about.
+TASK_BYTES = 64 << 20
 
 
 @functools.cache
@@ -38,10 +42,13 @@ def encoder(vocabulary: str):
 def write_flat(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Blocks of flat token files: (shard, block, tokens, first, ids). tokens: unsigned 16-bit ids; each input partition is a shard.
 
-    first and ids are no part of the files: they say which documents start in a block, for whoever wants to name the counts. A null text is an empty document. An id of the end that a text itself would yield can't arise: the vocabulary doesn't have it.
+    first and ids are no part of the files: they say which documents start in a block, for whoever wants to name the counts. A null text is an empty document, a null id stays one, repeated rows are documents of their own, other columns are left out. An id of the end that a text itself would yield can't arise: the vocabulary doesn't have it.
     """
 
+    rows_ = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
         shard, block, seen, first = TaskContext.get().partitionId(), 0, 0, 0
         parts: list[np.ndarray] = []
         held, ids = 0, []
@@ -49,9 +56,10 @@ def write_flat(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
         last = np.array([end], dtype="<u2")
 
         def rows(flat: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([flat.tobytes()], pa.binary()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], names=["shard", "block", "tokens", "first", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([flat.tobytes()], pa.binary()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(kind))], names=["shard", "block", "tokens", "first", "ids"])
 
         for batch in batches:
+            kind = batch.column("id").type
             for name, value in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids.append(name)
                 seen += 1
@@ -67,25 +75,31 @@ def write_flat(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
         if held or ids:
             yield rows(np.concatenate(parts) if parts else last[:0])
 
-    rows_ = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows_.mapInArrow(one, "shard int, block long, tokens binary, first long, ids array<long>")
+    return rows_.mapInArrow(one, f"shard int, block long, tokens binary, first long, ids array<{rows_.schema['id'].dataType.simpleString()}>")
 
 
 def read_flat(spark: SparkSession, path: str, width: int = 2, block_bytes: int = BLOCK_TOKENS * 2) -> DataFrame:
-    """(shard, block, tokens) of a flat token file in any store that Spark reads.
+    """(shard, block, tokens) of flat token files of any length; `shard` is the file's path.
 
-    Spark reads records of one length only, so blocks have the largest length that divides both the file's and `block_bytes`: files padded to full blocks are read best.
+    `path` names a file, a folder or a glob in a store that both Spark and Arrow open (local, HDFS, S3, GCS, ABFS). Spark deals ranges of bytes; a task opens the file and reads its ranges only. Empty files have no blocks; a file that isn't made of tokens of `width` bytes raises.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length").collect()
-    if len(files) != 1:
-        raise ValueError(f"{path} is {len(files)} files; read them one by one")
-    length = int(files[0]["length"])
-    if length % width:
-        raise ValueError(f"{path} isn't made of tokens of {width} bytes")
-    if not length:
-        return spark.createDataFrame([], "shard int, block long, tokens binary")
-    records = spark.sparkContext.binaryRecords(path, math.gcd(length, block_bytes)).zipWithIndex()
-    return records.map(lambda r: (0, r[1], bytearray(r[0]))).toDF("shard int, block long, tokens binary")
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    seen = files.agg(F.sum("length").alias("bytes"), F.max((F.col("length") % width != 0).cast("int")).alias("odd"), F.first(F.when(F.col("length") % width != 0, F.col("path")), ignorenulls=True).alias("which")).first()
+    if seen["odd"]:
+        raise ValueError(f"{seen['which']} isn't made of tokens of {width} bytes")
+    step = max(width, block_bytes - block_bytes % width)
+    ranges = files.where("length > 0").select(F.col("path").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))).alias("block"))
+    ranges = ranges.repartition(max(1, -(-(seen["bytes"] or 0) // TASK_BYTES)), "shard", "block")
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, block in zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                store, name = FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", shard), safe="/:@"))
+                with store.open_input_file(name) as f:
+                    f.seek(block * step)
+                    yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([block], pa.int64()), pa.array([f.read(step)], pa.binary())], names=["shard", "block", "tokens"])
+
+    return ranges.mapInArrow(one, "shard string, block long, tokens binary")
 
 
 def _cut_up(end: int, dtype: str):
@@ -99,7 +113,7 @@ def _cut_up(end: int, dtype: str):
                 sizes = np.append(n, rest)
                 k = np.arange(len(sizes), dtype=np.int64)
                 closed = k < len(ends)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard, dtype=np.int32)), pa.array(np.full(len(k), block, dtype=np.int64)), pa.array(k), pa.array(sizes.astype(np.int64)), pa.array(closed)], names=["shard", "block", "k", "n", "closed"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(shard, batch.column("shard").type), len(k)), pa.array(np.full(len(k), block, dtype=np.int64)), pa.array(k), pa.array(sizes.astype(np.int64)), pa.array(closed)], names=["shard", "block", "k", "n", "closed"])
 
     return one
 
@@ -109,7 +123,8 @@ def scan(blocks: DataFrame, end: int = END, dtype: str = "<u2") -> DataFrame:
 
     What follows the last end of a shard is a document only if it has tokens; closed is false for it. Documents without tokens count 0. Blocks may come in any order; an empty table gives no rows.
     """
-    stretches = cut(blocks.select("shard", "block", "tokens").mapInArrow(_cut_up(end, dtype), "shard int, block long, k long, n long, closed boolean"))
+    kind = blocks.schema["shard"].dataType.simpleString()
+    stretches = cut(blocks.select("shard", "block", "tokens").mapInArrow(_cut_up(end, dtype), f"shard {kind}, block long, k long, n long, closed boolean"))
     counts = stretches.groupBy("shard", "block").agg(F.sum(F.col("closed").cast("long")).alias("ends")).withColumn("part", F.floor(F.col("block") / GROUP))
     # prefix sums in two steps, over groups of blocks and within them: no window holds a whole large file
     groups = counts.groupBy("shard", "part").agg(F.sum("ends").alias("of_group"))
@@ -121,7 +136,7 @@ def scan(blocks: DataFrame, end: int = END, dtype: str = "<u2") -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(doc_id, shard, ordinal, n_tokens) of every row of `docs`, counted in the flat token files that its texts make."""
+    """(doc_id, shard, ordinal, n_tokens) of every row of `docs`, counted in the flat token files that its texts make: 0 for a null or empty text; null ids and repeated rows keep their rows, other columns are left out, an empty table gives no rows."""
     blocks = cut(write_flat(docs, doc_id, text, vocabulary, block_tokens=block_tokens))
     names = blocks.select("shard", "first", F.posexplode("ids").alias("at", "id")).select("shard", (F.col("first") + F.col("at")).alias("ordinal"), "id")
     return names.join(scan(blocks), ["shard", "ordinal"]).select(F.col("id").alias(doc_id), "shard", "ordinal", "n_tokens")

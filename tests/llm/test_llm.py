@@ -512,13 +512,30 @@ def test_token_counts(spark, docs):
         if block == 7:
             break
     assert token_counts.count_tokens(docs.limit(0)).count() == 0
+    named = spark.createDataFrame([("a", "one two"), ("a", "one two"), (None, None), ("b", "x " * 50_000)], "doc_id string, text string").withColumn("Shard", F.lit(1))
+    got = sorted(((r["doc_id"] or "", r["n_tokens"]) for r in token_counts.count_tokens(named, block_tokens=1000).collect()))
+    assert got == [("", 0), ("a", 2), ("a", 2), ("b", len(code.encode_ordinary("x " * 50_000)))]
 
 
 def test_flat_file(spark, tmp_path):
     flat = np.array([5, 6, 9, 9, 7, 8, 8, 8, 9, 1], dtype="<u2")
     (tmp_path / "t.bin").write_bytes(flat.tobytes())
-    got = token_counts.scan(token_counts.read_flat(spark, str(tmp_path / "t.bin"), block_bytes=4), end=9).orderBy("ordinal").collect()
-    assert [(r["n_tokens"], r["closed"]) for r in got] == [(2, True), (0, True), (4, True), (1, False)]
+    r = np.random.default_rng(1)
+    prime = r.integers(0, 30, 100_003).astype("<u2")  # its length has no divisor that blocks could have
+    (tmp_path / "u v.bin").write_bytes(prime.tobytes())
+    (tmp_path / "w.bin").write_bytes(b"")
+    for size in (4, 7, 1 << 20):
+        got = token_counts.scan(token_counts.read_flat(spark, str(tmp_path / "t.bin"), block_bytes=size), end=9).orderBy("ordinal").collect()
+        assert [(r["n_tokens"], r["closed"]) for r in got] == [(2, True), (0, True), (4, True), (1, False)]
+    blocks = token_counts.read_flat(spark, f"{tmp_path}/*.bin", block_bytes=5000)
+    assert blocks.count() == 1 + -(-prime.nbytes // 5000)
+    got = [r["n_tokens"] for r in token_counts.scan(blocks, end=9).where("shard like '%v.bin'").orderBy("ordinal").collect()]
+    ends = np.flatnonzero(prime == 9)
+    want = (np.diff(np.concatenate(([-1], ends))) - 1).tolist()
+    assert got[: len(want)] == want and sum(got[len(want) :]) == len(prime) - 1 - ends[-1]
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(ValueError, match="odd.bin"):
+        token_counts.read_flat(spark, f"{tmp_path}/*.bin")
 
 
 def test_quality(spark):
