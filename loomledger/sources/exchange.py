@@ -122,6 +122,11 @@ def export_parts(df: DataFrame, path: str, order: list[str], rows_per_part: int
     return both.select((F.row_number().over(w) - 1).alias("part"), "path", (end - F.col("records")).alias("start_record"), end.alias("end_record"), "records", "bytes", "sha256")
 
 
+def exported(spark: SparkSession, path: str) -> DataFrame:
+    """All records of an export, as text."""
+    return spark.read.options(**_CSV).csv(f"{path}/run=*/part-*")
+
+
 def record_offsets(parts: DataFrame, order: str, records: str = "records") -> DataFrame:
     """Parts with start_record and end_record, by their sizes and order."""
     end = F.sum(records).over(Window.orderBy(order))  # a row per part

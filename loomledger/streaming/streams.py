@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def run_out(query) -> None:
+    """Waits until a query over what is there now ends; its failure is raised."""
+    query.awaitTermination()
+
+
 def stream_deltas(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """New files under a path; partition columns that the schema lacks aren't fields."""
     out = spark.readStream.schema(schema).parquet(path)
