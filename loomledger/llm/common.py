@@ -84,11 +84,12 @@ def semi(df: DataFrame, ids: DataFrame, key: str, most: int = 500_000, how: str
 def join_hot(left: DataFrame, right: DataFrame, key: str, per_salt: int = 2000) -> DataFrame:
     """Inner join on `key`, unique in `right`, when one key may have a large part of the rows of `left`.
 
-    A key with n rows in `left` is dealt over n / `per_salt` + 1 tasks: its row of `right` is repeated as often. The salt is a hash of the row, so a task run again deals every row alike.
+    A key with n rows in `left` is dealt over n / `per_salt` + 1 tasks: its row of `right` is repeated as often. The salt is a hash of the row, so a task run again deals every row alike. The hot keys are broadcast if they are 100,000 at most, so that `left` isn't dealt by the bare key to learn its salts.
     """
     n, salt = fresh(left, "n_key", "salt")
     counts = left.groupBy(key).agg(F.count("*").alias(n))
     wide = right.join(counts, key).withColumn(salt, F.explode(F.sequence(F.lit(0), (F.col(n) / per_salt).cast("int")))).drop(n)
     hot = counts.where(F.col(n) >= per_salt)
+    hot = F.broadcast(hot) if rows_fit(hot, 100_000) else hot
     dealt = left.join(hot, key, "left").withColumn(salt, F.when(F.col(n).isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), (F.col(n) / per_salt).cast("int") + 1).cast("int"))).drop(n)
     return dealt.join(wide, [key, salt]).drop(salt)

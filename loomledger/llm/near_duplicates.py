@@ -282,7 +282,7 @@ def _finest(label: DataFrame, bound: DataFrame, sets: DataFrame, similarity: int
     tokens = semi(sets, bound, "class").select("class", F.size("tokens").cast("long").alias("size"), F.explode("tokens").alias("token"))
     n = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     own = Window.partitionBy("class")
-    ranked = tokens.join(n, "token").withColumn("at", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token")) - 1)
+    ranked = join_hot(tokens, n, "token").withColumn("at", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token")) - 1)
     # rest: tokens from this one on, itself included
     groups = cut(ranked.where(F.col("at") <= F.floor(F.col("size") * (100 - similarity) / 100)).select("token", "n", F.col("class").alias("a"), "size", (F.col("size") - F.col("at")).alias("rest")))
     other = lambda df: df.select("token", *(F.col(c).alias(f"{c}_b" if c != "a" else "b") for c in ("a", "size", "rest", "root")))
@@ -298,7 +298,7 @@ def _finest(label: DataFrame, bound: DataFrame, sets: DataFrame, similarity: int
         now = _roots(rows, label)
         # groups that are one component by now need no more comparisons, nor do sets that no other can be like
         whole = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rest").alias("most"), F.min("size").alias("least")).where("lo < hi")
-        now = cut(now.join(whole, "token").where(able).select(*now.columns))
+        now = cut(join_hot(now, whole, "token").where(able).select(*now.columns))
         if now.isEmpty():
             return label
         best = F.max(F.struct("rest", -F.col("size"), "a", "root", "size"))
