@@ -106,4 +106,40 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(listed) AS turns_sha256, leng
 FROM chats
 """
 
-ORACLE: dict[str, str] = {"op1_mix_sources": OP1, "op5_ngram_jaccard": OP5, "op6_decontaminate": OP6, "op7_chat_format": OP7}
+# CRC-32, a byte at a time, of the hexadecimal digits x of a text.
+_CRC_TABLE = """tab AS (
+  SELECT list(c ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(b))
+)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: 16 * instr('123456789ABCDEF', x[2 * i + 1]) + instr('123456789ABCDEF', x[2 * i + 2]))), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"""
+
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents
+), own AS (
+  SELECT doc_id, run, count(*) AS k, hex(encode(concat(doc_id, ':', run))) AS x FROM runs GROUP BY ALL
+), crc AS (
+  SELECT run, k, CASE WHEN doc_id IS NOT NULL THEN {_CRC} END AS h FROM own, tab
+), mended AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM crc
+), words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM mended WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), holes AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM holes AS a JOIN holes AS b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT h.word, w.word, w.n FROM holes AS h JOIN words AS w ON h.rest = w.word
+  UNION SELECT w.word, h.word, h.n FROM holes AS h JOIN words AS w ON h.rest = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM near GROUP BY word
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root, 0 AS step FROM formed
+  UNION ALL SELECT w.word, f.form, step + 1 FROM walk AS w JOIN formed AS f ON f.word = w.root WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT word, arg_max(root, step) AS root FROM walk GROUP BY word
+)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+ORACLE: dict[str, str] = {"op1_mix_sources": OP1, "op5_ngram_jaccard": OP5, "op6_decontaminate": OP6, "op7_chat_format": OP7, "op12_spelling_variants": OP12}

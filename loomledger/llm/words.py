@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +48,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of texts: `hash` (64 bits of each word; ASCII case is ignored unless `cased`), those of text i at first[i] to first[i + 1]; start, end: bytes in `buf`."""
 
-    def __init__(self, texts: list[bytes], is_word: np.ndarray = NOT_SPACE, cased: bool = False):
+    def __init__(self, texts: list[bytes], is_word: np.ndarray | Callable[[np.ndarray], np.ndarray] = NOT_SPACE, cased: bool = False):
         buf = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", dtype=np.uint8)
-        edge = np.flatnonzero(np.diff(is_word[buf].view(np.int8)))
+        edge = np.flatnonzero(np.diff((is_word(buf) if callable(is_word) else is_word[buf]).view(np.int8)))
         start, end = edge[::2] + 1, edge[1::2] + 1
         up, down = _power(len(buf))
         total = np.cumsum((_CASED if cased else _BYTE)[buf] * up[: len(buf)])
