@@ -84,11 +84,15 @@ def semi(df: DataFrame, ids: DataFrame, key: str, most: int = 500_000, how: str
 def join_hot(left: DataFrame, right: DataFrame, key: str, per_salt: int = 2000) -> DataFrame:
     """Inner join on `key`, unique in `right`, when one key may have a large part of the rows of `left`.
 
-    A key with n rows in `left` is dealt over n / `per_salt` + 1 tasks: its row of `right` is repeated as often. The salt is a hash of the row, so a task run again deals every row alike.
+    A key with n rows in `left` is dealt over n / `per_salt` + 1 tasks: its row of `right` is repeated as often. The salt is a hash of the row, so a task run again deals every row alike. Only hot keys are listed, and broadcast if there are few.
     """
-    n, salt = fresh(left, "n_key", "salt")
-    counts = left.groupBy(key).agg(F.count("*").alias(n))
-    wide = right.join(counts, key).withColumn(salt, F.explode(F.sequence(F.lit(0), (F.col(n) / per_salt).cast("int")))).drop(n)
-    hot = counts.where(F.col(n) >= per_salt)
-    dealt = left.join(hot, key, "left").withColumn(salt, F.when(F.col(n).isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), (F.col(n) / per_salt).cast("int") + 1).cast("int"))).drop(n)
+    deals, salt = fresh(left, "deals", "salt")
+    hot = cut(left.groupBy(key).agg((F.count("*") / per_salt).cast("int").alias(deals)).where(F.col(deals) > 0))
+    few = rows_fit(hot, 50_000)  # keys are ids and hashes: a few MB
+    if few and hot.isEmpty():
+        free(hot)
+        return left.join(right, key)
+    hot, n = F.broadcast(hot) if few else hot, F.coalesce(deals, F.lit(0))
+    dealt = left.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(*left.columns), n + 1).cast("int")).drop(deals)
+    wide = right.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), n))).drop(deals)
     return dealt.join(wide, [key, salt]).drop(salt)

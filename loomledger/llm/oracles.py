@@ -142,4 +142,70 @@ WITH RECURSIVE {_CRC_TABLE}, runs AS (
 SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM formed JOIN ends USING (word)
 """
 
-ORACLE: dict[str, str] = {"op1_mix_sources": OP1, "op5_ngram_jaccard": OP5, "op6_decontaminate": OP6, "op7_chat_format": OP7, "op12_spelling_variants": OP12}
+
+
+def _with(edit: str, cost: int | str, x: str) -> str:
+    """The way x, one edit further."""
+    return f"{{cost: {x}.cost + {cost}, audit: {x}.audit || '{edit}'}}"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+# The least cost and audit by which the rows so far lead to each state: nothing (w0), system (w1), user (w2), assistant (w3).
+_FAR = "{cost: 1000000000, audit: ''}"
+_OTHERS = ("w0", "w1", "w3")
+_INSERTED = f"w0, w1, {_least('w2', *(_with('I', 5, x) for x in _OTHERS))} AS w2, w3"
+_SPACES = r"\x20\x09-\x0D"
+
+OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE}, hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')))) AS x FROM conversations
+), drawn AS (
+  SELECT conv_id, turn, role, text, {_CRC} % 20 AS h FROM hashed, tab
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS again
+  FROM drawn WHERE h <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS spot FROM damaged
+), marked AS (
+  SELECT *, left(role, 1) AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^{_SPACES}]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY spot) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][{_SPACES}]*$') THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY spot) || left(role, 1) AS pair
+  FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n_rows
+  FROM marked GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, 0 AS spot, {{cost: 0, audit: ''}} AS w0, {_FAR} AS w1, {_FAR} AS w2, {_FAR} AS w3 FROM counted
+  UNION ALL
+  SELECT conv_id, spot, {_with("D", 2, "w0")} AS w0, CASE WHEN kept AND initial = 's' THEN {_least(_with("D", 2, "w1"), _with("K", "more", "w0"))} ELSE {_with("D", 2, "w1")} END AS w1,
+         CASE WHEN kept AND initial = 'u' THEN {_least(_with("D", 2, "w2"), *(_with("K", "more", x) for x in _OTHERS))} WHEN kept THEN {_least(_with("D", 2, "w2"), *(_with("R", "1 + more", x) for x in _OTHERS))} ELSE {_with("D", 2, "w2")} END AS w2,
+         CASE WHEN kept AND initial = 'a' THEN {_least(_with("D", 2, "w3"), _with("K", "more", "w2"))} WHEN kept THEN {_least(_with("D", 2, "w3"), _with("R", "1 + more", "w2"))} ELSE {_with("D", 2, "w3")} END AS w3
+  FROM (
+    SELECT conv_id, spot, initial, kept, more, w0, w1, w2, {_least("w3", _with("I", 5, "w2"))} AS w3 FROM (
+      SELECT m.conv_id, m.spot, initial, fault NOT IN ('blank', 'duplicate') AS kept, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more, {_INSERTED}
+      FROM walk JOIN marked AS m ON m.conv_id IS NOT DISTINCT FROM walk.conv_id AND m.spot = walk.spot + 1))
+), ended AS (
+  SELECT conv_id, {_least("w0", "w3")} AS way FROM (SELECT conv_id, w0, {_least("w3", _with("I", 5, "w2"))} AS w3 FROM (SELECT conv_id, {_INSERTED} FROM walk JOIN counted USING (conv_id) WHERE spot = n_rows UNION ALL SELECT conv_id, {_INSERTED} FROM walk WHERE conv_id IS NULL AND spot = (SELECT n_rows FROM counted WHERE conv_id IS NULL)))
+), edits AS (
+  SELECT conv_id, step, way.audit[step] AS edit, step - length(replace(left(way.audit, step), 'I', '')) AS inserted FROM (SELECT conv_id, way, unnest(range(1, length(way.audit) + 1)) AS step FROM ended)
+), output AS (
+  SELECT e.conv_id, e.step, edit, role, text, initial, row_number() OVER (PARTITION BY e.conv_id ORDER BY step) - 1 AS place
+  FROM edits AS e LEFT JOIN marked AS m ON m.conv_id IS NOT DISTINCT FROM e.conv_id AND m.spot = e.step - inserted AND edit <> 'I' WHERE edit <> 'D'
+), told AS (
+  SELECT *, place - first_value(CASE WHEN edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY place) AS pair_place FROM output
+), written AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN pair_place % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS whole FROM told GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(way.cost, 0)::BIGINT AS cost, coalesce(way.audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c
+LEFT JOIN counted AS n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended AS e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN written AS w ON w.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+ORACLE: dict[str, str] = {"op1_mix_sources": OP1, "op5_ngram_jaccard": OP5, "op6_decontaminate": OP6, "op7_chat_format": OP7, "op12_spelling_variants": OP12, "op13_conversation_repair": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprint, line_dedup, mixing, near_duplicates, pii, quality, simhash, spelling, token_counts, toxicity
+from . import chat, decontamination, dialogue, fingerprint, line_dedup, mixing, near_duplicates, pii, quality, simhash, spelling, token_counts, toxicity
 from .common import table
 from .oracles import ORACLE  # noqa: F401  (registered with the queries)
 
@@ -79,4 +79,8 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(docs, drop_every=97))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_pii, op3_token_counts, op4_quality, op5_ngram_jaccard, op6_decontaminate, op7_chat_format, op8_fingerprint, op9_toxicity, op10_line_dedup, op11_simhash, op12_spelling_variants)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_pii, op3_token_counts, op4_quality, op5_ngram_jaccard, op6_decontaminate, op7_chat_format, op8_fingerprint, op9_toxicity, op10_line_dedup, op11_simhash, op12_spelling_variants, op13_conversation_repair)}
