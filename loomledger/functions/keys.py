@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .canonical import canonical_json
+
 
 def canonical_account(text: Column) -> Column:
     """`ACC-000123` from spellings with a space for the dash, small letters, no padding, or blanks around."""
@@ -13,7 +15,8 @@ def canonical_account(text: Column) -> Column:
 
 
 def stable_event_id(day: Column, system: Column, kind: Column, entity: Column, payload: Column) -> Column:
-    return F.sha2(F.concat_ws("|", day.cast("string"), system, kind, entity.cast("string"), payload), 256)
+    """The digest of an event's date, system, type, entity and payload, a JSON text in any spelling; NULL if the payload isn't JSON."""
+    return F.sha2(F.concat(day.cast("string"), F.lit("|"), system, F.lit("|"), kind, F.lit("|"), entity.cast("string"), F.lit("|"), canonical_json(payload)), 256)
 
 
 def inferred_event_id(history: str, entity: Column, transition: Column) -> Column:

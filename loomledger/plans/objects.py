@@ -187,10 +187,18 @@ def id_embedded_join(spark, d):
     return o.withColumn("c_custkey", F.substring("account_id", 4, 12).cast("long")).join(b.table(spark, d, "customer"), "c_custkey").select("order_id", "account_id", "c_name")
 
 
-@query("SELECT event_id, sha256(strftime(ts, '%Y-%m-%d') || '|crm|' || event_type || '|' || CAST(user_id AS VARCHAR) || '|' || props) AS stable_id FROM events", views=False)
+# Payloads in three spellings: keys in another order, blanks, escapes.
+@query("""SELECT event_id, sha256(strftime(ts, '%Y-%m-%d') || '|crm|' || event_type || '|' || CAST(user_id AS VARCHAR) || '|{"k":' || (props->>'k') || ',"user":{"id":' || CAST(user_id AS VARCHAR) || ',"kind":"' || event_type || '","note":null,"tags":["b","\\u00e9",1.5]}}') AS stable_id FROM events""", views=False)
 def stable_event_id(spark, d):
-    e = b.table(spark, d, "events")
-    return e.select("event_id", keys.stable_event_id(F.to_date("ts"), F.lit("crm"), F.col("event_type"), F.col("user_id"), F.col("props")).alias("stable_id"))
+    e, k, user, kind = b.table(spark, d, "events"), F.get_json_object("props", "$.k"), F.col("user_id").cast("string"), F.col("event_type")
+    spellings = (
+        ('{"k":', k, ',"user":{"id":', user, ',"kind":"', kind, '","note":null,"tags":["b","é",1.5]}}'),
+        ('{ "user": {"tags": [ "b", "\\u00E9", 1.50 ], "note": null,\n "kind": "', kind, '", "id": ', user, '}, "k": ', k, " }"),
+        ('{"user" :{"note":null,"id":', user, ',"tags":["\\u0062","\\u00e9",15e-1],"kind":"', kind, '"},\t"k":', k, "}"),
+    )
+    one, two, three = (F.concat(*(F.lit(x) if isinstance(x, str) else x for x in s)) for s in spellings)
+    payload = F.when(F.col("event_id") % 3 == 0, one).when(F.col("event_id") % 3 == 1, two).otherwise(three)
+    return e.select("event_id", keys.stable_event_id(F.to_date("ts"), F.lit("crm"), kind, F.col("user_id"), payload).alias("stable_id"))
 
 
 @query("SELECT o_orderkey, sha256('inferred_baseline:order:' || CAST(o_orderkey AS VARCHAR) || ':' || o_orderstatus) AS event_key FROM orders", views=False)
