@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.staging import numbered
+
 MAX_OFFSET, PAGE_MIN, PAGE_MAX = 2000, 200, 2000
 
 
@@ -79,18 +80,8 @@ def record_envelope(df: DataFrame, kind: str, id: str, base: str = "/services/da
 
 
 def result_index(df: DataFrame, id: str, *order: str) -> DataFrame:
-    """(sequence_number, id) of the ordered rows, from 0.
-
-    Rows are range-partitioned by the order, numbered within partitions, and shifted by the sizes of the partitions before: no partition holds them all. The ranges are drawn once: with a checkpoint folder they are kept there, so that rows that are computed again fall in the same ones.
-    """
-    ranged = df.select(id, *(c for c in order if c != id)).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    if folder := df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        path = f"{folder}/index-{uuid.uuid4().hex}"
-        ranged.write.parquet(path)
-        ranged = df.sparkSession.read.parquet(path)
-    before = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return ranged.withColumn("at", at).join(F.broadcast(before), "part").select((F.col("at") - 1 + F.col("shift")).alias("sequence_number"), id)
+    """(sequence_number, id) of the ordered rows, from 0, numbered by ranges: no task holds them all."""
+    return numbered(df.select(id, *(c for c in order if c != id)), *order).select("sequence_number", id)
 
 
 def page(index: DataFrame, size: int = PAGE_MAX, offset: int = 0) -> DataFrame:

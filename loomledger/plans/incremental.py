@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import bindings as b
 from ..sources import exchange as x
+from ..sources import staging
 from ..streaming import streams
 from .registry import query
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in that of spark.checkpoint.dir; below /tmp only where it is unset and the master is local. It goes when the application ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/run-{uuid.uuid4().hex}")
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return where.toString()
-
-
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     # a pattern: a path without one must be a folder, and the table may be one file
     return streams.stream_deltas(spark, f"{d}/event[s].parquet", b.table(spark, d, "events").schema)
@@ -34,7 +19,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 def _appended(spark: SparkSession, out: DataFrame) -> DataFrame:
     """What a stream gives until its input ends, written as Parquet and read again."""
-    at = _folder(spark)
+    at = staging.folder(spark)
     streams.run_out(out.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start())
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
@@ -54,7 +39,7 @@ def stream_dedup(spark, d):
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1", views=False)
 def stream_current(spark, d):
-    at = _folder(spark)
+    at = staging.folder(spark)
     streams.run_out(streams.stream_current(_stream(spark, d), f"{at}/state", f"{at}/checkpoint", "user_id", "ts", "event_id"))
     return streams.read_current(spark, f"{at}/state", "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value")
 
@@ -82,49 +67,52 @@ def stream_sla(spark, d):
 
 @query("SELECT CAST(ts AS DATE) AS business_date, count(*) AS late FROM events WHERE event_id % 5 = 0 GROUP BY 1", views=False)
 def stream_late(spark, d):
-    at = _folder(spark)
+    at = staging.folder(spark)
     day = F.to_date("ts")
     events = _stream(spark, d).select("event_id", day.alias("business_date"), F.when(F.col("event_id") % 5 == 0, F.date_add(day, 1)).otherwise(day).alias("available_on"))
     streams.run_out(streams.stream_late(events, f"{at}/checkpoint", f"{at}/late"))
     return spark.read.parquet(f"{at}/late").groupBy("business_date").agg(F.sum("late").alias("late"))
 
 
-def _ordered(spark: SparkSession, d: str) -> DataFrame:
-    return b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
+# Notes with blanks around, quotes, line breaks, empty and NULL.
+_NOTE = "CASE o_orderkey % 5 WHEN 0 THEN ' ' || o_orderpriority || ' ' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN 'a \"quoted\"' || chr(10) || ', line' ELSE o_orderpriority END"
+_EXPORT = f"SELECT o_orderkey AS id, {_NOTE} AS note"
 
 
-_PRIORITY = "SELECT o_orderkey AS id, o_orderpriority AS priority"
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    k, text = F.col("o_orderkey"), F.col("o_orderpriority")
+    note = F.when(k % 5 == 0, F.concat(F.lit(" "), text, F.lit(" "))).when(k % 5 == 1, "").when(k % 5 == 2, None).when(k % 5 == 3, 'a "quoted"\n, line').otherwise(text)
+    return b.table(spark, d, "orders").select(k.alias("id"), note.alias("note"))
 
 
-# Parts lie end to end, hold all records, and none has more than asked.
-@query("SELECT count(*) AS records, CAST(0 AS BIGINT) AS first_record, count(*) AS last_record, true AS joined, true AS small FROM orders", views=False)
+# Parts have 4000 records each, and what is left.
+@query(f"SELECT part, part * 4000 AS start_record, part * 4000 + count(*) AS end_record, count(*) AS records, sum(strlen(line) + 1) + 8 AS bytes FROM (SELECT CAST((row_number() OVER (ORDER BY id) - 1) // 4000 AS BIGINT) AS part, CAST(id AS VARCHAR) || ',' || CASE WHEN note IS NULL THEN '' WHEN note = '' THEN '\"\"' WHEN note LIKE '%quoted%' THEN '\"' || replace(note, '\"', '\"\"') || '\"' ELSE note END AS line FROM ({_EXPORT} FROM orders)) GROUP BY part", views=False)
 def export_parts(spark, d):
-    m = x.export_parts(_ordered(spark, d), _folder(spark), ["id"], 5000)
-    return m.agg(F.sum("records").alias("records"), F.min("start_record").alias("first_record"), F.max("end_record").alias("last_record"), (F.sum("start_record") + F.sum("records") == F.sum("end_record")).alias("joined"), (F.max("records") <= 5000).alias("small"))
+    m = x.export_parts(_ordered(spark, d), staging.folder(spark), ["id"], 4000)
+    return m.select("part", "start_record", "end_record", "records", "bytes")
 
 
-@query(f"SELECT id, priority, record FROM (SELECT id, priority, row_number() OVER (ORDER BY id) - 1 AS record FROM ({_PRIORITY} FROM orders)) WHERE record BETWEEN 7 AND 8006", views=False)
+@query(f"SELECT id, note, record FROM (SELECT id, note, row_number() OVER (ORDER BY id) - 1 AS record FROM ({_EXPORT} FROM orders)) WHERE record BETWEEN 7 AND 8006", views=False)
 def export_window(spark, d):
-    m = x.export_parts(_ordered(spark, d), _folder(spark), ["id"], 3000)
-    rows, _ = x.export_window(spark, m, 7, 8000)
-    return rows.select(F.col("id").cast("long").alias("id"), "priority", F.col("record").cast("long").alias("record"))
+    m = x.export_parts(_ordered(spark, d), staging.folder(spark), ["id"], 3000)
+    rows, _ = x.export_page(spark, m, "r:7", 8000)
+    return rows.select(F.col("id").cast("long").alias("id"), "note", F.col("record").cast("long").alias("record"))
 
 
-# An export of the first half, then one of all that goes on after it: no record is written twice.
-@query(f"{_PRIORITY}, CAST(1 AS BIGINT) AS times FROM orders", views=False)
+# An export of the first half, then one of all that goes on after it: no record is written twice, whole parts stay as they are.
+@query(f"{_EXPORT}, CAST(1 AS BIGINT) AS times FROM orders", views=False)
 def export_resume(spark, d):
-    at, rows = _folder(spark), _ordered(spark, d)
+    at, rows = staging.folder(spark), _ordered(spark, d)
     middle = rows.agg(F.percentile_approx("id", 0.5)).first()[0] or 0
-    x.export_parts(rows.where(F.col("id") <= middle), at, ["id"], 5000)
-    x.export_parts(rows, at, ["id"], 5000, resume=True)
-    out = x.exported(spark, at)
-    return out.groupBy(F.col("id").cast("long").alias("id"), "priority").agg(F.count("*").alias("times"))
+    x.export_parts(rows.where(F.col("id") <= middle), at, ["id"], 2000)
+    x.export_parts(rows, at, ["id"], 2000, resume=True)
+    return x.exported(spark, at).groupBy(F.col("id").cast("long").alias("id"), "note").agg(F.count("*").alias("times"))
 
 
 # Orders published by year, each year twice: the second time is a no-op.
 @query("SELECT make_date(year(o_orderdate), 12, 31) AS business_date, count(*) AS records, CAST(1 AS BIGINT) AS published FROM orders GROUP BY 1", views=False)
 def publish_delta(spark, d):
-    root, orders = _folder(spark), b.table(spark, d, "orders")
+    root, orders = staging.folder(spark), b.table(spark, d, "orders")
     at, times = F.make_date(F.year("o_orderdate"), F.lit(12), F.lit(31)), []
     for day in [str(r[0]) for r in orders.select(at).distinct().collect()]:  # a row per year
         own = orders.where(at == F.lit(day).cast("date"))
@@ -142,7 +130,7 @@ def _orders_spec(*paths: str) -> x.ObjectSpec:
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders", views=False)
 def partition_column_hidden(spark, d):
-    root = _folder(spark)
+    root = staging.folder(spark)
     b.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("business_date")).withColumn("business_date", F.trunc("business_date", "year")).write.partitionBy("business_date").parquet(root)
     return x.scan_object(spark, _orders_spec(root))
 
@@ -150,6 +138,6 @@ def partition_column_hidden(spark, d):
 # The copy is made at first use; what the second call names isn't read.
 @query("SELECT o_orderkey, o_orderpriority FROM orders", views=False)
 def deferred_full_copy(spark, d):
-    at = _folder(spark)
+    at = staging.folder(spark)
     x.deferred_full_copy(spark, _orders_spec(f"{d}/orders.parquet"), at)
     return x.deferred_full_copy(spark, _orders_spec(), at).select("o_orderkey", "o_orderpriority")

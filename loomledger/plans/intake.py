@@ -11,45 +11,56 @@ from ..operators import lifecycle as lc
 from ..operators import quality as q
 from ..sources import bindings as b
 from ..sources import exchange as x
+from ..sources.staging import folder
 from .records import _FACTS, facts
 from .registry import query
 
 
-# Orders as text files, one for each month: a header and a line for each order.
-_LINES = """ln AS (SELECT strftime(o_orderdate, '%Y-%m') AS file, o_orderkey AS n,
-CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE 'A' || CAST(CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey // 150 * 150 ELSE o_orderkey END AS VARCHAR) END AS id,
+# Orders as CSV files, one for each month: a header and a record for each order. Some ids hold a line break and quotes, blank lines stand between, and files of even months end their lines with CR and LF.
+_LINES = """ln AS (SELECT strftime(o_orderdate, '%Y-%m') AS file, o_orderkey AS n, strftime(o_orderdate, '%Y-%m') || ':' || CAST(row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey) AS VARCHAR) AS row_number,
+CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE 'A' || CAST(CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey // 150 * 150 ELSE o_orderkey END AS VARCHAR) || CASE WHEN o_orderkey % 17 = 0 AND o_orderkey % 50 > 0 THEN chr(10) || '"x", y' ELSE '' END END AS id,
 CASE WHEN o_orderkey % 37 = 0 THEN 'abc' WHEN o_orderkey % 31 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS amount,
 CASE WHEN o_orderkey % 41 = 0 THEN 'maybe' WHEN o_orderkey % 2 = 0 THEN 'TRUE' ELSE '' END AS flag,
-strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 43 = 0 THEN 'x' ELSE '' END AS day FROM orders),
+strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 43 = 0 THEN 'x' ELSE '' END AS day, o_orderdate AS t FROM orders),
 fl AS (SELECT file, count(*) AS "rows", CASE WHEN right(file, 2) = '03' THEN 'unknown column' WHEN right(file, 2) = '05' THEN 'empty column name' WHEN max(CASE WHEN n % 3001 = 7 AND n % 47 > 0 THEN 1 ELSE 0 END) = 1 THEN 'too many values' END AS error FROM ln GROUP BY file),
 okl AS (SELECT * FROM ln WHERE file IN (SELECT file FROM fl WHERE error IS NULL))"""
-_COLUMNS = ["Id", "Amount", "IsDeleted", "Day"]
-_KINDS = {"Id": "string", "Amount": "bigint", "IsDeleted": "boolean", "Day": "date"}
+_COLUMNS = ["Id", "Amount", "IsDeleted", "Day", "At"]
+_KINDS = {"Id": "string", "Amount": "bigint", "IsDeleted": "boolean", "Day": "date", "At": "timestamp"}
 
 
 def lines(spark, d, delimiter: str = ","):
-    """Files of March have an unknown column and those of May an empty name; some rows are short, and a few have a value too many."""
+    """Files of March have an unknown column and those of May an empty name; some rows are short, and a few have a value too many. Times have offsets."""
     n = F.col("o_orderkey")
-    ident = F.when(n % 23 == 0, "").otherwise(F.concat(F.lit("A"), F.when(n % 50 == 0, F.floor(n / 150) * 150).otherwise(n).cast("string")))
+    ident = F.concat(F.lit("A"), F.when(n % 50 == 0, F.floor(n / 150) * 150).otherwise(n).cast("string"))
+    ident = F.when(n % 23 == 0, "").when((n % 17 == 0) & (n % 50 > 0), F.concat(F.lit('"'), ident, F.lit('\n""x"", y"'))).otherwise(ident)
     amount = F.when(n % 37 == 0, "abc").when(n % 31 == 0, "").otherwise(n.cast("string"))
     flag = F.when(n % 41 == 0, "maybe").when(n % 2 == 0, "TRUE").otherwise("")
     day = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(n % 43 == 0, "x").otherwise(""))
-    file = F.date_format("o_orderdate", "yyyy-MM")
-    sep = F.lit(delimiter)
+    hours = (n % 25 - 12).cast("int")
+    offset = F.concat(F.when(hours < 0, "-").otherwise("+"), F.lpad(F.abs(hours).cast("string"), 2, "0"), F.lit(":30"))
+    local = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), hours, F.when(hours < 0, -30).otherwise(30))
+    at = F.when(n % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), offset))
+    file, sep = F.date_format("o_orderdate", "yyyy-MM"), F.lit(delimiter)
     short = F.concat(ident, sep, amount)
-    full = F.concat(short, sep, flag, sep, day, F.when(n % 3001 == 7, F.concat(sep, F.lit("more"))).otherwise(""))
-    body = b.table(spark, d, "orders").select(file.alias("file"), (n + 1).alias("line_no"), F.when(n % 47 == 0, short).otherwise(full).alias("line"))
+    full = F.concat(short, sep, flag, sep, day, sep, at, F.when(n % 3001 == 7, F.concat(sep, F.lit("more"))).otherwise(""))
+    body = b.table(spark, d, "orders").select(file.alias("file"), (n + 1).alias("line_no"), F.concat(F.when(n % 47 == 0, short).otherwise(full), F.when(n % 13 == 0, "\n").otherwise("")).alias("line"))
     names = F.when(F.col("file").endswith("-03"), delimiter.join(["Id", "Amount", "IsDeleted", "Other"])).when(F.col("file").endswith("-05"), delimiter.join(["Id", "Amount", "", "Day"])).otherwise(delimiter.join(_COLUMNS))
-    return body.union(body.select("file").distinct().select("file", F.lit(0).cast("long"), names))
+    both = body.union(body.select("file").distinct().select("file", F.lit(0).cast("long"), names))
+    return both.withColumn("line", F.when(F.substring("file", 7, 1).cast("int") % 2 == 0, F.concat("line", F.lit("\r"))).otherwise(F.col("line")))
 
 
 def parsed(spark, d, delimiter: str = ","):
-    rows, files = x.parse_lines(lines(spark, d, delimiter), _COLUMNS, delimiter)
-    return rows.withColumn("row_number", F.col("row_number") - 1), files
+    """The files are written, one for each month, and read as any upload is."""
+    at = folder(spark)
+    lines(spark, d, delimiter).repartition("file").sortWithinPartitions("file", "line_no").select("line", "file").write.partitionBy("file").text(at)
+    rows, files = x.read_uploads(spark, f"{at}/file=*", _COLUMNS, delimiter)
+    month = F.regexp_extract("file", "file=([0-9-]+)", 1)
+    return rows.withColumns({"file": month, "row_number": F.concat(month, F.lit(":"), F.col("row_number").cast("string"))}), files.withColumn("file", month)
 
 
-def loaded(spark, d):
-    return x.csv_ingest(parsed(spark, d)[0], _KINDS, b.table(spark, d, "orders").where("o_orderkey % 1000 < 4").select(F.concat(F.lit("A"), F.col("o_orderkey").cast("string")).alias("Id")))
+def loaded(spark, d, rows=None):
+    existing = b.table(spark, d, "orders").where("o_orderkey % 1000 < 4").select(F.concat(F.lit("A"), F.col("o_orderkey").cast("string")).alias("Id"))
+    return x.csv_ingest(parsed(spark, d)[0] if rows is None else rows, _KINDS, existing)
 
 
 @query(f"WITH {_LINES} SELECT file, \"rows\", error FROM fl WHERE error IS NULL OR error <> 'too many values'")
@@ -62,43 +73,42 @@ def ingest_width(spark, d):
     return parsed(spark, d)[1].where("error = 'too many values'").select("file", "rows")
 
 
-@query(f"WITH {_LINES} SELECT n AS row_number, id AS Id, amount AS Amount, CASE WHEN n % 47 > 0 THEN flag END AS IsDeleted, CASE WHEN n % 47 > 0 THEN day END AS Day FROM okl WHERE n % 47 < 2")
+@query(f"WITH {_LINES} SELECT row_number, id AS Id, amount AS Amount, CASE WHEN n % 47 > 0 THEN flag END AS IsDeleted, CASE WHEN n % 47 > 0 THEN day END AS Day FROM okl")
 def ingest_short_row(spark, d):
-    return parsed(spark, d)[0].where("row_number % 47 < 2").select("row_number", *_COLUMNS)
+    return parsed(spark, d)[0].select("row_number", "Id", "Amount", "IsDeleted", "Day")
 
 
-@query(f"WITH {_LINES} SELECT n AS row_number, file, id AS Id, amount AS Amount FROM okl")
+@query(f"WITH {_LINES} SELECT row_number, file, id AS Id, amount AS Amount FROM okl")
 def ingest_delimiter(spark, d):
     return parsed(spark, d, "|")[0].select("row_number", "file", "Id", "Amount")
 
 
-_COERCED = "co AS (SELECT n, id, CASE WHEN n % 31 > 0 AND n % 37 > 0 THEN n END AS amount, n % 2 = 0 AND n % 47 > 0 AS flag, CASE WHEN n % 47 > 0 AND n % 43 > 0 THEN CAST(day AS DATE) END AS day, CASE WHEN n % 37 = 0 THEN 'Amount: invalid bigint' WHEN n % 41 = 0 AND n % 47 > 0 THEN 'IsDeleted: invalid boolean' WHEN n % 43 = 0 AND n % 47 > 0 THEN 'Day: invalid date' END AS error FROM okl)"
+_COERCED = "co AS (SELECT n, row_number, id, CASE WHEN n % 31 > 0 AND n % 37 > 0 THEN n END AS amount, n % 2 = 0 AND n % 47 > 0 AS flag, CASE WHEN n % 47 > 0 AND n % 43 > 0 THEN CAST(day AS DATE) END AS day, CASE WHEN n % 47 > 0 THEN t END AS t, CASE WHEN n % 37 = 0 THEN 'Amount: invalid bigint' WHEN n % 41 = 0 AND n % 47 > 0 THEN 'IsDeleted: invalid boolean' WHEN n % 43 = 0 AND n % 47 > 0 THEN 'Day: invalid date' END AS error FROM okl)"
 
 
-@query(f"WITH {_LINES}, {_COERCED} SELECT n AS row_number, amount AS Amount, flag AS IsDeleted, day AS Day FROM co WHERE error IS NULL AND id = ''")
+@query(f"WITH {_LINES}, {_COERCED} SELECT row_number, amount AS Amount, flag AS IsDeleted, day AS Day, CAST(t AS TIMESTAMP) AS At FROM co WHERE error IS NULL AND id = ''")
 def ingest_coerce(spark, d):
     """Of the rows without an id, which no other can repeat."""
     rows = parsed(spark, d)[0].where("Id = ''")
-    return x.csv_ingest(rows, _KINDS, None)[0].select("row_number", "Amount", "IsDeleted", "Day")
+    return x.csv_ingest(rows, _KINDS, None)[0].select("row_number", "Amount", "IsDeleted", "Day", "At")
 
 
-@query(f"WITH {_LINES}, {_COERCED} SELECT n AS row_number, '001' || substr(sha1('job:' || CAST(n AS VARCHAR)), 1, 15) AS Id FROM co WHERE error IS NULL AND id = ''")
+@query(f"WITH {_LINES}, {_COERCED} SELECT row_number, '001' || substr(sha1('job:' || row_number), 1, 15) AS Id FROM co WHERE error IS NULL AND id = ''")
 def ingest_ids(spark, d):
     return loaded(spark, d)[0].where(F.col("Id") == generated_record_id("job", F.col("row_number"))).select("row_number", "Id")
 
 
-@query(f"WITH {_LINES}, {_COERCED}, g AS (SELECT n, count(*) OVER (PARTITION BY id) > 1 AS again, id IN (SELECT 'A' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 1000 < 4) AS there FROM co WHERE error IS NULL AND id <> '') SELECT n AS row_number FROM g WHERE again OR there")
+@query(f"WITH {_LINES}, {_COERCED}, g AS (SELECT row_number, count(*) OVER (PARTITION BY id) > 1 AS again, id IN (SELECT 'A' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 1000 < 4) AS there FROM co WHERE error IS NULL AND id <> '') SELECT row_number FROM g WHERE again OR there")
 def ingest_duplicates(spark, d):
     return loaded(spark, d)[1].where("error like 'DUPLICATE%'").select("row_number")
 
 
-@query(f"WITH {_LINES}, {_COERCED}, g AS (SELECT strftime(o_orderdate, '%Y') AS job, error IS NULL AND (id = '' OR count(*) OVER (PARTITION BY id, error IS NULL) = 1 AND id NOT IN (SELECT 'A' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 1000 < 4)) AS good FROM co JOIN orders ON o_orderkey = n) SELECT job, CASE WHEN good THEN 'success' ELSE 'failed' END AS outcome, count(*) AS n FROM g GROUP BY ALL")
+@query(f"WITH {_LINES}, {_COERCED}, g AS (SELECT left(row_number, 4) AS job, error IS NULL AND (id = '' OR count(*) OVER (PARTITION BY id, error IS NULL) = 1 AND id NOT IN (SELECT 'A' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 1000 < 4)) AS good FROM co) SELECT job, CASE WHEN good THEN 'success' ELSE 'failed' END AS outcome, count(*) AS n FROM g GROUP BY ALL")
 def ingest_outcome_counts(spark, d):
     """By year: the job of a row."""
     good, bad = loaded(spark, d)
     both = good.select("row_number", F.lit("success").alias("outcome")).union(bad.select("row_number", F.lit("failed")))
-    jobs = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("row_number"), F.date_format("o_orderdate", "yyyy").alias("job"))
-    return both.join(jobs, "row_number").groupBy("job", "outcome").agg(F.count("*").alias("n"))
+    return both.groupBy(F.left("row_number", F.lit(4)).alias("job"), "outcome").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'events' AS object, count(*) AS n, max(event_id) AS last FROM events UNION ALL SELECT 'none', 0, NULL", views=False)

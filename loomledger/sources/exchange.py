@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import generated_record_id, strict_boolean
+from .csvfiles import csv_records, fields
+from .exports import InvalidLocator, export_page, export_parts, export_window, exported, matched, part_page  # noqa: F401
+from .staging import staged
 
 
 @dataclass(frozen=True)
@@ -27,13 +30,6 @@ class ObjectSpec:
     format: str = "parquet"
 
 
-def matched(spark: SparkSession, pattern: str) -> list[str]:
-    """The files and folders that a glob names, in any store that Spark reads."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return [str(s.getPath()) for s in found or []]
-
-
 def scan_object(spark: SparkSession, spec: ObjectSpec) -> DataFrame:
     """All files of an object, columns by name; declared and empty without files; newest versions if it has deltas. The storage partition isn't a field."""
     from ..operators.versions import alias_columns, latest_version
@@ -72,18 +68,58 @@ def csv_lines(spark: SparkSession, path: str, columns: list[str], delimiter: str
     return raw.join(F.broadcast(before), "_part").withColumn("row_number", F.col("_at") - base + F.col("_shift") + 1).drop("_at", "_part", "_n", "_shift")
 
 
+# Forms of values, as fixed texts: whole numbers, numbers, dates, times with an optional offset.
+_WHOLE = r"^\s*[+-]?[0-9]++(?:_[0-9]++)*+\s*$"
+_NUMBER = r"(?i)^\s*[+-]?(?:(?:[0-9]++(?:_[0-9]++)*+\.?(?:[0-9]++(?:_[0-9]++)*+)?|\.[0-9]++(?:_[0-9]++)*+)(?:e[+-]?[0-9]++)?|inf(?:inity)?|nan)\s*$"
+_DATE = r"^([0-9]{4})-?([0-9]{2})-?([0-9]{2})$"
+_TIME = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:.([0-9]{2})(?::([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]+))?)?)?(?:Z|([+-])([0-9]{2}):?([0-9]{2})(?::?([0-9]{2}))?)?)?$"
+
+
+def _of_groups(text: Column, pattern: str, n: int, value) -> Column:  # noqa: ANN001
+    """`value` of the array of groups of a pattern, taken once; NULL where it doesn't match."""
+    groups = F.array(*(F.regexp_extract(text, pattern, k) for k in range(1, n + 1)))
+    return F.when(text.rlike(pattern), F.get(F.transform(F.array(groups), value), F.lit(0)))
+
+
+def _date(text: Column) -> Column:
+    whole = (F.length(text) == 8) | text.rlike("^.{4}-.{2}-")
+    return F.when(whole, _of_groups(text, _DATE, 3, lambda g: F.array_join(g, "-").try_cast("date")))
+
+
+def _timestamp(text: Column) -> Column:
+    def value(g: Column) -> Column:
+        part = lambda k: F.get(g, F.lit(k - 1))
+        number = lambda k: F.coalesce(part(k).try_cast("int"), F.lit(0))
+        local = F.concat(part(1), F.lit(" "), *(x for k, end in ((2, ":"), (3, ":"), (4, ".")) for x in (F.lpad(part(k), 2, "0"), F.lit(end))), F.rpad(F.left(part(5), F.lit(6)), 6, F.lit("0"))).try_cast("timestamp_ntz")
+        ahead = F.make_dt_interval(F.lit(0), number(7), number(8), number(9).cast("decimal(18,6)"))
+        good = (number(2) < 24) & (number(7) < 24) & (number(8) < 60) & (number(9) < 60)
+        return F.when(good, F.when(part(6) == "-", local + ahead).otherwise(local - ahead))
+
+    return _of_groups(text, _TIME, 9, value)
+
+
 def coerce(text: Column, kind: str) -> Column:
-    """A text as a value: boolean, bigint, double, date, timestamp or string; NULL if empty or malformed."""
+    """A text as a value: boolean, bigint, double, date, timestamp or string; NULL if empty or malformed.
+
+    Numbers may have blanks around and single underscores between digits. Dates are whole: 2024-01-05 or 20240105. Times are a date, alone or with hours, minutes, seconds and a fraction (digits beyond six are cut), and with Z or an offset, which is taken off: the value is in UTC.
+    """
     text = F.when(text != "", text)
     if kind == "boolean":
         return strict_boolean(text)
-    return text if kind == "string" else text.try_cast({"timestamp": "timestamp_ntz"}.get(kind, kind))
+    if kind == "date":
+        return _date(text)
+    if kind == "timestamp":
+        return _timestamp(text)
+    if kind in ("bigint", "int", "double", "float"):
+        return F.when(text.rlike(_WHOLE if kind in ("bigint", "int") else _NUMBER), F.replace(F.trim(text), F.lit("_"), F.lit("")).try_cast(kind))
+    return text if kind == "string" else text.try_cast(kind)
 
 
 def csv_ingest(rows: DataFrame, kinds: dict[str, str], existing: DataFrame | None, id: str = "Id", job: str = "job", row: str = "row_number", deleted: str = "IsDeleted", first_wins: bool = False) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) of rows of text values. An empty value is NULL, an empty flag of deletion false, a missing id generated; the first field that can't be read, and ids that repeat or exist, reject the row alone."""
-    bad = F.coalesce(*(F.when((F.col(c) != "") & coerce(F.col(c), k).isNull(), F.lit(f"{c}: invalid {k}")) for c, k in kinds.items()), F.lit(None).cast("string"))
-    typed = rows.select(row, bad.alias("error"), *(F.coalesce(coerce(F.col(c), k), F.lit(False)).alias(c) if c == deleted else coerce(F.col(c), k).alias(c) for c, k in kinds.items()))
+    values = rows.select(row, *kinds, *(coerce(F.col(c), k).alias(f"_{c}") for c, k in kinds.items()))
+    bad = F.coalesce(*(F.when((F.col(c) != "") & F.col(f"_{c}").isNull(), F.lit(f"{c}: invalid {k}")) for c, k in kinds.items()), F.lit(None).cast("string"))
+    typed = values.select(row, bad.alias("error"), *(F.coalesce(f"_{c}", F.lit(False)).alias(c) if c == deleted else F.col(f"_{c}").alias(c) for c in kinds))
     typed = typed.withColumn(id, F.coalesce(F.col(id), generated_record_id(job, F.col(row))))
     again = F.row_number().over(Window.partitionBy(id).orderBy(row)) > 1 if first_wins else F.count("*").over(Window.partitionBy(id)) > 1
     good = typed.where("error is null").withColumn("again", again)
@@ -94,59 +130,12 @@ def csv_ingest(rows: DataFrame, kinds: dict[str, str], existing: DataFrame | Non
     return accepted, rows.join(failed, row).select(row, "error", *kinds)
 
 
-_CSV = {"header": "true", "escape": '"', "multiLine": "true"}
-
-
-def export_parts(df: DataFrame, path: str, order: list[str], rows_per_part: int = 100_000, resume: bool = False) -> DataFrame:
-    """Writes ordered CSV parts of at most `rows_per_part` rows with headers (each run all or nothing by Spark's commit) and gives the manifest: part, path, start_record, end_record, records, bytes, sha256.
-
-    `order` must be total. A rerun replaces what is there; with `resume` it keeps committed runs and goes on after their last row, dropping what an interrupted one left.
-    """
-    spark = df.sparkSession
-    done = [p for p in matched(spark, f"{path}/run=*") if matched(spark, f"{p}/_SUCCESS")] if resume else []
-    rest = df
-    if done:
-        key = F.struct(*(F.col(c).cast(df.schema[c].dataType).alias(c) for c in order))
-        last = spark.read.options(**_CSV).csv(done).agg(F.max(key).alias("last"))  # one row
-        rest = df.crossJoin(F.broadcast(last)).where(F.col("last").isNull() | (F.struct(*order) > F.col("last"))).drop("last")
-    else:
-        root = spark._jvm.org.apache.hadoop.fs.Path(path)
-        root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
-    rest.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").options(**_CSV).option("maxRecordsPerFile", rows_per_part).csv(f"{path}/run={len(done):06d}")
-    files = spark.read.format("binaryFile").load(f"{path}/run=*/part-*").select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    counts = spark.read.options(**_CSV).csv(f"{path}/run=*/part-*").groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("records"))
-    at = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")
-    both = files.withColumn("place", F.struct(at("run=([0-9]+)"), at("part-([0-9]+)-"), at("-c([0-9]+)[.]csv"))).join(counts.select(F.regexp_replace("path", "^file:/+", "/").alias("file"), "records"), F.regexp_replace("path", "^file:/+", "/") == F.col("file"))
-    w = Window.orderBy("place")  # a row per part
-    end = F.sum("records").over(w)
-    return both.select((F.row_number().over(w) - 1).alias("part"), "path", (end - F.col("records")).alias("start_record"), end.alias("end_record"), "records", "bytes", "sha256")
-
-
-def exported(spark: SparkSession, path: str) -> DataFrame:
-    """All records of an export, as text."""
-    return spark.read.options(**_CSV).csv(f"{path}/run=*/part-*")
-
-
 def record_offsets(parts: DataFrame, order: str, records: str = "records") -> DataFrame:
     """Parts with start_record and end_record, by their sizes and order."""
     end = F.sum(records).over(Window.orderBy(order))  # a row per part
     return parts.withColumn("start_record", end - F.col(records)).withColumn("end_record", end)
 
 
-def export_window(spark: SparkSession, manifest: DataFrame, offset: int, n: int) -> tuple[DataFrame, int | None]:
-    """Records [offset, offset + n) of an export with their record numbers, and the offset of the next window (None at the end); past the end is an error. Only the parts that hold them are read."""
-    total = manifest.agg(F.max("end_record")).first()[0] or 0
-    if offset > total:
-        raise ValueError(f"{offset} is past the end, {total}")
-    parts = manifest.where((F.col("end_record") > offset) & (F.col("start_record") < offset + n)).orderBy("part").select("path", "start_record").collect()
-    each = []
-    for p in parts or manifest.orderBy("part").select("path", "start_record").limit(1).collect():
-        rows = spark.read.options(**_CSV).csv(p["path"])  # a file with quoted line ends isn't split: its rows are numbered in order
-        each.append(rows.withColumn("record", F.monotonically_increasing_id() + p["start_record"]))
-    out = reduce(DataFrame.union, each).where(F.col("record").between(offset, offset + n - 1))
-    return out, (offset + n if offset + n < total else None)
-
-
 def publish_delta(df: DataFrame, root: str, business_date: str, event_id: str = "event_id") -> bool:
     """Writes one business date's partition once. The same events again are a no-op (False); others for a published date are an error."""
     spark = df.sparkSession
@@ -172,20 +161,32 @@ def deferred_full_copy(spark: SparkSession, spec: ObjectSpec, path: str) -> Data
 
 
 def parse_lines(lines: DataFrame, columns: list[str], delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
-    """(rows, files) of text lines (file, line_no, line), line 0 being a file's header.
+    """(rows, files) of records as texts (file, line_no, line), line 0 being a file's header; quoted values may hold line breaks.
 
-    A file whose header has an empty or unknown name, or one of whose rows has more values than it, is rejected whole; short rows are padded with NULL. rows: file, row_number and the columns as text, of accepted files; files: file, rows, error (NULL if accepted).
+    A file whose header has an empty or unknown name, or one of whose rows has more values than it, is rejected whole; short rows are padded with NULL; blank records are none. Of a name that a header repeats, the last column counts. rows: file, row_number and the columns as text, of accepted files; files: file, rows, error (NULL if accepted).
     """
-    mark = F.lit(f'\\Q{delimiter}\\E(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    plain = F.split(F.col("line"), F.lit(f"\\Q{delimiter}\\E"), -1)
-    values = F.when(F.contains(F.col("line"), F.lit('"')), F.split(F.col("line"), mark, -1)).otherwise(plain)
-    unquoted = F.transform(values, lambda v: F.when(v.rlike('^".*"$'), F.replace(F.substr(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v))
-    cut = lines.withColumn("values", unquoted)
+    return _checked(_cut(lines, delimiter), columns)
+
+
+def _cut(lines: DataFrame, delimiter: str) -> DataFrame:
+    return lines.where("line != '' or line_no = 0").select("file", "line_no", fields(F.col("line"), delimiter).alias("values"))
+
+
+def _checked(cut: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     heads = cut.where("line_no = 0").select("file", F.col("values").alias("names"))
     body = cut.where("line_no > 0").join(heads, "file")
     files = body.groupBy("file", "names").agg(F.count("*").alias("rows"), F.max(F.size("values") > F.size("names")).alias("wide")).join(heads, ["file", "names"], "right")
     error = F.when(F.array_contains("names", ""), "empty column name").when(F.size(F.array_except("names", F.array(*map(F.lit, columns)))) > 0, "unknown column").when(F.col("wide"), "too many values")
     files = files.select("file", F.coalesce("rows", F.lit(0)).alias("rows"), error.alias("error"))
     good = body.join(files.where("error is null").select("file"), "file", "left_semi")
-    value = lambda c: F.get(F.col("values"), (F.array_position("names", c) - 1).cast("int"))
+    place = lambda c: F.size("names") - F.array_position(F.reverse("names"), F.lit(c))
+    value = lambda c: F.get(F.col("values"), place(c).cast("int"))
     return good.select("file", F.col("line_no").alias("row_number"), *(F.when(F.array_contains("names", c), value(c)).alias(c) for c in columns)), files
+
+
+def read_uploads(spark: SparkSession, paths: str | list[str], columns: list[str], delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
+    """`parse_lines` of CSV files of any length, which are split; file is a file's path, and files without a header or with a record beyond all bounds are rejected, too."""
+    records, found = csv_records(spark, paths, delimiter)
+    bad = found.where("error is not null")
+    rows, files = _checked(staged(_cut(records.join(bad.select("file"), "file", "left_anti"), delimiter)), columns)
+    return rows, files.unionByName(bad.select("file", F.lit(0).cast("long").alias("rows"), "error"))

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from loomledger.operators import quality as q
 from loomledger.operators import versions as v
 from loomledger.operators.events import apply_patches, hold_and_release, idempotent_apply, valid_range_join
 from loomledger.operators.metrics import mix_shift
-from loomledger.sources.exchange import ObjectSpec, csv_ingest, csv_lines, deferred_full_copy, export_parts, export_window, publish_delta, scan_object, snapshot_fingerprint
+from loomledger.sources.exchange import ObjectSpec, csv_ingest, csv_lines, deferred_full_copy, InvalidLocator, export_page, export_parts, export_window, part_page, publish_delta, scan_object, snapshot_fingerprint
 from loomledger.streaming import streams
 
 
@@ -144,17 +145,44 @@ def test_ingest_and_export(spark, tmp_path):
 def test_export_counts_and_resume(spark, tmp_path):
     """Line ends inside values are no records; a rerun keeps what is committed and drops what isn't."""
     out = str(tmp_path / "out")
-    text = spark.range(7).select("id", F.concat(F.lit('a "quoted"\nline '), F.col("id").cast("string")).alias("t"))
-    m = export_parts(text.where("id < 4"), out, ["id"], 2)
-    assert m.agg(F.sum("records")).first()[0] == 4
-    kept = {r["path"]: r["sha256"] for r in m.collect()}
-    (tmp_path / "out" / "run=000001").mkdir()
-    (tmp_path / "out" / "run=000001" / "part-00000-x-c000.csv").write_text("id,t\n99,lost\n")
-    again = export_parts(text, out, ["id"], 2, resume=True)
-    rows = again.collect()
-    assert {r["path"]: r["sha256"] for r in rows}.items() >= kept.items() and max(r["end_record"] for r in rows) == 7
-    window, _ = export_window(spark, again, 0, 7)
-    assert [r["t"] for r in window.orderBy("record").collect()] == [f'a "quoted"\nline {k}' for k in range(7)]
+    text = spark.range(7).select("id", F.when(F.col("id") == 3, "").when(F.col("id") != 5, F.concat(F.lit(' a "quoted"\nline '), F.col("id").cast("string"), F.lit(" "))).alias("t"))
+    first = export_parts(text.where("id < 4"), out, ["id"], 2).orderBy("part").collect()
+    assert [(r["part"], r["start_record"], r["end_record"], r["records"]) for r in first] == [(0, 0, 2, 2), (1, 2, 4, 2)]
+    for r in first:
+        whole = (tmp_path / "out" / r["path"].partition("/out/")[2]).read_bytes()
+        assert (len(whole), hashlib.sha256(whole).hexdigest()) == (r["bytes"], r["sha256"])
+    (tmp_path / "out/kind=data/part=2").mkdir()
+    (tmp_path / "out/kind=data/part=2/part-00000-x.txt").write_text("id,t\n99,lost\n")  # without a log
+    cut = tmp_path / "out" / first[1]["path"].partition("/out/")[2]
+    cut.write_bytes(cut.read_bytes()[:-3])  # shorter than its log says
+    again = export_parts(text, out, ["id"], 2, resume=True).orderBy("part").collect()
+    assert [r["records"] for r in again] == [2, 2, 2, 1] and again[0]["path"] == first[0]["path"] and again[1]["sha256"] == first[1]["sha256"]
+    manifest = export_parts(text, out, ["id"], 2, resume=True)
+    assert [r["path"] for r in manifest.orderBy("part").collect()] == [r["path"] for r in again]
+    window, after = export_page(spark, manifest, "r:1", 5)
+    assert [(r["record"], r["t"]) for r in window.orderBy("record").collect()] == [(k, "" if k == 3 else None if k == 5 else f' a "quoted"\nline {k} ') for k in range(1, 6)] and after == "r:6"
+    assert export_page(spark, manifest, after, 9)[1] is None and part_page(manifest, "3")[1:] == (1, None) and part_page(manifest, None)[2] == "1"
+    for bad in ("r:7", "r:-1", "r:x", "6", "r:"):
+        with pytest.raises(InvalidLocator):
+            export_page(spark, manifest, bad, 1)
+    for call in (lambda: export_page(spark, manifest, None, 0), lambda: part_page(manifest, "4"), lambda: part_page(manifest, "x")):
+        with pytest.raises(InvalidLocator):
+            call()
+    assert export_parts(text.limit(0), out, ["id"], 2).count() == 0
+
+
+def test_export_goes_on_after_a_failure(spark, tmp_path):
+    """What tasks had committed when a job failed stays; the next run writes the rest."""
+    out = str(tmp_path / "out")
+    good = spark.range(100).select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("t"))
+    export_parts(good.where("id < 50"), out, ["id"], 10)
+    kept = {p.name for p in (tmp_path / "out").glob("kind=data/part=*/part-*")}
+    broken = good.withColumn("t", F.when(F.col("id") == 77, F.raise_error(F.lit("lost"))).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="lost"):
+        export_parts(broken, out, ["id"], 10, resume=True)
+    manifest = export_parts(good, out, ["id"], 10, resume=True)
+    assert manifest.agg(F.count("*"), F.sum("records"), F.max("records")).first()[:] == (10, 100, 10)
+    assert kept <= {p.name for p in (tmp_path / "out").glob("kind=data/part=*/part-*")}
 
 
 def test_scan_by_name(spark, tmp_path):
