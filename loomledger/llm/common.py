@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Where `cut` wrote a DataFrame.
 _written: WeakKeyDictionary = WeakKeyDictionary()
+#: The tables of each `scratch` that is open.
+_scratch: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +43,31 @@ def cut(df: DataFrame) -> DataFrame:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     _written[out] = where
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are cut inside go at the end, but for those that the function it gives is called with. Those of an inner scratch that stay are the outer one's."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _scratch.append(own)
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        free(*(x for x in own if not any(x is k for k in kept)))
+        if _scratch:
+            _scratch[-1].extend(kept)
+
+
 def free(*dfs: DataFrame) -> None:
     """Delete tables of `cut` that nothing reads any more: what was made of them must have been written, too."""
     for df in dfs:
@@ -81,13 +107,14 @@ def semi(df: DataFrame, ids: DataFrame, key: str, most: int = 500_000, how: str
     return df.join(right, df[key].eqNullSafe(F.col(other)), how)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, per_salt: int = 2000) -> DataFrame:
-    """Inner join on `key`, unique in `right`, when one key may have a large part of the rows of `left`.
+def join_hot(left: DataFrame, right: DataFrame, key: str, per_salt: int = 2000, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join on `key` when one key may have a large part of the rows of `left` and few in `right`.
 
-    A key with n rows in `left` is dealt over n / `per_salt` + 1 tasks: its row of `right` is repeated as often. The salt is a hash of the row, so a task run again deals every row alike. Only hot keys are listed, and broadcast if there are few.
+    A key with n rows in `left` is dealt over n / `per_salt` + 1 tasks: its rows of `right` are repeated as often. The salt is a hash of the row, so a task run again deals every row alike. Only hot keys are listed, and broadcast if there are few. counts: (key, number of rows of `left`), where they are known or cheaper to get.
     """
     deals, salt = fresh(left, "deals", "salt")
-    hot = cut(left.groupBy(key).agg((F.count("*") / per_salt).cast("int").alias(deals)).where(F.col(deals) > 0))
+    counts = left.groupBy(key).agg(F.count("*")) if counts is None else counts
+    hot = cut(counts.toDF(key, deals).select(key, (F.col(deals) / per_salt).cast("int").alias(deals)).where(F.col(deals) > 0))
     few = rows_fit(hot, 50_000)  # keys are ids and hashes: a few MB
     if few and hot.isEmpty():
         free(hot)

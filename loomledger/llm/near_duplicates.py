@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free, join_hot, rows_fit, semi
-from .components import connected
+from .common import cut, free, join_hot, rows_fit, scratch, semi
+from .components import connected, named
 from .words import U, Words, chunks, mix, shingle_sets
 
 RATIO = 4 / 3
@@ -236,7 +236,7 @@ def _shingles(docs: DataFrame, text: str) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) whose sets are as similar as asked, in hundredths."""
     left = join_hot(pairs, sets.toDF("a", "left_tokens"), "a")
-    both = left.join(sets.toDF("b", "right_tokens"), "b")
+    both = join_hot(left, sets.toDF("b", "right_tokens"), "b", counts=pairs.groupBy("b").agg(F.count("*")))
     common = F.size(F.array_intersect("left_tokens", "right_tokens"))
     return both.where(100 * common >= similarity * (F.size("left_tokens") + F.size("right_tokens") - common)).select("a", "b")
 
@@ -282,7 +282,7 @@ def _finest(label: DataFrame, bound: DataFrame, sets: DataFrame, similarity: int
     tokens = semi(sets, bound, "class").select("class", F.size("tokens").cast("long").alias("size"), F.explode("tokens").alias("token"))
     n = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     own = Window.partitionBy("class")
-    ranked = tokens.join(n, "token").withColumn("at", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token")) - 1)
+    ranked = join_hot(tokens, n, "token", counts=n).withColumn("at", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token")) - 1)
     # rest: tokens from this one on, itself included
     groups = cut(ranked.where(F.col("at") <= F.floor(F.col("size") * (100 - similarity) / 100)).select("token", "n", F.col("class").alias("a"), "size", (F.col("size") - F.col("at")).alias("rest")))
     other = lambda df: df.select("token", *(F.col(c).alias(f"{c}_b" if c != "a" else "b") for c in ("a", "size", "rest", "root")))
@@ -290,7 +290,7 @@ def _finest(label: DataFrame, bound: DataFrame, sets: DataFrame, similarity: int
     pairs = cut(some.join(other(some), "token").where("a < b").where(_enough(similarity)).select("a", "b").distinct())
     if not pairs.isEmpty():
         label = _grown(label, pairs, sets, similarity)
-    rows, leads = groups.where(F.col("n") > HOT).drop("n"), 1
+    rows, leads, done = groups.where(F.col("n") > HOT).drop("n"), 1, []
     # the smallest partner that a set may have, and what they must share
     partner = F.greatest("least", F.ceil(F.col("size") * similarity / 100))
     able = (F.col("lo") < F.col("hi")) & ((100 + similarity) * F.least("rest", "most") >= similarity * (F.col("size") + partner))
@@ -298,32 +298,34 @@ def _finest(label: DataFrame, bound: DataFrame, sets: DataFrame, similarity: int
         now = _roots(rows, label)
         # groups that are one component by now need no more comparisons, nor do sets that no other can be like
         whole = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rest").alias("most"), F.min("size").alias("least")).where("lo < hi")
-        now = cut(now.join(whole, "token").where(able).select(*now.columns))
+        now = cut(join_hot(now, whole, "token").where(able).select(*now.columns))
+        free(*done)  # the rows of the round before
         if now.isEmpty():
             return label
         best = F.max(F.struct("rest", -F.col("size"), "a", "root", "size"))
         lead = now.groupBy("token", F.pmod(F.xxhash64("a"), F.lit(leads)).alias("deal")).agg(best.alias("x")).select("token", "x.a", "x.size", "x.rest", "x.root")
         lead = cut(lead)
-        new = now.join(F.broadcast(other(lead)) if rows_fit(lead, 50_000) else other(lead), "token").where(_enough(similarity))
+        met = now.join(F.broadcast(other(lead)), "token") if rows_fit(lead, 50_000) else join_hot(now, other(lead), "token")
+        new = met.where(_enough(similarity))
         new = cut(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not new.isEmpty():
             label = _grown(label, new, sets, similarity)
         # a lead has been compared with all others
         rows, leads = now.drop("root").join(lead.select("token", "a"), ["token", "a"], "left_anti"), leads * WIDER
+        done = [now, lead, new]
 
 
 def links(docs: DataFrame, info: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = 75) -> DataFrame:
     """(node, root) of classes that are linked with others: two have one root if and only if a chain of linked texts connects them. info: `classes(docs)`."""
-    one = cut(info.where("class != 0").groupBy("class").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n")))
-    whole = one.agg(F.sum("n").alias("n"), F.count("*").alias("sets")).first()
-    pairs, bound = _candidates(semi(docs, one.select("id"), doc_id), text, int(whole["n"] or 0), whole["sets"])
-    some = cut(pairs.select("a").union(pairs.select("b")).union(bound).distinct().toDF("class"))
-    reps = one.join(some, "class", "left_semi")
-    sets = cut(semi(_shingles(semi(docs, reps.select("id"), doc_id), text), some, "class").dropDuplicates(["class"]))
-    label = _grown(None, pairs, sets, similarity)
-    label = _finest(label, bound, sets, similarity)
-    free(one, some, sets)
-    return label
+    with scratch() as keep:
+        one = cut(info.where("class != 0").groupBy("class").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n")))
+        whole = one.agg(F.sum("n").alias("n"), F.count("*").alias("sets")).first()
+        pairs, bound = _candidates(semi(docs, one.select("id"), doc_id), text, int(whole["n"] or 0), whole["sets"])
+        some = cut(pairs.select("a").union(pairs.select("b")).union(bound).distinct().toDF("class"))
+        reps = one.join(some, "class", "left_semi")
+        sets = cut(semi(_shingles(semi(docs, reps.select("id"), doc_id), text), some, "class").dropDuplicates(["class"]))
+        label = _grown(None, pairs, sets, similarity)
+        return keep(_finest(label, bound, sets, similarity))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = 75) -> DataFrame:
@@ -335,10 +337,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("the size bands hold for similarities of 75 hundredths or more")
     info = cut(classes(docs, doc_id, text))
     root = links(docs, info, doc_id, text, similarity)
-    known = info.join(root, info["class"] == root["node"], "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "class")).alias("root"))
-    least = known.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    out = known.join(least, "root", "left").select(F.col("id").alias(doc_id), "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
-    return out
+    some = info.where("n_shingles > 0")
+    ids = cut(named(some.groupBy(F.col("class").alias("node")).agg(F.min("id").alias("id")), root))
+    free(root)
+    linked = join_hot(some, ids.withColumnRenamed("node", "class"), "class").select("id", "n_shingles", "component_id")
+    out = linked.union(info.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
+    return out.withColumnRenamed("id", doc_id)
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = 75) -> DataFrame:
