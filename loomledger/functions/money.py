@@ -12,14 +12,25 @@ def round_minor_unit(amount: Column, currency: Column) -> Column:
 
 
 def fx_daily(rates: DataFrame, first: str, last: str) -> DataFrame:
-    """(currency, rate_date, rate) for every day: carried forward; before the first rate the first; USD is 1."""
-    spark = rates.sparkSession
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("rate_date"))
-    grid = days.crossJoin(F.broadcast(rates.select("currency").distinct())).join(rates, ["currency", "rate_date"], "left")
+    """(currency, rate_date, rate) for every day: carried forward; before the first rate the first; USD is 1.
+
+    A rate stands for the days up to the next one, so each row is laid out over its own days: the work is that of the result, and no list of currencies is held.
+    """
     by = Window.partitionBy("currency").orderBy("rate_date")
-    carried = F.coalesce(F.last("rate", True).over(by), F.first("rate", True).over(by.rowsBetween(0, Window.unboundedFollowing)))
-    usd = days.select(F.lit("USD").alias("currency"), "rate_date", F.lit(1).cast("decimal(18,8)").alias("rate"))
-    return grid.select("currency", "rate_date", carried.alias("rate")).unionByName(usd)
+    begin, end = F.lit(first).cast("date"), F.lit(last).cast("date")
+    ends = rates.select("currency", "rate_date", "rate", (F.row_number().over(by) == 1).alias("is_first"), F.lead("rate_date").over(by).alias("next"))
+    since = F.when(F.col("is_first"), begin).otherwise(F.greatest("rate_date", begin))
+    until = F.least(F.coalesce(F.date_sub("next", 1), end), end)
+    days = ends.where(since <= until).select("currency", F.explode(F.sequence(since, until)).alias("rate_date"), "rate")
+    usd = rates.sparkSession.range(1).select(F.lit("USD").alias("currency"), F.explode(F.sequence(begin, end)).alias("rate_date"), F.lit(1).cast("decimal(18,8)").alias("rate"))
+    return days.where("currency != 'USD'").unionByName(usd)
+
+
+def converted(amount: Column, rate_from: Column, rate_to: Column, to: Column) -> Column:
+    """amount * rate_from / rate_to in decimals, rounded half up to the minor unit of `to`: the exact product is divided to twelve places and more, so that only a quotient within 1e-12 of half a unit could round otherwise than the exact one."""
+    product = amount.cast("decimal(18,2)") * rate_from.cast("decimal(18,8)")
+    quotient = product.cast("decimal(26,10)") / rate_to.cast("decimal(11,8)")
+    return round_minor_unit(quotient, to)
 
 
 def convert_currency(df: DataFrame, daily: DataFrame, amount: str, source: str, target: str, date: str, out: str) -> DataFrame:
@@ -30,5 +41,5 @@ def convert_currency(df: DataFrame, daily: DataFrame, amount: str, source: str,
     s = daily.select(F.col("currency").alias(source), F.col("rate_date").alias(date), F.col("rate").alias("rate_from"))
     t = daily.select(F.col("currency").alias(target), F.col("rate_date").alias(date), F.col("rate").alias("rate_to"))
     wide = df.join(s, [source, date], "left").join(t, [target, date], "left")
-    value = (F.col(amount).cast("double") * F.col("rate_from").cast("double") / F.col("rate_to").cast("double")).cast("decimal(20,4)")
-    return wide.withColumn(out, F.when(F.col(source) == F.col(target), F.col(amount)).otherwise(round_minor_unit(value, F.col(target)))).drop("rate_from", "rate_to")
+    value = converted(F.col(amount), F.col("rate_from"), F.col("rate_to"), F.col(target))
+    return wide.withColumn(out, F.when(F.col(source) == F.col(target), F.col(amount)).otherwise(value)).drop("rate_from", "rate_to")

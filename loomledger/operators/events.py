@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import valid_range_join
+
 # Days allowed between an upstream event and the next one.
 HANDOFF_DAYS = {"won_order": (1, 3), "order_shipment": (1, 5), "shipment_delivery": (1, 5), "shipment_invoice": (0, 3), "invoice_posting": (1, 2)}
 PRIORITY = ("order", "shipment", "delivery", "invoice", "case_open", "case_resolve", "case_close")
@@ -62,19 +64,6 @@ def collision_check(df: DataFrame, id: str, key: str) -> DataFrame:
     return df.groupBy(id).agg(F.count_distinct(key).alias("keys")).where("keys > 1")
 
 
-def valid_range_join(facts: DataFrame, ranges: DataFrame, on: str, at: str, code: str) -> DataFrame:
-    """The lowest code valid at a fact's date (valid_from <= date < valid_to, open if NULL); NULL if none. Every fact stays one row.
-
-    The ranges of a key are cut where any of them begins or ends; each piece has its lowest code, so a fact meets one piece at most.
-    """
-    r = ranges.select(F.col(on).alias("_on"), "valid_from", "valid_to", F.col(code).alias(code))
-    cuts = r.select("_on", F.col("valid_from").alias("_from")).union(r.where("valid_to is not null").select("_on", "valid_to")).distinct()
-    pieces = cuts.withColumn("_to", F.lead("_from").over(Window.partitionBy("_on").orderBy("_from")))
-    own = r.withColumnRenamed("_on", "_key")
-    valid = pieces.join(own, (F.col("_on") == F.col("_key")) & (F.col("_from") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_from") < F.col("valid_to")))).groupBy("_on", "_from", "_to").agg(F.min(code).alias(code))
-    return facts.join(valid, (facts[on] == F.col("_on")) & (facts[at] >= F.col("_from")) & (F.col("_to").isNull() | (facts[at] < F.col("_to"))), "left").select(*(facts[c] for c in facts.columns), code)
-
-
 def post_revenue(invoices: DataFrame, daily: DataFrame, centers: DataFrame) -> DataFrame:
     """INV postings of invoices (order_id, invoice_date, company_code, currency_code, company_currency, amount): both currencies, period, the lowest valid cost centre that is active."""
     from ..functions.money import convert_currency

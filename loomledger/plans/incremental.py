@@ -29,18 +29,25 @@ def stream_deltas(spark, d):
     return _appended(spark, _stream(spark, d).select("event_id", "user_id", "event_type", "ts"))
 
 
+def _twice(spark: SparkSession, d: str, n: int = 1) -> DataFrame:
+    """The events as a stream of several files, one in each batch: all but the last `n` tenths, all, and all again."""
+    at, events = staging.folder(spark), b.table(spark, d, "events")
+    for k, rows in enumerate((events.where(F.col("event_id") % 10 >= n), events, events)):
+        rows.coalesce(1).write.parquet(f"{at}/part={k}")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/part=*").select(*events.columns)
+
+
 @query("SELECT event_id, count(*) AS n FROM events GROUP BY event_id", views=False)
 def stream_dedup(spark, d):
-    # every event comes twice, under one id
-    once = _stream(spark, d)
-    twice = once.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    return _appended(spark, streams.stream_dedup(twice, "ts", "1 day", "event_id").select("event_id")).groupBy("event_id").agg(F.count("*").alias("n"))
+    """Every event comes in several batches; the watermark reaches back further than the events do, so none is late."""
+    return _appended(spark, streams.stream_dedup(_twice(spark, d), "ts", "3650 days", "event_id").select("event_id")).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1", views=False)
 def stream_current(spark, d):
+    """In batches, of which later ones bring events again; folded after every second."""
     at = staging.folder(spark)
-    streams.run_out(streams.stream_current(_stream(spark, d), f"{at}/state", f"{at}/checkpoint", "user_id", "ts", "event_id"))
+    streams.run_out(streams.stream_current(_twice(spark, d, 3), f"{at}/state", f"{at}/checkpoint", "user_id", "ts", "event_id", keep=2))
     return streams.read_current(spark, f"{at}/state", "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value")
 
 
@@ -51,6 +58,12 @@ def stream_usage(spark, d):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start_at"), F.col("end").cast("timestamp_ntz").alias("end_at"), "n")
 
 
+@query("WITH c AS (SELECT time_bucket(INTERVAL 60 SECOND, ts) AS start_at, count(*) AS n FROM events GROUP BY 1) SELECT start_at, start_at + INTERVAL 60 SECOND AS end_at, n FROM c WHERE start_at + INTERVAL 60 SECOND <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)", views=False)
+def stream_usage_minutes(spark, d):
+    out = _appended(spark, streams.stream_usage(_stream(spark, d), "ts", "1 hour", "60 seconds"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start_at"), F.col("end").cast("timestamp_ntz").alias("end_at"), "n")
+
+
 # Purchases within two days of a click, and clicks without one, as far back as the watermark of both sides tells.
 @query("""WITH c AS (SELECT DISTINCT user_id, ts AS up_at FROM events WHERE event_type = 'click'), p AS (SELECT user_id, ts AS down_at FROM events WHERE event_type = 'purchase')
 SELECT c.user_id, up_at, count(down_at) AS purchases, count(down_at) = 0 AS breached FROM c LEFT JOIN p ON p.user_id = c.user_id AND down_at BETWEEN up_at AND up_at + INTERVAL 2 DAY
@@ -86,7 +99,7 @@ def _ordered(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Parts have 4000 records each, and what is left.
-@query(f"SELECT part, part * 4000 AS start_record, part * 4000 + count(*) AS end_record, count(*) AS records, sum(strlen(line) + 1) + 8 AS bytes FROM (SELECT CAST((row_number() OVER (ORDER BY id) - 1) // 4000 AS BIGINT) AS part, CAST(id AS VARCHAR) || ',' || CASE WHEN note IS NULL THEN '' WHEN note = '' THEN '\"\"' WHEN note LIKE '%quoted%' THEN '\"' || replace(note, '\"', '\"\"') || '\"' ELSE note END AS line FROM ({_EXPORT} FROM orders)) GROUP BY part", views=False)
+@query(f"SELECT part, part * 4000 AS start_record, part * 4000 + count(*) AS end_record, count(*) AS records, sum(strlen(line) + 1) + 8 AS bytes FROM (SELECT CAST((row_number() OVER (ORDER BY id) - 1) // 4000 AS BIGINT) AS part, CAST(id AS VARCHAR) || ',' || CASE WHEN note IS NULL THEN '' WHEN note = '' THEN '\"\"' WHEN regexp_matches(note, '[,\"\\n]') THEN '\"' || replace(note, '\"', '\"\"') || '\"' ELSE note END AS line FROM ({_EXPORT} FROM orders)) GROUP BY part", views=False)
 def export_parts(spark, d):
     m = x.export_parts(_ordered(spark, d), staging.folder(spark), ["id"], 4000)
     return m.select("part", "start_record", "end_record", "records", "bytes")

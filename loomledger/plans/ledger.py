@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import money
+from ..operators import asof
 from ..operators import events as ev
 from ..operators import lifecycle as lc
 from ..operators import quality as q
@@ -56,10 +57,33 @@ def fx_daily(spark, d):
     return daily(spark).join(days, "rate_date", "left_semi").select("currency", "rate_date", "rate")
 
 
-@query(f"{_DAILY} SELECT order_id, currency_code, CASE WHEN currency_code = 'USD' THEN 1 ELSE rate END AS rate FROM ord LEFT JOIN daily ON currency = currency_code AND rate_date = order_date")
+# Spot rates as the given tables have them: of the days on which a region sold something to a customer whose number 7 divides, told by the day's orders; none before the first.
+_SPOT = "spot AS (SELECT company_currency AS currency, order_date AS rate_date, CAST(1 + (max(order_id) % 9973) / CAST(10000 AS DECIMAL(18,8)) AS DECIMAL(18,8)) AS rate FROM ord WHERE customer_id % 7 = 0 AND order_id % 5 > 0 AND order_date >= DATE '1992-02-01' GROUP BY ALL)"
+_SPOTTED = f"{_SPOT}, told AS (SELECT o.order_id, currency_code, order_date, CASE WHEN currency_code = 'USD' THEN 1 ELSE r.rate END AS rate FROM ord o ASOF LEFT JOIN spot r ON r.currency = o.currency_code AND o.order_date >= r.rate_date)"
+
+
+def spot(spark, d):
+    o = b.orders(spark, d).where("customer_id % 7 = 0 and order_id % 5 > 0 and order_date >= date '1992-02-01'")
+    rate = (F.lit(1) + (F.max("order_id") % 9973) / F.lit(10000).cast("decimal(18,8)")).cast("decimal(18,8)")
+    return o.groupBy(F.col("company_currency").alias("currency_code"), F.col("order_date").alias("rate_date")).agg(rate.alias("rate"))
+
+
+def spotted(spark, d):
+    o = b.orders(spark, d).select("order_id", "currency_code", "order_date")
+    one = F.col("currency_code") == "USD"
+    told = asof.asof_join(o, spot(spark, d), "currency_code", "order_date", "rate_date", "rate")
+    return told.withColumns({"rate": F.when(one, F.lit(1).cast("decimal(18,8)")).otherwise(F.col("rate")), "found": one | F.col("found")})
+
+
+@query(f"WITH {_SPOTTED} SELECT order_id, currency_code, CAST(rate AS DECIMAL(18,8)) AS rate FROM told")
 def asof_fx(spark, d):
-    r = daily(spark).select(F.col("currency").alias("currency_code"), F.col("rate_date").alias("order_date"), "rate")
-    return b.orders(spark, d).join(r, ["currency_code", "order_date"], "left").select("order_id", "currency_code", "rate")
+    return spotted(spark, d).select("order_id", "currency_code", "rate")
+
+
+@query(f"WITH {_SPOTTED} SELECT order_id, currency_code, order_date FROM told WHERE rate IS NULL")
+def asof_fx_missing(spark, d):
+    """Orders without a rate on or before their day."""
+    return asof.missing(spotted(spark, d), "order_id", "currency_code", "order_date")
 
 
 @query("SELECT order_id, product_id, line_number, CAST(CASE WHEN currency_code = 'JPY' THEN round(line_amount, 0) ELSE round(line_amount, 2) END AS DECIMAL(18,2)) AS amount FROM ord JOIN line USING (order_id)")
@@ -68,8 +92,11 @@ def round_minor_unit(spark, d):
     return both.select("order_id", "product_id", "line_number", money.round_minor_unit(F.col("line_amount"), F.col("currency_code")).alias("amount"))
 
 
-_CONVERTED = f"""{_DAILY}, {_TOTALS}, conv AS (SELECT tot.*, CASE WHEN currency_code = company_currency THEN amount ELSE
-CASE WHEN company_currency = 'JPY' THEN CAST(round(CAST(CAST(amount AS DOUBLE) * CAST(f.rate AS DOUBLE) / CAST(t.rate AS DOUBLE) AS DECIMAL(20,4)), 0) AS DECIMAL(18,2)) ELSE CAST(round(CAST(CAST(amount AS DOUBLE) * CAST(f.rate AS DOUBLE) / CAST(t.rate AS DOUBLE) AS DECIMAL(20,4)), 2) AS DECIMAL(18,2)) END END AS amount_company
+# In whole numbers: cents times 1e8, divided by a rate times 1e8, half up to the minor unit.
+_UNITS = "CAST(amount * 100 AS HUGEINT) * CAST(f.rate * 100000000 AS HUGEINT)"
+_CONVERTED = f"""{_DAILY}, {_TOTALS}, conv AS (SELECT tot.*, CASE WHEN currency_code = company_currency THEN amount
+WHEN company_currency = 'JPY' THEN CAST((2 * {_UNITS} + 100 * CAST(t.rate * 100000000 AS HUGEINT)) // (200 * CAST(t.rate * 100000000 AS HUGEINT)) AS DECIMAL(18,2))
+ELSE CAST(CAST((2 * {_UNITS} + CAST(t.rate * 100000000 AS HUGEINT)) // (2 * CAST(t.rate * 100000000 AS HUGEINT)) AS DECIMAL(20,2)) / 100 AS DECIMAL(18,2)) END AS amount_company
 FROM tot LEFT JOIN daily f ON f.currency = currency_code AND f.rate_date = order_date LEFT JOIN daily t ON t.currency = company_currency AND t.rate_date = order_date)"""
 
 
@@ -136,11 +163,13 @@ def m_billed_revenue(spark, d):
     return ledger(spark, d).groupBy("posting_date", "currency_code").agg(money_sum("amount_doc", "billed"))
 
 
-@query(f"""{_POSTED}, bk AS (SELECT strftime(order_date, '%Y-%m') AS period, currency_code, sum(amount) AS bookings FROM tot WHERE status <> 'CANCELLED' GROUP BY ALL), bl AS (SELECT fiscal_period AS period, currency_code, sum(amount_doc) AS billed FROM posted GROUP BY ALL)
+@query(f"""{_REVERSED}, bk AS (SELECT strftime(order_date, '%Y-%m') AS period, currency_code, sum(amount) AS bookings FROM tot WHERE status <> 'CANCELLED' GROUP BY ALL),
+bl AS (SELECT fiscal_period AS period, currency_code, sum(amount_doc) AS billed FROM (SELECT fiscal_period, currency_code, amount_doc FROM posted UNION ALL SELECT fiscal_period, currency_code, amount_doc FROM crn) GROUP BY ALL)
 SELECT period, currency_code, CAST(coalesce(bookings, 0) - coalesce(billed, 0) AS DECIMAL(18,2)) AS gap FROM bk FULL JOIN bl USING (period, currency_code)""")
 def m_bookings_vs_billed(spark, d):
+    """Billed is net: credit notes count in the period that they are posted in."""
     bk = totals(spark, d).where("status <> 'CANCELLED'").groupBy(F.date_format("order_date", "yyyy-MM").alias("period"), "currency_code").agg(F.sum("amount").alias("bookings"))
-    bl = postings(spark, d).groupBy(F.col("fiscal_period").alias("period"), "currency_code").agg(F.sum("amount_doc").alias("billed"))
+    bl = ledger(spark, d).groupBy(F.col("fiscal_period").alias("period"), "currency_code").agg(F.sum("amount_doc").alias("billed"))
     gap = F.coalesce("bookings", F.lit(0)) - F.coalesce("billed", F.lit(0))
     return bk.join(bl, ["period", "currency_code"], "full").select("period", "currency_code", gap.cast("decimal(18,2)").alias("gap"))
 

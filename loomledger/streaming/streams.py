@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.exports import matched
+from ..sources.staging import remove
+
 
 def run_out(query) -> None:
     """Waits until a query over what is there now ends; its failure is raised."""
@@ -23,10 +26,15 @@ def stream_dedup(events: DataFrame, ts: str, delay: str, *keys: str) -> DataFram
 
 
 def stream_usage(events: DataFrame, ts: str, delay: str, width: str, slide: str | None = None) -> DataFrame:
-    """Events per window of time."""
+    """Events per window of time.
+
+    Sliding windows (whose width is a multiple of the slide) are sums of panes as long as the slide: an event is counted once, in its pane, and only counts of panes go to the windows that they lie in.
+    """
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    window = F.window(ts, width, slide) if slide else F.window(ts, width)
-    return timed.groupBy(window.alias("w")).agg(F.count("*").alias("n")).select("w.start", "w.end", "n")
+    pane = timed.groupBy(F.window(ts, slide or width).alias("w")).agg(F.count("*").alias("n"))
+    if slide:
+        pane = pane.groupBy(F.window(F.window_time("w"), width, slide).alias("w")).agg(F.sum("n").alias("n"))
+    return pane.select("w.start", "w.end", "n")
 
 
 def stream_sla(up: DataFrame, down: DataFrame, key: str, up_ts: str, down_ts: str, days: int, delay: str = "1 day") -> DataFrame:
@@ -40,18 +48,38 @@ def _latest(df: DataFrame, id: str, *order: str) -> DataFrame:
     return df.groupBy(id).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("row")).select("row.*")
 
 
-def stream_current(events: DataFrame, root: str, checkpoint: str, id: str, *order: str):
-    """Keeps the latest row of each id: a batch writes its own latest rows under its number, no more, so a replayed batch writes the same again. `read_current` has the state."""
+def stream_current(events: DataFrame, root: str, checkpoint: str, id: str, *order: str, keep: int = 16):
+    """Keeps the latest row of each id, in Spark's state store: one row an id, whose clock is `order`, so late and replayed events change nothing.
+
+    A batch writes the rows of the ids that it met, under its number; a batch that runs again writes the same again. Every `keep` batches they are folded into one base and removed: what lies below `root` grows with the ids and `keep`, not with the batches. `read_current` has the state.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        _latest(batch, id, *order).write.mode("overwrite").parquet(f"{root}/batch={number}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{root}/changes={number}")
+        if (number + 1) % keep == 0:
+            base, paths, old = _written(spark, root, number)
+            if base < number:
+                _latest(spark.read.parquet(*paths), id, *order).write.mode("overwrite").parquet(f"{root}/base={number}")
+            for path in (*old, *(p for p in paths if not p.endswith(f"/base={number}"))):
+                remove(spark, path)
+
+    return _latest(events, id, *order).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _written(spark: SparkSession, root: str, last: int | None = None) -> tuple[int, list[str], list[str]]:
+    """The number of the newest base (-1: none), it and what changed since, and what a base has taken in."""
+    number = lambda p: int(p.rpartition("=")[2])
+    bases = {number(p.rpartition("/")[0]): p.rpartition("/")[0] for p in matched(spark, f"{root}/base=*/_SUCCESS")}
+    base = max(bases, default=-1)
+    changes = {number(p): p for p in matched(spark, f"{root}/changes=*") if last is None or number(p) <= last}
+    old = [p for n, p in bases.items() if n < base] + [p for n, p in changes.items() if n <= base]
+    return base, [*([bases[base]] if bases else []), *(p for n, p in changes.items() if n > base)], old
 
 
 def read_current(spark: SparkSession, root: str, id: str, *order: str) -> DataFrame:
-    """The state that `stream_current` keeps."""
-    return _latest(spark.read.parquet(root).drop("batch"), id, *order)
+    """The state that `stream_current` keeps: its base and at most as many batches as it keeps."""
+    return _latest(spark.read.parquet(*_written(spark, root)[1]), id, *order)
 
 
 def stream_late(events: DataFrame, checkpoint: str, sink: str):

@@ -7,8 +7,9 @@ import pytest
 
 from loomledger.plans import incremental  # noqa: F401
 from loomledger.plans.registry import ORACLE, QUERIES
+from loomledger.streaming import streams
 
-NAMES = ("stream_deltas", "stream_dedup", "stream_current", "stream_usage", "stream_sla", "stream_late", "export_parts", "export_window", "export_resume", "publish_delta", "partition_column_hidden", "deferred_full_copy")
+NAMES = ("stream_deltas", "stream_dedup", "stream_current", "stream_usage", "stream_usage_minutes", "stream_sla", "stream_late", "export_parts", "export_window", "export_resume", "publish_delta", "partition_column_hidden", "deferred_full_copy")
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +50,26 @@ def test_twins(spark, tables, name):
 def test_without_rows(spark, tables, name):
     got, want = compared(spark, tables["empty"], name)
     assert got == want == []
+
+
+def test_current_state_of_many_batches(spark, tmp_path):
+    """Late, repeated and replayed events change nothing; what is kept grows with ids, not with batches."""
+    t = dt.datetime(2024, 1, 1)
+    schema = "id long, at timestamp_ntz, n long, note string"
+    rows = [(i % 5 if i % 11 else None, t + dt.timedelta(hours=(7 * i) % 50), i, None if i % 3 else f"x{i}") for i in range(70)]
+    root, check = f"{tmp_path}/state", f"{tmp_path}/check"
+    for k in range(7):
+        own = rows[10 * k : 10 * k + 10] + rows[:5]  # the first ones come again
+        spark.createDataFrame(own, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/part=*").select("id", "at", "n", "note")
+        streams.run_out(streams.stream_current(stream, root, check, "id", "at", "n", keep=3))
+        want = {}
+        for r in rows[: 10 * k + 10]:
+            want[r[0]] = max(want.get(r[0], r), r, key=lambda x: (x[1], x[2]))
+        assert {r["id"]: tuple(r) for r in streams.read_current(spark, root, "id", "at", "n").collect()} == want
+        assert len(list((tmp_path / "state").glob("*=*"))) <= 1 + 3
+    # a batch that ran but wasn't noted runs again
+    for name in ("6", ".6.crc"):
+        (tmp_path / "check/commits" / name).unlink()
+    streams.run_out(streams.stream_current(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/part=*").select("id", "at", "n", "note"), root, check, "id", "at", "n", keep=3))
+    assert {r["id"]: tuple(r) for r in streams.read_current(spark, root, "id", "at", "n").collect()} == want
