@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def check_constraints(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
@@ -43,13 +45,25 @@ def partition_advice(profile: DataFrame, target: int) -> tuple[str | None, int]:
 
 
 def contract_columns(df: DataFrame, table: str) -> DataFrame:
-    rows = [(table, i + 1, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "table_name string, ordinal_position int, column_name string, data_type string, is_nullable boolean")
+    """(table_name, ordinal_position, column_name, data_type, is_nullable, length, precision, scale) of a table's columns: the length of char and varchar; the digits of decimals (scale: behind the point) and whole numbers (scale 0); NULL for all else."""
+    whole = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+
+    def one(k: int, f: T.StructField) -> tuple:
+        kind = f.dataType
+        length = kind.length if isinstance(kind, (T.CharType, T.VarcharType)) else None
+        if stated := re.fullmatch(r"(?:var)?char\(([0-9]+)\)", f.metadata.get("__CHAR_VARCHAR_TYPE_STRING", "")):
+            length = int(stated[1])  # tables have them as text with a note
+        digits = (kind.precision, kind.scale) if isinstance(kind, T.DecimalType) else (whole.get(kind.simpleString()), 0 if kind.simpleString() in whole else None)
+        return (table, k + 1, f.name, kind.simpleString(), f.nullable, length, *digits)
+
+    rows = [one(k, f) for k, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "table_name string, ordinal_position int, column_name string, data_type string, is_nullable boolean, length int, precision int, scale int")
 
 
 def schema_fingerprint(contract: DataFrame) -> DataFrame:
     """(table_name, schema_fingerprint): SHA-256 of the columns in order as compact JSON."""
-    one = F.to_json(F.struct("column_name", "data_type", "is_nullable", "ordinal_position"))
+    facets = [c for c in ("length", "precision", "scale") if c in contract.columns]
+    one = F.to_json(F.struct("column_name", "data_type", "is_nullable", "ordinal_position", *facets))
     return contract.groupBy("table_name").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal_position", one.alias("j")))), lambda x: x["j"]), ","), 256).alias("schema_fingerprint"))
 
 

@@ -200,11 +200,16 @@ _DESCRIBED = "SELECT column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' W
 _NULLS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS nulls, count(*) AS n_rows FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
 
 
-@query(f"SELECT 'orders' AS table_name, column_name, data_type, nulls, n_rows FROM ({_DESCRIBED}) JOIN ({_NULLS}) USING (column_name)", views=False)
+_FACETS = "CASE column_name WHEN 'o_orderstatus' THEN 1 WHEN 'o_orderpriority' THEN 15 END AS length, CASE WHEN column_name = 'o_totalprice' THEN 16 WHEN data_type = 'bigint' THEN 19 WHEN data_type = 'int' THEN 10 END AS \"precision\", CASE WHEN column_name = 'o_totalprice' THEN 2 WHEN data_type IN ('bigint', 'int') THEN 0 END AS scale"
+
+
+@query(f"SELECT 'orders' AS table_name, column_name, CASE WHEN column_name = 'o_totalprice' THEN 'decimal(16,2)' ELSE data_type END AS data_type, nulls, n_rows, {_FACETS} FROM ({_DESCRIBED}) JOIN ({_NULLS}) USING (column_name)", views=False)
 def contract_columns(spark, d):
-    """With the NULLs that the table really has."""
-    o = b.table(spark, d, "orders")
-    return q.contract_columns(o, "orders").join(q.profile_columns(o), "column_name").select("table_name", "column_name", "data_type", "nulls", "n_rows")
+    """With the NULLs that the table really has; prices are decimals, two texts have lengths."""
+    o = b.table(spark, d, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(16,2)"))
+    for c, n in (("o_orderstatus", 1), ("o_orderpriority", 15)):
+        o = o.withMetadata(c, {"__CHAR_VARCHAR_TYPE_STRING": f"varchar({n})"})  # as tables note them
+    return q.contract_columns(o, "orders").join(q.profile_columns(o), "column_name").select("table_name", "column_name", "data_type", "nulls", "n_rows", "length", "precision", "scale")
 
 
 @query(f"SELECT column_name AS field, CASE WHEN column_name = 'o_orderkey' THEN 'id' WHEN data_type IN ('bigint', 'int') THEN 'int' WHEN data_type = 'timestamp_ntz' THEN 'datetime' ELSE data_type END AS type, column_name <> 'o_orderkey' AS nillable, false AS custom, n_rows FROM ({_DESCRIBED}) JOIN ({_NULLS}) USING (column_name)", views=False)

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import at_hour
 from ..operators import events as ev
+from ..operators import hashtree
 from ..operators import lifecycle as lc
 from ..operators import metrics as m
 from ..operators import quality as q
+from ..operators.regression import least_squares
 from ..sources import bindings as b
 from ..sources import exchange as x
+from ..sources import staging
 from .ledger import _TOTALS, history_input, money_sum, totals
 from .registry import query
 
@@ -189,9 +192,13 @@ def audit_backfill(spark, d):
 
 @query(f"WITH {_TOTALS} SELECT order_id, CASE WHEN order_id % 101 = 0 THEN 'deleted' ELSE 'changed' END AS change FROM tot WHERE order_id % 101 = 0 OR order_id % 103 = 0")
 def ledger_immutability(spark, d):
+    """Both snapshots are published; rows are read where their hash trees differ."""
     before = totals(spark, d).select("order_id", "order_date", "amount")
     after = before.where("order_id % 101 > 0").withColumn("amount", F.when(F.col("order_id") % 103 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(18,2)"))
-    return q.ledger_changes(before, after, "order_id")
+    paths = [staging.folder(spark) for _ in range(2)]
+    for df, path in zip((before, after), paths, strict=True):
+        hashtree.publish(df, "order_id", path, 4)
+    return hashtree.changes(spark, *paths, "order_id", 4).where("change != 'added'")
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) > 0 AS ready" for t in ("customer", "orders", "lineitem", "events")), views=False)
@@ -199,14 +206,20 @@ def readiness(spark, d):
     return q.readiness({t: b.table(spark, d, t) for t in ("customer", "orders", "lineitem", "events")})
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, true AS has_bytes" for t in ("customer", "orders", "lineitem", "events")), views=False)
 def table_status(spark, d):
-    return q.table_status({t: b.table(spark, d, t) for t in ("customer", "orders", "lineitem", "events")})
+    """The bytes of files aren't told by SQL: only that there are some."""
+    return q.table_status({t: b.table(spark, d, t) for t in ("customer", "orders", "lineitem", "events")}).select("table_name", "n_rows", (F.col("bytes") > 0).alias("has_bytes"))
 
 
-@query()
+@query("SELECT 'orders' AS object, 64 AS digits, true AS again UNION ALL SELECT 'lineitem', 64, true", views=False)
 def snapshot_fingerprint(spark, d):
-    return x.snapshot_fingerprint(b.table(spark, d, "orders"))
+    """Digests of files aren't told by SQL: only that they are whole, and that another scan gives the same."""
+    each = []
+    for t in ("orders", "lineitem"):
+        one, two = (x.snapshot_fingerprint(b.table(spark, d, t)).withColumnRenamed("snapshot", n) for n in ("one", "two"))
+        each.append(one.crossJoin(two).select(F.lit(t).alias("object"), F.length("one").alias("digits"), (F.col("one") == F.col("two")).alias("again")))  # one row each
+    return each[0].union(each[1])
 
 
 _FREIGHT = "fr AS (SELECT l_orderkey AS order_id, l_suppkey AS carrier, CAST(round(CAST(l_extendedprice AS DECIMAL(16,2)) * CAST(l_tax AS DECIMAL(5,2)), 2) AS DECIMAL(18,2)) AS freight, CAST(l_quantity AS INTEGER) * p_size AS kg FROM lineitem JOIN part ON l_partkey = p_partkey)"
@@ -214,7 +227,7 @@ _FREIGHT = "fr AS (SELECT l_orderkey AS order_id, l_suppkey AS carrier, CAST(rou
 
 def freight(spark, d):
     cost = F.round(F.col("l_extendedprice").cast("decimal(16,2)") * F.col("l_tax").cast("decimal(5,2)"), 2).cast("decimal(18,2)")
-    return b.table(spark, d, "lineitem").join(b.table(spark, d, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("carrier"), cost.alias("freight"), (F.col("l_quantity").cast("int") * F.col("p_size")).alias("kg"))
+    return b.table(spark, d, "lineitem").join(b.table(spark, d, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("carrier"), cost.alias("freight"), (F.col("l_quantity").cast("int") * F.col("p_size")).alias("kg"), F.col("l_quantity").cast("int").alias("pieces"))
 
 
 @query(f"WITH {_TOTALS}, {_FREIGHT} SELECT region, CAST(sum(f) AS DECIMAL(18,2)) AS freight, CAST(sum(amount) AS DECIMAL(18,2)) AS revenue, CAST(CAST(sum(f) AS DECIMAL(18,2)) AS DOUBLE) / nullif(CAST(CAST(sum(amount) AS DECIMAL(18,2)) AS DOUBLE), 0) AS ratio FROM tot JOIN (SELECT order_id, sum(freight) AS f FROM fr GROUP BY order_id) USING (order_id) GROUP BY region")
@@ -224,10 +237,34 @@ def m_freight_ratio(spark, d):
     return out.withColumn("ratio", m.ratio("freight", "revenue"))
 
 
-@query(f"WITH {_FREIGHT} SELECT carrier, region, sum(kg) AS kg, CAST(CAST(sum(freight) AS DECIMAL(18,2)) AS DOUBLE) / nullif(CAST(sum(kg) AS DOUBLE), 0) AS cost_per_kg FROM fr JOIN ord USING (order_id) GROUP BY carrier, region")
+# Lanes lead from a supplier's region to a customer's; their nations' numbers tell the distance, the return flag the service.
+_LANES = "ln AS (SELECT l_orderkey AS order_id, l_suppkey AS carrier, sr.r_name || '>' || ord.region AS lane, CASE l_returnflag WHEN 'A' THEN 'GROUND' WHEN 'N' THEN 'EXPRESS' ELSE 'SEA' END AS service, 200 + 317 * abs(s_nationkey - c_nationkey) AS km, CAST(l_quantity AS INTEGER) * p_size AS kg, CAST(round(CAST(l_extendedprice AS DECIMAL(16,2)) * CAST(l_tax AS DECIMAL(5,2)), 2) AS DECIMAL(18,2)) AS freight, CAST(l_shipdate AS DATE) AS arrived, CAST(0.75 + s_suppkey % 20 / 100.0 AS DECIMAL(4,2)) AS published FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN region sr ON sn.n_regionkey = sr.r_regionkey JOIN ord ON l_orderkey = ord.order_id JOIN customer ON ord.customer_id = c_custkey)"
+
+
+def lanes(spark, d):
+    t = lambda n: b.table(spark, d, n)
+    region = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), "r_name")
+    supplier = t("supplier").select(F.col("s_suppkey").alias("carrier"), "s_nationkey", (F.lit("0.75").cast("decimal(4,2)") + (F.col("s_suppkey") % 20 / 100).cast("decimal(4,2)")).cast("decimal(4,2)").alias("published")).join(region, "s_nationkey")
+    o = b.orders(spark, d).select("order_id", "customer_id", "region").join(t("customer").select(F.col("c_custkey").alias("customer_id"), "c_nationkey"), "customer_id")
+    service = F.when(F.col("l_returnflag") == "A", "GROUND").when(F.col("l_returnflag") == "N", "EXPRESS").otherwise("SEA")
+    lines = t("lineitem").select("l_partkey", F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("carrier"), service.alias("service"), F.to_date("l_shipdate").alias("arrived"), F.col("l_quantity").cast("int").alias("pieces"), F.round(F.col("l_extendedprice").cast("decimal(16,2)") * F.col("l_tax").cast("decimal(5,2)"), 2).cast("decimal(18,2)").alias("freight"))
+    both = lines.join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey").join(supplier, "carrier").join(o, "order_id")
+    km = F.lit(200) + F.lit(317) * F.abs(F.col("s_nationkey") - F.col("c_nationkey"))
+    return both.select("order_id", "carrier", F.concat("r_name", F.lit(">"), "region").alias("lane"), "service", km.alias("km"), (F.col("pieces") * F.col("p_size")).alias("kg"), "freight", "arrived", "published")
+
+
+@query(f"WITH {_LANES} SELECT carrier, lane, service, sum(kg) AS kg, sum(km) AS km, CAST(CAST(sum(freight) AS DECIMAL(18,2)) AS DOUBLE) / nullif(CAST(sum(kg) AS DOUBLE), 0) AS cost_per_kg, CAST(CAST(sum(freight) AS DECIMAL(18,2)) AS DOUBLE) / nullif(CAST(sum(km) AS DOUBLE), 0) AS cost_per_km FROM ln GROUP BY carrier, lane, service")
 def m_freight_efficiency(spark, d):
-    f = freight(spark, d).join(b.orders(spark, d).select("order_id", "region"), "order_id").groupBy("carrier", "region").agg(F.sum("kg").alias("kg"), money_sum("freight", "freight"))
-    return f.select("carrier", "region", "kg", m.ratio("freight", "kg").alias("cost_per_kg"))
+    f = lanes(spark, d).groupBy("carrier", "lane", "service").agg(F.sum("kg").alias("kg"), F.sum("km").alias("km"), money_sum("freight", "freight"))
+    return f.select("carrier", "lane", "service", "kg", "km", m.ratio("freight", "kg").alias("cost_per_kg"), m.ratio("freight", "km").alias("cost_per_km"))
+
+
+@query(f"WITH {_LANES} SELECT carrier, lane, count(*) AS deliveries, count(*) FILTER (WHERE arrived <= promised_date) AS on_time, published, round(count(*) FILTER (WHERE arrived <= promised_date) / count(*) - published, 6) AS against_published FROM ln JOIN ship USING (order_id) GROUP BY carrier, lane, published")
+def d_carrier_scorecard(spark, d):
+    """Arrivals by the promised date, against the rate that a carrier publishes."""
+    both = lanes(spark, d).join(b.shipments(spark, d).select("order_id", "promised_date"), "order_id")
+    n = both.groupBy("carrier", "lane", "published").agg(F.count("*").alias("deliveries"), F.count_if(F.col("arrived") <= F.col("promised_date")).alias("on_time"))
+    return n.select("carrier", "lane", "deliveries", "on_time", "published", F.round(m.ratio("on_time", "deliveries") - F.col("published").cast("double"), 6).alias("against_published"))
 
 
 _CAMPAIGNS = "camp AS (SELECT p_brand AS campaign, CAST(sum(CAST(p_retailprice AS DECIMAL(16,2))) AS DECIMAL(18,2)) AS budget FROM part GROUP BY p_brand), opp AS (SELECT DISTINCT brand AS campaign, order_id FROM line)"
@@ -264,8 +301,14 @@ def d_mix_shift(spark, d):
     return m.mix_shift(year(1996), year(1997), "segment", "line_amount", "margin")
 
 
-@query(f"WITH {_FREIGHT} SELECT carrier, count(*) AS n, round(regr_slope(CAST(freight AS DOUBLE), CAST(kg AS DOUBLE)), 6) AS per_kg, round(regr_intercept(CAST(freight AS DOUBLE), CAST(kg AS DOUBLE)), 4) AS base FROM fr GROUP BY carrier")
+# Within carriers: the slopes are those of what differs from a carrier's means, the rest is a carrier's own level.
+@query(f"""WITH {_FREIGHT.replace("p_size AS kg", "p_size AS kg, CAST(l_quantity AS INTEGER) AS pieces")}, v AS (SELECT CAST(carrier AS VARCHAR) AS carrier, CAST(freight AS DOUBLE) AS y, CAST(kg AS DOUBLE) AS a, CAST(pieces AS DOUBLE) AS b FROM fr),
+means AS (SELECT carrier, avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM v GROUP BY carrier), c AS (SELECT y - my AS y, a - ma AS a, b - mb AS b FROM v JOIN means USING (carrier)),
+s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS byy FROM c),
+k AS (SELECT (bb * ay - ab * byy) / (aa * bb - ab * ab) AS ka, (aa * byy - ab * ay) / (aa * bb - ab * ab) AS kb FROM s),
+l AS (SELECT carrier, my - ka * ma - kb * mb AS own, first_value(my - ka * ma - kb * mb) OVER (ORDER BY carrier) AS base, row_number() OVER (ORDER BY carrier) AS place FROM means, k)
+SELECT 'kg' AS term, round(ka, 6) AS coefficient FROM k UNION ALL SELECT 'pieces', round(kb, 6) FROM k UNION ALL SELECT '1', round(base, 4) FROM l WHERE place = 1 UNION ALL SELECT 'carrier=' || carrier, round(own - base, 4) FROM l WHERE place > 1""")
 def f_freight_regression(spark, d):
-    """Freight on weight, by carrier."""
-    y, x = F.col("freight").cast("double"), F.col("kg").cast("double")
-    return freight(spark, d).groupBy("carrier").agg(F.count("*").alias("n"), F.round(F.regr_slope(y, x), 6).alias("per_kg"), F.round(F.regr_intercept(y, x), 4).alias("base"))
+    """Freight on weight, pieces and carrier, at once."""
+    k = F.col("coefficient")
+    return least_squares(freight(spark, d), "freight", ["kg", "pieces"], ["carrier"]).select("term", F.when(F.col("term").isin("kg", "pieces"), F.round(k, 6)).otherwise(F.round(k, 4)).alias("coefficient"))

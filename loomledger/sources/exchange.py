@@ -49,10 +49,11 @@ def scan_object(spark: SparkSession, spec: ObjectSpec) -> DataFrame:
 
 
 def snapshot_fingerprint(df: DataFrame) -> DataFrame:
-    """One hash over the files (path, size, time) that a scan reads, and its schema."""
+    """(snapshot), one row: the root of a hash tree over the files (path, size, time) that a scan reads, with its schema. Reads footers only; no row holds all names."""
+    from ..operators.hashtree import root_digest
+
     files = df.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string").alias("t")).distinct()
-    one = F.concat_ws("|", "file_path", F.col("file_size").cast("string"), "t")
-    return files.agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(one)), F.lit(df.schema.simpleString())), 256).alias("snapshot"))
+    return root_digest(files, "file_path").select(F.sha2(F.concat_ws("\n", "digest", F.lit(df.schema.simpleString())), 256).alias("snapshot"))
 
 
 def csv_lines(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",") -> DataFrame:
