@@ -137,18 +137,46 @@ def record_offsets(parts: DataFrame, order: str, records: str = "records") -> Da
     return parts.withColumn("start_record", end - F.col(records)).withColumn("end_record", end)
 
 
-def publish_delta(df: DataFrame, root: str, business_date: str, event_id: str = "event_id") -> bool:
-    """Writes one business date's partition once. The same events again are a no-op (False); others for a published date are an error."""
+def _claim(spark: SparkSession, path: str, mark: str) -> str:
+    """The mark of who came first to a file: one writer creates it, the others read it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where) or not fs.getFileStatus(where).getLen():
+        try:
+            out = fs.create(where, fs.exists(where))  # an empty one was left by a writer that died
+            out.writeBytes(mark)
+            out.close()
+        except Exception as error:  # another writer was faster
+            if not fs.exists(where):
+                raise error
+    return spark.read.text(path).first()[0]
+
+
+def publish_deltas(df: DataFrame, root: str, date: str = "business_date", event_id: str = "event_id") -> DataFrame:
+    """(date, published): writes the partitions of all dates of `df` in one job, each once. Dates that have the same events already are a no-op (false); others for a published or claimed date are an error, before anything is written.
+
+    A date is claimed by a file with the mark of its events before it is written, so of two writers with different events one fails; a partition appears whole.
+    """
     spark = df.sparkSession
-    path = f"{root}/business_date={business_date}"
     # ids are counted and their hashes added up in parts: no row holds them all
-    mark = lambda d: d.select(F.col(event_id).cast("string").alias("e")).distinct().agg(F.count("*"), F.sum(F.xxhash64("e").cast("decimal(38,0)")), F.sum(F.crc32("e"))).first()
-    if matched(spark, f"{path}/_SUCCESS"):
-        if mark(spark.read.parquet(path)) != mark(df):
-            raise ValueError(f"{business_date} is published with other events")
-        return False
-    df.write.mode("overwrite").parquet(path)
-    return True
+    own = df.select(F.col(date).cast("string").alias("d"), F.col(event_id).cast("string").alias("e")).distinct().groupBy("d")
+    marks = {r["d"]: f"{r['n']}:{r['h']}:{r['c']}" for r in own.agg(F.count("*").alias("n"), F.sum(F.xxhash64("e").cast("decimal(38,0)")).alias("h"), F.sum(F.crc32("e")).alias("c")).collect()}  # a row for each date
+    if None in marks:
+        raise ValueError(f"events without a {date}")
+    there = {d for d in marks if matched(spark, f"{root}/{date}={d}")}
+    if other := sorted(d for d, mark in marks.items() if _claim(spark, f"{root}/_claims/{d}", mark) != mark):
+        raise ValueError(f"published with other events: {', '.join(other)}")
+    new = sorted(set(marks) - there)
+    if new:
+        rows = df.where(F.col(date).cast("string").isin(new)).withColumn(date, F.col(date).cast("string"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(root)
+    return spark.createDataFrame([(d, d in new) for d in sorted(marks)], f"{date} string, published boolean")
+
+
+def publish_delta(df: DataFrame, root: str, business_date: str, event_id: str = "event_id") -> bool:
+    """`publish_deltas` of one date; whether it was new."""
+    told = publish_deltas(df.withColumn("business_date", F.lit(business_date)), root, event_id=event_id).first()
+    return bool(told and told["published"])
 
 
 def deferred_full_copy(spark: SparkSession, spec: ObjectSpec, path: str) -> DataFrame:

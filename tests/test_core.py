@@ -11,7 +11,7 @@ from loomledger.operators import quality as q
 from loomledger.operators import versions as v
 from loomledger.operators.events import apply_patches, hold_and_release, idempotent_apply, valid_range_join
 from loomledger.operators.metrics import mix_shift
-from loomledger.sources.exchange import ObjectSpec, csv_ingest, csv_lines, deferred_full_copy, InvalidLocator, export_page, export_parts, export_window, part_page, publish_delta, scan_object, snapshot_fingerprint
+from loomledger.sources.exchange import ObjectSpec, csv_ingest, csv_lines, deferred_full_copy, InvalidLocator, export_page, export_parts, export_window, part_page, publish_delta, publish_deltas, scan_object, snapshot_fingerprint
 from loomledger.streaming import streams
 
 
@@ -140,6 +140,14 @@ def test_ingest_and_export(spark, tmp_path):
     assert publish_delta(day, str(tmp_path / "d"), "2024-01-01") and not publish_delta(day, str(tmp_path / "d"), "2024-01-01")
     with pytest.raises(ValueError):
         publish_delta(day.limit(1), str(tmp_path / "d"), "2024-01-01")
+    days = spark.createDataFrame([(k, dt.date(2024, 1, 1 + k % 3)) for k in range(1, 10)], "event_id int, business_date date")
+    assert publish_deltas(days, str(tmp_path / "e")).where("published").count() == 3 and publish_deltas(days, str(tmp_path / "e")).where("published").count() == 0
+    with pytest.raises(ValueError, match="2024-01-02"):  # nothing of the other dates is written, either
+        publish_deltas(days.where("event_id != 4").union(spark.createDataFrame([(50, dt.date(2024, 2, 1))], days.schema)), str(tmp_path / "e"))
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 9
+    (tmp_path / "e/_claims/2024-03-01").write_text("1:2:3")  # another writer is at it
+    with pytest.raises(ValueError, match="2024-03-01"):
+        publish_deltas(spark.createDataFrame([(60, dt.date(2024, 3, 1))], days.schema), str(tmp_path / "e"))
 
 
 def test_export_counts_and_resume(spark, tmp_path):
