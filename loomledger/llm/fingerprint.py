@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests (Goodrich and Mitzenmacher, 2011).
 
-A paragraph is a line, or a sentence of it. Each paragraph's 64-bit digest (with the number of its occurrence, so that repeats don't cancel) goes to one cell in each of three tables: a count, the XOR of digests and the XOR of their checks. Two sketches subtract cell by cell; what both texts share vanishes, and peeling cells with one digest left recovers exactly the paragraphs that only one has. If peeling gets stuck the difference is too large for the sketch, and it is done again with four times the cells.
+A paragraph is a line, or a sentence of it. Each paragraph's 64-bit digest (with the number of its occurrence, so that repeats don't cancel) goes to one cell in each of three tables: a count, the XOR of digests and the XOR of their checks. Two sketches subtract cell by cell; what both texts share vanishes, and peeling cells with one digest left recovers exactly the paragraphs that only one has. If peeling gets stuck the difference is too large for the sketch, and it is done again with four times the cells; a sketch with more cells than both texts have digests is stuck only if digests clash, and then the digests themselves are compared.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, share_of
 
 CELLS = 8  # of each of three tables, in a fingerprint
 _MASK = (1 << 64) - 1
@@ -88,13 +89,15 @@ def difference(a: list[int], b: list[int], base: tuple | None = None) -> tuple[l
         found = peel(cells, [x - y for x, y in zip(n, m, strict=True)], [x ^ y for x, y in zip(k, l, strict=True)], [x ^ y for x, y in zip(c, d, strict=True)])
         if found:
             return found
-    while True:
+    while 3 * cells <= len(a) + len(b):
         cells *= 4
         if 3 * cells < abs(len(a) - len(b)):
             continue
         found = peel(cells, *sketch(a, cells, b))
         if found:
             return found
+    x, y = Counter(a), Counter(b)
+    return list((x - y).elements()), list((y - x).elements())
 
 
 def likeness(a: list[int], b: list[int], base: tuple | None = None) -> float:
@@ -125,7 +128,9 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(one, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
 
 
-_OUT = (("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()))
+_OUT = (("n_chars", pa.int64(), "long"), ("edited_sha256", pa.string(), "string"), ("fingerprint", pa.string(), "string"), ("edited_fingerprint", pa.string(), "string"), ("near_edited", pa.float64(), "double"), ("near_next", pa.float64(), "double"))
+#: Bytes of text in a range of the order, about, and most ranges.
+RANGE, RANGES = 32_000_000, 4000
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +145,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append(_row(last, now))
             last = now
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), _OUT, strict=True)], names=[n for n, _ in _OUT])
+            kinds = [batch.schema.field("id").type, *(t for _, t, _ in _OUT)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", *(n for n, _, _ in _OUT)])
             out = []
 
 
@@ -154,25 +160,44 @@ def _row(now: tuple, after: tuple) -> tuple:
 
 
 def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each document its fingerprint, that of its text with the second half taken from the next document (falling doc_id; after the last: the first), and how like they are.
+    """For each document its fingerprint, that of its text with the second half taken from the next document (falling doc_id, rows without an id last; after the last: the first), and how like they are.
 
-    The ids are cut into as many ranges as there are shuffle partitions; each range is one sorted stretch of the order, and the first document of the stretch after it comes along as a guest. So texts are shuffled once and nothing but a few ids (two per partition) reaches the driver. Null texts count as empty. Rows without an id are left out, having no place in the order; of repeated ids each row is one, ordered by text. An empty table gives no rows; a single document is its own next.
+    The order is cut into ranges of about `RANGE` bytes, by the ids and, where there are none, by the texts' hashes; each range is one sorted stretch, and the first document of the stretch after it comes along as a guest. So texts are shuffled once and nothing but ids and hashes (two per range) reaches the driver. Ids may be numbers or texts. Null texts count as empty; of repeated ids, and without ids, each row is one, ordered by falling hash and then by text. An empty table gives no rows; a single document is its own next.
     """
     from pyspark.ml.feature import Bucketizer  # here: Python workers don't need it
+    from pyspark.sql import types as T
 
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [0.5], 10 * parts).alias("x")).first()["x"] or []
-    splits = [-float("inf"), *(sorted({float(c) for c in cuts}) or [0.0]), float("inf")]
-    place = Bucketizer(splits=splits, inputCol="x", outputCol="at")
-    dealt = place.transform(rows.withColumn("x", F.col("id").cast("double"))).withColumn("at", F.col("at").cast("int")).drop("x")
-    ends = sorted((r["at"], r["id"], r["n"]) for r in place.transform(rows.select("id", F.col("id").cast("double").alias("x"))).groupBy(F.col("at").cast("int").alias("at")).agg(F.max("id").alias("id"), F.count("*").alias("n")).collect())
-    if not ends:
-        return dealt.where("false").select("id", "text").mapInArrow(lambda it: iter(()), ", ".join(f"{n} {'long' if t == pa.int64() else 'double' if t == pa.float64() else 'string'}" for n, t in _OUT))
-    # the largest id of a range is the next one after the smallest of the range above; that of the last range comes after the smallest of all
-    guests = [(ends[k - 1][1], ends[k][0]) for k in range(len(ends))]
-    guest = F.broadcast(spark.createDataFrame(guests, "guest_id long, guest_at int"))
-    both = dealt.join(guest, dealt["id"] == guest["guest_id"], "left").withColumn("spot", F.explode(F.when(F.col("guest_at").isNull(), F.array(F.struct("at", F.lit(False).alias("guest")))).otherwise(F.array(F.struct("at", F.lit(False).alias("guest")), F.struct(F.col("guest_at").alias("at"), F.lit(True).alias("guest"))))))
-    order = both.select("spot.at", "spot.guest", "id", "text").repartition(parts, "at").sortWithinPartitions("at", "guest", F.desc("id"), "text")
-    return order.mapInArrow(_compared, ", ".join(f"{n} {'long' if t == pa.int64() else 'double' if t == pa.float64() else 'string'}" for n, t in _OUT))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kind = rows.schema["id"].dataType
+    schema = f"doc_id {kind.simpleString()}, " + ", ".join(f"{n} {t}" for n, _, t in _OUT)
+    number = isinstance(kind, T.NumericType)
+    steps = F.percentile_approx(F.col("id").cast("double"), [k / RANGES for k in range(1, RANGES)], 10 * RANGES) if number else F.lit(None)
+    whole = rows.agg(steps.alias("x"), F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
+    if not whole["n"]:
+        return rows.where("false").select("id", "text").mapInArrow(lambda it: iter(()), schema)
+    parts = min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), (whole["bytes"] or 0) // RANGE + 1))
+    if number:
+        cuts = (whole["x"] or [])[:: max(1, RANGES // parts)]
+    else:  # a sample of ids by their hashes, some for each range
+        share = 20 * parts / whole["n"]
+        some = sorted(r[0] for r in rows.where(F.col("id").isNotNull() & share_of(F.xxhash64("id"), share)).select("id").limit(100 * parts).collect())
+        cuts = some[:: max(1, len(some) // parts)]
+    # ranges fall as the ids do; rows without an id come after all others
+    if number:
+        splits = [-float("inf"), *(sorted({float(c) for c in cuts}) or [0.0]), float("inf")]
+        dealt = Bucketizer(splits=splits, inputCol="x", outputCol="own").transform(rows.withColumn("x", F.coalesce(F.col("id").cast("double"), F.lit(0.0))))
+    else:
+        cuts = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast(f"array<{kind.simpleString()}>")
+        dealt = rows.withColumn("own", F.array_size(F.filter(cuts, lambda c: c <= F.col("id"))))
+    without = -1 - F.floor((F.lit(0.5) - F.col("h") / F.lit(2.0**64)) * parts * 0.999999).cast("int")
+    dealt = dealt.select("id", "h", "text", F.when(F.col("id").isNull(), without).otherwise(F.col("own").cast("int")).alias("at"))
+    ends = sorted(((r["at"], r["top"]) for r in dealt.groupBy("at").agg(F.max(F.struct("id", "h")).alias("top")).collect()), key=lambda r: r[0])  # a row for each range
+    # the first row of a range is the next one after the last of the range above; that of the last range comes after all
+    guests = [(*ends[k - 1][1], ends[k][0]) for k in range(len(ends))]
+    guest = F.broadcast(spark.createDataFrame(guests, T.StructType([T.StructField("guest_id", kind), T.StructField("guest_h", T.LongType()), T.StructField("guest_at", T.IntegerType())])))
+    both = dealt.join(guest, dealt["id"].eqNullSafe(F.col("guest_id")) & (dealt["h"] == F.col("guest_h")), "left")
+    at_home = F.struct("at", F.lit(False).alias("guest"))
+    both = both.withColumn("spot", F.explode(F.when(F.col("guest_at").isNull(), F.array(at_home)).otherwise(F.array(at_home, F.struct(F.col("guest_at").alias("at"), F.lit(True).alias("guest"))))))
+    order = both.select("spot.at", "spot.guest", "id", "h", "text").repartition(parts, "at").sortWithinPartitions("at", "guest", F.desc_nulls_last("id"), F.desc("h"), "text")
+    return order.mapInArrow(_compared, schema)

@@ -461,6 +461,37 @@ def test_fingerprints(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fingerprints_of_any_ids(spark, kind):
+    """Rows without ids and with repeated ones all stay, and each is compared with the one after it in the order that is stated."""
+    ts = texts(n=30)
+    ids = [None if i % 4 == 0 else i // 2 * 10 if kind == "long" else f"id{i // 2:03d}" for i in range(len(ts))]
+    docs = spark.createDataFrame(list(zip(ids, ts, strict=True)), f"doc_id {kind}, text string").withColumn("at", F.lit(1)).repartition(5)
+    h = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in {t or "" for t in ts}], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(((i, t or "") for i, t in zip(ids, ts, strict=True)), key=lambda x: (x[0] is not None, x[0] if x[0] is not None else ids[1], h[x[1]]), reverse=True)
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    out = fingerprint.compare_with_next(docs)
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert out.schema["doc_id"].dataType.simpleString() == docs.schema["doc_id"].dataType.simpleString()
+    none = fingerprint.compare_with_next(docs.where("doc_id is null"))
+    assert none.count() == sum(i is None for i in ids) and fingerprint.compare_with_next(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_that_clash_end():
+    """Two digests that are one can't be peeled, whatever the sketch; sketches grow as often as they must."""
+    r = random.Random(3)
+    a, b = ([r.getrandbits(64) for _ in range(300)] for _ in range(2))
+    one, two = fingerprint.difference([7, 7, 7, *a[:40]], [*a[:40], 9])
+    assert (sorted(one), two) == ([7, 7, 7], [9])
+    for n in (0, 3, 30, 300):
+        one, two = fingerprint.difference(a, [*a[n:], *b[:n]])
+        assert (sorted(one), sorted(two)) == (sorted(a[:n]), sorted(b[:n]))
+
+
 def test_toxicity(spark):
     r = random.Random(5)
     plain = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
