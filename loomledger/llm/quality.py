@@ -1,6 +1,6 @@
 """Quality from weak labels: overlapping heuristic labellers vote, expectation-maximisation estimates how accurate each is (Dawid and Skene, 1979), and the posterior labels train a linear scorer over hashed features.
 
-Votes are 1 (good), 0 (bad) or -1 (none). Only counts of vote patterns go to the estimation, at most 3 to the number of labellers of them, whatever the corpus. The scorer is trained on at most `MOST_ROWS` texts, a share of all rows by a hash of id and text; votes, patterns and scores cover all.
+Votes are 1 (good), 0 (bad) or -1 (none). Only counts of vote patterns go to the estimation, at most 3 to the number of labellers of them, whatever the corpus. The scorer is trained on at most `MOST_ROWS` texts, a share of all rows by a hash of id and text; votes, patterns and scores cover all. A text is read once: its votes and features are kept as a table.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import share_of
+from .common import cut, share_of
 
 SLOTS = 1 << 16
 MOST_ROWS = 20_000
@@ -60,7 +60,7 @@ def features(text: str) -> dict[int, float]:
     shapes = Counter(_RUNS.sub(r"\1", text.translate(_CLASSES)).split())
     out: dict[int, float] = {}
     for shape, k in shapes.items():
-        for key in (shape[:12], "end " + shape[-1:], "in " + shape[:1]):
+        for key in (shape, "end " + shape[-1:], "in " + shape[:1]):
             slot = zlib.crc32(key.encode("utf-8", "surrogatepass")) % SLOTS
             out[slot] = out.get(slot, 0.0) + k / len(words)
     again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words)
@@ -87,19 +87,36 @@ def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, floa
     return table, float(share), good
 
 
-def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Votes of a batch's texts as one number each, in base 3."""
-    for batch in batches:
-        codes = [sum((v + 1) * 3**j for j, v in enumerate(votes(t or ""))) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32())], names=["code"])
+def _code(text: str) -> int:
+    """The votes on a text as one number, in base 3."""
+    return sum((v + 1) * 3**j for j, v in enumerate(votes(text)))
 
 
-def label_model(docs: DataFrame, text: str = "text") -> tuple[dict[int, float], dict[str, float], int]:
-    """The posterior of each vote pattern, the estimated accuracy of each labeller when it votes, and the number of rows. Repeated rows count each."""
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(_voted, "code int").groupBy("code").count().orderBy("code").collect()
-    if not rows:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes and features of a batch's texts: each text is read once."""
+    for whole in batches:
+        for batch in (whole.slice(at, 1000) for at in range(0, len(whole), 1000)):
+            texts = batch.column("text").to_pylist()
+            found = [features(t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("by"), pa.array([_code(t) for t in texts], pa.int32()), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32()))],
+                names=["id", "by", "code", "slots", "shares"],
+            )
+
+
+def read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, by, code, slots, shares) of every row: a hash of id and text, its votes as one number, its features. A null text counts as empty."""
+    own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = own.withColumn("by", F.xxhash64("id", "text"))
+    return own.mapInArrow(_read, f"id {own.schema['id'].dataType.simpleString()}, by long, code int, slots array<int>, shares array<float>")
+
+
+def label_model(rows: DataFrame) -> tuple[dict[int, float], dict[str, float], int]:
+    """From rows with the `code` of `read`: the posterior of each vote pattern, the estimated accuracy of each labeller when it votes, and the number of rows. Repeated rows count each."""
+    found = rows.groupBy("code").count().orderBy("code").collect()  # 3 to the number of labellers at most
+    if not found:
         return {}, {}, 0
-    code, counts = np.array([r["code"] for r in rows]), np.array([r["count"] for r in rows], dtype=float)
+    code, counts = np.array([r["code"] for r in found]), np.array([r["count"] for r in found], dtype=float)
     patterns = np.stack([code // 3**j % 3 - 1 for j in range(len(LABELLERS))], axis=1)
     table, share, good = estimate(patterns, counts)
     prior = np.array([1 - share, share])
@@ -129,20 +146,11 @@ def weak_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
 
     A null text counts as empty. Equal texts score alike, repeated rows and rows without an id too. A text is read whole, however long. Other columns are ignored; an empty table gives no rows.
     """
-    own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    posterior, _, n = label_model(own, "text")
-    by = F.xxhash64("id", "text")
-    sample = own.select("text", by.alias("by")).where(share_of(by, most_rows / max(n, 1)) if n > most_rows else F.lit(True))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [features(t) for t in texts]
-            good = [posterior[sum((v + 1) * 3**j for j, v in enumerate(votes(t)))] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("by"), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32())), pa.array(good)], names=["by", "slots", "shares", "good"])
-
+    own = cut(read(docs, doc_id, text))
+    posterior, _, n = label_model(own)
+    sample = own.where(share_of(F.col("by"), most_rows / max(n, 1)) if n > most_rows else F.lit(True)).select("by", "slots", "shares", "code")
     # about most_rows of them, cut to so many
-    rows = sorted((r["by"], r["slots"], r["shares"], r["good"]) for r in sample.mapInArrow(encode, "by long, slots array<int>, shares array<float>, good double").collect())
+    rows = sorted((r["by"], r["slots"], r["shares"], posterior[r["code"]]) for r in sample.collect())
     rows = [r[1:] for r in rows[:most_rows]]
     w, bias = _fit(rows) if rows else (np.zeros(SLOTS), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), bias, posterior))  # of fixed size
@@ -150,13 +158,13 @@ def weak_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias, posterior = shared.value
         for batch in batches:
-            out = []
-            good = []
-            for t in batch.column("text").to_pylist():
-                x = bias + sum(float(w[s]) * v for s, v in features(t).items())
-                out.append(float(1 / (1 + np.exp(-max(-30.0, min(30.0, x))))))
-                good.append(posterior[sum((v + 1) * 3**j for j, v in enumerate(votes(t)))])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(good, pa.float64()), pa.array(out, pa.float64())], names=["id", "posterior", "score"])
+            slots, shares = batch.column("slots"), batch.column("shares")
+            n = np.diff(slots.offsets.to_numpy())
+            value = w[slots.flatten().to_numpy()].astype(np.float64) * shares.flatten().to_numpy()
+            raw = bias + np.bincount(np.repeat(np.arange(len(n)), n), value, len(n))
+            good = pa.array([posterior[c] for c in batch.column("code").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), good, pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))))], names=["id", "posterior", "score"])
 
     schema = T.StructType([own.schema["id"], T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return own.mapInArrow(score, schema).select(F.col("id").alias(doc_id), "posterior", "score", (F.col("score") >= threshold).alias("keep"))
+    scored = own.select("id", "code", "slots", "shares").mapInArrow(score, schema)
+    return scored.select(F.col("id").alias(doc_id), "posterior", "score", (F.col("score") >= threshold).alias("keep"))
