@@ -25,7 +25,6 @@ _NUMERIC = r"[^\s0-9A-Za-z@]*+[0-9][^\sA-Za-z@]*+(?!\S)"
 MENTION = rf"(?<!\S)(?:{_NUMERIC}(?:\x20{_NUMERIC})*+|[^\s0-9@]*+[0-9@]\S*+)"
 
 #: Turns end when the scores settle: when what is found, and its scores in all, are as in the turn before. They always end after so many.
-MOST_ROUNDS = 12
 LEAST_SEEDS = 3
 LEAST_SCORE = 0.6
 _BLOCK = 256
@@ -128,7 +127,8 @@ def base_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str
     def word(x: Column, at: int) -> Column:
         """The first (1) or last (-1) word of some text, in small letters, digits alike, without marks at its ends."""
         own = F.regexp_replace(F.lower(F.substring_index(blank(x), " ", at)), r"^[.,;:!?()\[\]{}'\"]+|[.,;:!?()\[\]{}'\"]+$", "")
-        return F.substr(F.regexp_replace(own, "[0-9]+", "0"), F.lit(1), F.lit(32))
+        own = F.regexp_replace(own, "[0-9]+", "0")
+        return F.when(F.length(own) > 32, F.md5(own.cast("binary"))).otherwise(own)  # a long word goes by its hash
 
     def mention(m: Column, near: Column) -> Column:
         token = F.regexp_replace(m["value"], r"[.,;:!?)\]}'\"]+$", "")
@@ -163,18 +163,22 @@ def contexts(mentions: DataFrame) -> DataFrame:
     size = cut(graph.groupBy("context").agg(F.count("*").alias("n")))
     known = cut(graph.where("known is not null").groupBy("token").agg(F.max("known").alias("kind")).withColumn("token_score", F.lit(1.0)))
     pairs = graph.select("context", "token")
-    have, before, context = known, None, None
-    for _ in range(MOST_ROUNDS):
+    have, seen, context = known, set(), None
+    start = known.count()
+    while True:
         sums = pairs.join(have, "token").groupBy("context", "kind").agg(F.sum("token_score").alias("total"), F.count("*").alias("seeds"))
         last, context = context, cut(sums.join(size, "context").select("context", "kind", _lower(F.col("total"), F.col("n")).alias("score"), "seeds"))
         free(*filter(None, [last]))
         found = pairs.join(good_contexts(context), "context").groupBy("token").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("token_score"))
-        have = cut(known.unionByName(found.join(known, "token", "left_anti")))
-        now = have.agg(F.count("*"), F.round(F.sum("token_score"), 2)).first()
-        if now == before or (before is None and now[0] == known.count()):
+        old, have = have, cut(known.unionByName(found.join(known, "token", "left_anti")))
+        if old is not known:
+            free(old)
+        now = tuple(have.agg(F.count("*"), F.round(F.sum("token_score"), 2)).first())
+        # settled, or back at what was had before: there are only so many
+        if now in seen or (not seen and now[0] == start):
             break
-        before = now
-    free(graph, size, known)
+        seen.add(now)
+    free(graph, size, known, have)
     return context
 
 
@@ -199,7 +203,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     # a place that several contexts name has one kind
     named = each.where("kind is null").drop("kind").join(best, "context").groupBy("k", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     more = named.groupBy("k").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
-    more = F.broadcast(more) if rows_fit(more, 50_000) else more
+    more = F.broadcast(more) if (named.count() <= 200_000) else more  # each some 30 bytes of an array
     out = base.join(more, "k", "left")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     every = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more"))
