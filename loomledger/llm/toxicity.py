@@ -26,6 +26,8 @@ TOXIC_WEIGHT = 4.0
 FACTORS = 4
 MOST_ROWS = 20_000
 EPOCHS = 120
+#: Bytes of text that a task has in hand: their terms take some sixty times as much.
+SLICE = 1_000_000
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -98,7 +100,7 @@ def _examples(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of either label with each slot; slot -1: all texts."""
     n = np.zeros((2, SLOTS + 1), dtype=np.int64)
-    for batch, texts in chunks(batches, "text"):
+    for batch, texts in chunks(batches, "text", SLICE):
         label = np.array(batch.column("label").to_pylist(), dtype=np.int64) > 0
         text, slot = terms(texts)
         for k in (0, 1):
@@ -129,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     number = model.number
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "text"):
+        for batch, texts in chunks(batches, "text", SLICE):
             text_, slot = terms(texts)
             term = number[slot]
             text_, term = text_[term >= 0], term[term >= 0]
@@ -154,7 +156,7 @@ def scored(docs: DataFrame, model: Machine | None, text: str = "text", keep: lis
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, text):
+        for batch, texts in chunks(batches, text, SLICE):
             m = shared.value
             score = m.score(*m.known(*terms(texts)), len(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score)], names=[*columns, name])
