@@ -521,19 +521,55 @@ def test_toxicity(spark):
 
 
 def test_machine_learns_pairs():
-    """Two terms that are toxic only together: no additive weights tell them apart."""
+    """Two terms that are toxic only together: no additive weights tell them apart; the settings are those of production."""
     r = np.random.default_rng(2)
     a, b = r.random(2000) < 0.5, r.random(2000) < 0.5
     text = np.concatenate([np.flatnonzero(a), np.flatnonzero(b)])
     term = np.concatenate([np.zeros(a.sum(), dtype=np.int64), np.ones(b.sum(), dtype=np.int64)])
     m = toxicity.Machine(np.array([5, 9]), 0.0)
-    m.v *= 20
-    toxicity.EPOCHS, before = 600, toxicity.EPOCHS
     m.fit(text, term, (a == b).astype(float))
-    toxicity.EPOCHS = before
     assert ((m.score(text, term, 2000) >= 0.5) == (a == b)).mean() > 0.95
 
 
+def plain_machine(lists, labels, w, v, bias, epochs, rate=0.05, decay=3e-4):
+    """The same machine term by term and pair by pair, with the same steps."""
+    m, k = len(w), len(v)
+    flat = [bias, *w, *(x for row in v for x in row)]
+    first, second = [0.0] * len(flat), [0.0] * len(flat)
+
+    def raw(terms):
+        bias, w, v = flat[0], flat[1 : 1 + m], [flat[1 + m + f * m : 1 + m + (f + 1) * m] for f in range(k)]
+        return bias + sum(w[t] for t in terms) + sum(v[f][s] * v[f][t] for i, s in enumerate(terms) for t in terms[i + 1 :] for f in range(k))
+
+    for step in range(1, epochs + 1):
+        g = [0.0, *(decay * x for x in flat[1:])]
+        for terms, y in zip(lists, labels, strict=True):
+            e = (1 / (1 + np.exp(-raw(terms))) - y) * (toxicity.TOXIC_WEIGHT if y else 1.0) / len(lists)
+            g[0] += e
+            for t in terms:
+                g[1 + t] += e
+                for f in range(k):
+                    g[1 + m + f * m + t] += e * sum(flat[1 + m + f * m + s] for s in terms if s != t)
+        for i, x in enumerate(g):
+            first[i] += 0.1 * (x - first[i])
+            second[i] += 0.01 * (x * x - second[i])
+            flat[i] -= rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
+    return [1 / (1 + np.exp(-raw(t))) for t in lists]
+
+
+def test_machine_against_plain_loops(monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 7)
+    r = np.random.default_rng(4)
+    lists = [sorted(r.choice(6, r.integers(0, 6), replace=False).tolist()) for _ in range(25)]
+    labels = r.integers(0, 2, 25).astype(float)
+    m = toxicity.Machine(np.arange(6), 0.3)
+    m.v *= 10
+    want = plain_machine(lists, labels, m.w.tolist(), m.v.tolist(), m.bias, 7)
+    text, term = np.repeat(np.arange(25), [len(x) for x in lists]), np.array([t for x in lists for t in x], dtype=np.int64)
+    m.fit(text, term, labels)
+    assert m.score(text, term, 25) == pytest.approx(want, abs=1e-9)
+
+
 def test_token_counts(spark, docs):
     code = token_counts.encoder(token_counts.VOCABULARY)
     for block in (1 << 18, 7):
@@ -578,7 +614,7 @@ def test_quality(spark):
     got = {x["doc_id"]: x for x in quality.weak_quality(docs).collect()}
     assert sum(got[i]["keep"] for i in range(120)) == 120 and sum(got[i]["keep"] for i in range(120, 150)) == 0
     assert got[150]["score"] == got[151]["score"]
-    _, right, n = quality.label_model(docs)
+    _, right, n = quality.label_model(quality.read(docs))
     assert n == 152 and set(right) == set(quality.LABELLERS)
     assert quality.weak_quality(docs.limit(0)).count() == 0
     # a sample of 80 of 304 rows, repeated rows and one very long text among them
@@ -611,3 +647,19 @@ def test_quality_em():
             own.append(b / (a + b))
     want = {tuple(v): g for v, g in zip(rows.tolist(), own, strict=True)}
     assert share == pytest.approx(p) and all(g == pytest.approx(want[tuple(v)], abs=1e-6) for v, g in zip(patterns.tolist(), good, strict=True))
+
+
+def test_quality_scores_are_those_of_plain_sums(spark):
+    """Each text's score from its own features, word by word."""
+    r = random.Random(8)
+    ts = [" ".join(r.choice(("ab", "CD!!", "x", "Word", "|", "9")) for _ in range(r.randint(0, 40))) for _ in range(60)] + ["A" * 40_000 + "b!" * 20, None]
+    docs = spark.createDataFrame([*enumerate(ts)], "doc_id long, text string")
+    posterior, _, _ = quality.label_model(quality.read(docs))
+    rows = sorted((x["by"], t or "") for x, t in ((x, ts[x["id"]]) for x in quality.read(docs).collect()))
+    fitted = [(list(f), list(f.values()), posterior[sum((v + 1) * 3**j for j, v in enumerate(quality.votes(t)))]) for t in (t for _, t in rows) for f in (quality.features(t),)]
+    w, bias = quality._fit(fitted)
+    for x in quality.weak_quality(docs).collect():
+        t = ts[x["doc_id"]] or ""
+        raw = bias + sum(w[s] * v for s, v in quality.features(t).items())
+        assert x["score"] == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-4)
+        assert x["posterior"] == posterior[sum((v + 1) * 3**j for j, v in enumerate(quality.votes(t)))]
