@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free, fresh, join_hot
+from .common import cut, free, fresh, join_hot, scratch
 from .words import U, Words, chunks, runs_hash
 
 MIN_WORDS = 50
@@ -154,8 +154,8 @@ def _extended(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
 
 def _first_places(places: DataFrame) -> DataFrame:
     """Places (k, id, at, key) of keys that occur at several, with the first one's place: (k, at, place, old_k, old_at, old_place). Repeated rows have the same places."""
-    first = places.groupBy("key").agg(F.min(F.struct("id", "k", "at")).alias("old"), F.max(F.struct("id", "k", "at")).alias("new")).where("old < new")
-    both = places.join(first.select("key", F.col("old.k").alias("old_k"), F.col("old.at").alias("old_at")), "key")
+    first = places.groupBy("key").agg(F.min(F.struct("id", "k", "at")).alias("old"), F.max(F.struct("id", "k", "at")).alias("new"), F.count("*").alias("n")).where("old < new")
+    both = join_hot(places, first.select("key", F.col("old.k").alias("old_k"), F.col("old.at").alias("old_at")), "key", counts=first.select("key", "n"))
     return cut(both.select("k", "at", F.xxhash64("k", "at").alias("place"), "old_k", "old_at", F.xxhash64("old_k", "old_at").alias("old_place")).distinct())
 
 
@@ -202,7 +202,9 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     found = places.select("k", "at").join(runs, ["k", "at"], "left").groupBy("k").agg(F.collect_list(F.struct("at", "start", "last")).alias("found"))
     kind = lines.schema["id"].dataType.simpleString()
     rest = cut(texts.join(found, "k").dropDuplicates(["k"]).mapInArrow(lambda it: _left_over(it, min_words), f"k long, id {kind}, at int, key long"))
-    more = _matched(_first_places(rest), texts, min_words)
+    again = _first_places(rest)
+    more = _matched(again, texts, min_words)
+    free(places, rest, again)
     return runs.select("k", "start", "last").union(more.select("k", "start", "last")).union(lines.select("k", F.inline("again")))
 
 
@@ -232,10 +234,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
     Lines agree when their words do; blank lines don't count, and go with the lines on both sides of them. A text of which no word is left has repeated others in full; its row goes unless `drop_emptied` is false. Null, empty and short texts stay as they are. Rows with equal doc_id and text don't count as repeats of each other. Rows without a doc_id come first; of rows with one doc_id the order is that of a hash. If `docs` has an integer column n_chars it isn't recounted.
     """
-    runs = repeated_runs(docs, doc_id, text, min_words)
     k, ranges = fresh(docs, "row_key", "ranges")
-    # one row for each text with repeats
-    edits = cut(runs.groupBy("k").agg(F.collect_set(F.struct("start", "last")).alias(ranges)).withColumnRenamed("k", k))
+    with scratch() as keep:
+        runs = repeated_runs(docs, doc_id, text, min_words)
+        # one row for each text with repeats
+        edits = keep(cut(runs.groupBy("k").agg(F.collect_set(F.struct("start", "last")).alias(ranges)).withColumnRenamed("k", k)))
     size = edits.agg(F.sum(F.size(ranges) * 8 + 32)).first()[0] or 0
     edits = F.broadcast(edits) if size <= MOST_BYTES else edits
     schema, columns = T.StructType(docs.schema.fields), docs.columns
