@@ -52,13 +52,6 @@ def m_bookings(spark, d):
     return both.groupBy(F.date_format("order_date", "yyyy-MM").alias("period"), "region", "currency_code").agg(money_sum("line_amount", "bookings"))
 
 
-@query(f"{_DAILY} SELECT currency, rate_date, rate FROM daily WHERE EXISTS (SELECT 1 FROM orders WHERE CAST(o_orderdate AS DATE) = rate_date)")
-def fx_daily(spark, d):
-    """Of the days on which something was ordered."""
-    days = b.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("rate_date")).distinct()
-    return daily(spark).join(days, "rate_date", "left_semi").select("currency", "rate_date", "rate")
-
-
 # Spot rates as the given tables have them: of the days on which a region sold something to a customer whose number 7 divides, told by the day's orders; none before the first.
 _SPOT = "spot AS (SELECT company_currency AS currency, order_date AS rate_date, CAST(1 + (max(order_id) % 9973) / CAST(10000 AS DECIMAL(18,8)) AS DECIMAL(18,8)) AS rate FROM ord WHERE customer_id % 7 = 0 AND order_id % 5 > 0 AND order_date >= DATE '1992-02-01' GROUP BY ALL)"
 _SPOTTED = f"{_SPOT}, told AS (SELECT o.order_id, currency_code, order_date, CASE WHEN currency_code = 'USD' THEN 1 ELSE r.rate END AS rate FROM ord o ASOF LEFT JOIN spot r ON r.currency = o.currency_code AND o.order_date >= r.rate_date)"
@@ -77,6 +70,15 @@ def spotted(spark, d):
     return told.withColumns({"rate": F.when(one, F.lit(1).cast("decimal(18,8)")).otherwise(F.col("rate")), "found": one | F.col("found")})
 
 
+_SPOT_DAILY = """cal AS (SELECT currency, rate_date FROM days, (SELECT DISTINCT currency FROM spot WHERE currency <> 'USD')), told AS (SELECT currency, rate_date, rate FROM cal LEFT JOIN spot USING (currency, rate_date))"""
+
+
+@query(f"WITH {_SPOT}, {_SPOT_DAILY} SELECT currency, rate_date, coalesce(last_value(rate IGNORE NULLS) OVER (PARTITION BY currency ORDER BY rate_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(rate IGNORE NULLS) OVER (PARTITION BY currency ORDER BY rate_date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS rate FROM told UNION ALL SELECT 'USD', rate_date, CAST(1 AS DECIMAL(18,8)) FROM days")
+def fx_daily(spark, d):
+    rates = spot(spark, d).where(f"rate_date between date '{b.FX_FIRST}' and date '{b.FX_LAST}'")
+    return money.fx_daily(rates.withColumnRenamed("currency_code", "currency"), b.FX_FIRST, b.FX_LAST)
+
+
 @query(f"WITH {_SPOTTED} SELECT order_id, currency_code, CAST(rate AS DECIMAL(18,8)) AS rate FROM told")
 def asof_fx(spark, d):
     return spotted(spark, d).select("order_id", "currency_code", "rate")
