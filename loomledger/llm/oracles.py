@@ -34,28 +34,30 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + (coin < rate -
 """
 
 OP5 = f"""
-WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACED}') AS w FROM documents
+WITH RECURSIVE numbered AS MATERIALIZED (  -- rows by their ids' order, so that those without an id count, too
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS r, doc_id, text FROM documents
+), words AS (
+  SELECT r, regexp_extract_all({_LOWER}, '{_SPACED}') AS w FROM numbered
 ), shingles AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
 ), sizes AS (
-  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+  SELECT r, count(*) AS n FROM shingles GROUP BY r
 ), classes AS (  -- equal sets are linked to their smallest id, and only that one is compared with others
-  SELECT doc_id, min(doc_id) OVER (PARTITION BY digest) AS class FROM (SELECT doc_id, sha256(string_agg(s, '|' ORDER BY s)) AS digest FROM shingles GROUP BY doc_id)
+  SELECT r, min(r) OVER (PARTITION BY digest) AS class FROM (SELECT r, sha256(string_agg(s, '|' ORDER BY s)) AS digest FROM shingles GROUP BY r)
 ), pairs AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
-  FROM (SELECT * FROM shingles WHERE doc_id IN (SELECT class FROM classes)) x JOIN (SELECT * FROM shingles WHERE doc_id IN (SELECT class FROM classes)) y ON x.s = y.s AND x.doc_id < y.doc_id
+  SELECT x.r AS a, y.r AS b, count(*) AS shared
+  FROM (SELECT * FROM shingles WHERE r IN (SELECT class FROM classes)) x JOIN (SELECT * FROM shingles WHERE r IN (SELECT class FROM classes)) y ON x.s = y.s AND x.r < y.r
   GROUP BY ALL
 ), links AS (
-  SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared >= 75 * (p.n + q.n - shared)
-  UNION SELECT class, doc_id FROM classes WHERE class < doc_id
+  SELECT a, b FROM pairs JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b WHERE 100 * shared >= 75 * (p.n + q.n - shared)
+  UNION SELECT class, r FROM classes WHERE class < r
 ), edges AS (
   SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach AS (
   SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
 )
-SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, least(d.doc_id, smallest.b)::BIGINT AS component_id
-FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) smallest ON smallest.a = d.doc_id
+SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, first_.doc_id AS component_id
+FROM numbered d LEFT JOIN sizes USING (r) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) smallest ON smallest.a = d.r JOIN numbered first_ ON first_.r = least(d.r, smallest.b)
 """
 
 OP6 = f"""
