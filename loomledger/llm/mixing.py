@@ -63,7 +63,7 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The mix itself: every row of `docs` as often as it is taken, with the number of the copy in `copy_no`, from 1."""
+    """The mix itself: every row of `docs` as often as it is taken, with the number of the copy in `copy_no`, from 1. Empty and null texts are rows like others: their source's rate and their coin decide. Of a source without words no row is taken; an empty table gives none."""
     counted, names = copies(docs, doc_id, text, source, seed, share, most, weights)
     (copy,) = fresh(counted, "copy_no")
     return counted.where(F.col(names["copies"]) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names["copies"]).cast("int")))).select(*docs.columns, copy)

@@ -144,7 +144,7 @@ def _fit(rows: list[tuple[list[int], list[float], float]], steps: int = 200, rat
 def weak_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS, threshold: float = 0.5) -> DataFrame:
     """(doc_id, posterior, score, keep) of every row of `docs`: the label model's and the scorer's probability that the text is good; keep: score >= threshold.
 
-    A null text counts as empty. Equal texts score alike, repeated rows and rows without an id too. A text is read whole, however long. Other columns are ignored; an empty table gives no rows.
+    The scorer's sample is of all rows, those without a label by any labeller too; of rows with one hash of id and text (repeated rows) any may be the last that it takes, and they are alike. A null text counts as empty. Equal texts score alike, repeated rows and rows without an id too. A text is read whole, however long. Other columns are ignored; an empty table gives no rows.
     """
     own = cut(read(docs, doc_id, text))
     posterior, _, n = label_model(own)
