@@ -114,12 +114,13 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, per_salt: int = 2000,
     """
     deals, salt = fresh(left, "deals", "salt")
     counts = left.groupBy(key).agg(F.count("*")) if counts is None else counts
-    hot = cut(counts.toDF(key, deals).select(key, (F.col(deals) / per_salt).cast("int").alias(deals)).where(F.col(deals) > 0))
-    few = rows_fit(hot, 50_000)  # keys are ids and hashes: a few MB
-    if few and hot.isEmpty():
-        free(hot)
+    hot = counts.toDF(key, deals).select(key, (F.col(deals) / per_salt).cast("int").alias(deals)).where(F.col(deals) > 0)
+    many = hot.count()
+    if not many:
         return left.join(right, key)
-    hot, n = F.broadcast(hot) if few else hot, F.coalesce(deals, F.lit(0))
+    # few keys are broadcast: they are ids and hashes, a few MB
+    hot, n = cut(hot), F.coalesce(deals, F.lit(0))
+    hot = F.broadcast(hot) if many <= 50_000 else hot
     dealt = left.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(*left.columns), n + 1).cast("int")).drop(deals)
     wide = right.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), n))).drop(deals)
     return dealt.join(wide, [key, salt]).drop(salt)

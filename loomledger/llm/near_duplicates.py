@@ -286,8 +286,9 @@ def _finest(label: DataFrame, bound: DataFrame, sets: DataFrame, similarity: int
     # rest: tokens from this one on, itself included
     groups = cut(ranked.where(F.col("at") <= F.floor(F.col("size") * (100 - similarity) / 100)).select("token", "n", F.col("class").alias("a"), "size", (F.col("size") - F.col("at")).alias("rest")))
     other = lambda df: df.select("token", *(F.col(c).alias(f"{c}_b" if c != "a" else "b") for c in ("a", "size", "rest", "root")))
-    some = _roots(groups.where(F.col("n") <= HOT), label)
+    some = cut(_roots(groups.where(F.col("n") <= HOT), label))
     pairs = cut(some.join(other(some), "token").where("a < b").where(_enough(similarity)).select("a", "b").distinct())
+    free(some)
     if not pairs.isEmpty():
         label = _grown(label, pairs, sets, similarity)
     rows, leads, done = groups.where(F.col("n") > HOT).drop("n"), 1, []
@@ -295,11 +296,12 @@ def _finest(label: DataFrame, bound: DataFrame, sets: DataFrame, similarity: int
     partner = F.greatest("least", F.ceil(F.col("size") * similarity / 100))
     able = (F.col("lo") < F.col("hi")) & ((100 + similarity) * F.least("rest", "most") >= similarity * (F.col("size") + partner))
     while True:
-        now = _roots(rows, label)
-        # groups that are one component by now need no more comparisons, nor do sets that no other can be like
-        whole = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rest").alias("most"), F.min("size").alias("least")).where("lo < hi")
-        now = cut(join_hot(now, whole, "token").where(able).select(*now.columns))
+        own = cut(_roots(rows, label))
         free(*done)  # the rows of the round before
+        # groups that are one component by now need no more comparisons, nor do sets that no other can be like
+        whole = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rest").alias("most"), F.min("size").alias("least")).where("lo < hi")
+        now = cut(join_hot(own, whole, "token").where(able).select(*own.columns))
+        free(own)
         if now.isEmpty():
             return label
         best = F.max(F.struct("rest", -F.col("size"), "a", "root", "size"))
