@@ -14,7 +14,7 @@ from ..operators.regression import least_squares
 from ..sources import bindings as b
 from ..sources import exchange as x
 from ..sources import staging
-from .ledger import _TOTALS, history_input, money_sum, totals
+from .ledger import _TOTALS, money_sum, totals
 from .registry import query
 
 _LATE = "CASE WHEN CAST(occurred_at AS DATE) > CAST(due AS DATE) THEN 'BREACHED' ELSE 'ON_TIME' END AS sla_status"
