@@ -36,7 +36,7 @@ SMALL = 64
 WIDER = 16
 #: So many pairs are compared at once.
 FEW_PAIRS = 20_000
-KEYS_PER_BUCKET = 1_000_000
+KEYS_PER_BUCKET = 500_000
 
 _PAIR, _COUNT, _SKETCH = 0, 1, 2
 

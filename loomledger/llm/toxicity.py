@@ -27,7 +27,7 @@ FACTORS = 4
 MOST_ROWS = 20_000
 EPOCHS = 120
 #: Bytes of text that a task has in hand: their terms take some sixty times as much.
-SLICE = 1_000_000
+SLICE = 500_000
 
 
 def held_out(doc_id: Column | str) -> Column:

@@ -88,7 +88,7 @@ def runs_hash(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return Runs(x).hash(start, end)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about `most` bytes of text each (one text at least), and their texts as UTF-8; a null text is empty."""
     for batch in batches:
         column = batch.column(text).cast(pa.large_binary())
