@@ -70,3 +70,21 @@ def test_least_squares(spark):
     want = np.linalg.lstsq(design, y, rcond=None)[0]
     assert [got[t] for t in ("1", "a", "b", "carrier=c1", "carrier=c2", "carrier=c3", "service=s1", "service=s2")] == pytest.approx(want, abs=1e-6)
     assert len(got) == 8 and regression.least_squares(df.limit(0), "y", ["a"], []).count() == 0
+
+
+def test_least_squares_of_many_levels(spark):
+    """A category may have more levels than the driver solves for; another may stand beside it, levels of which one alone has them are told by it."""
+    r = np.random.default_rng(6)
+    n, levels = 9000, regression.TERMS + 500
+    c = np.concatenate([np.arange(levels), r.integers(0, levels, n - levels)])
+    a, b, s = r.normal(1000, 3, n), r.normal(0, 1, n), r.integers(0, 3, n)
+    y = 3 + 2 * a - 0.5 * b + c % 7 + np.array([0, 7, 9])[s]
+    rows = [(float(v), float(p), float(q), int(i), f"s{j}", float(i % 5)) for v, p, q, i, j in zip(y, a, b, c, s, strict=True)]
+    df = spark.createDataFrame(rows, "y double, a double, b double, carrier int, service string, told double")
+    got = {x["term"]: x["coefficient"] for x in regression.least_squares(df, "y", ["a", "b"], ["service", "carrier"]).collect()}
+    want = {"1": 3, "a": 2, "b": -0.5, "service=s1": 7, "service=s2": 9} | {f"carrier={k}": k % 7 for k in range(1, levels)}
+    assert got == pytest.approx(want, abs=1e-6)
+    one = {x["term"]: x["coefficient"] for x in regression.least_squares(df.where("service = 's0'"), "y", ["a", "told"], ["carrier"]).collect()}
+    assert one["told"] == 0 and len(one) == 2 + len({i for i, j in zip(c, s, strict=True) if j == 0})
+    none = {x["term"]: x["coefficient"] for x in regression.least_squares(df, "y", ["a"], []).collect()}
+    assert none == pytest.approx(dict(zip(("a", "1"), np.polyfit(a, y, 1), strict=True)), abs=1e-6)
