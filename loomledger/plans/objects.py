@@ -190,7 +190,9 @@ def id_embedded_join(spark, d):
 # Payloads in three spellings: keys in another order, blanks, escapes.
 @query("""SELECT event_id, sha256(strftime(ts, '%Y-%m-%d') || '|crm|' || event_type || '|' || CAST(user_id AS VARCHAR) || '|{"k":' || (props->>'k') || ',"user":{"id":' || CAST(user_id AS VARCHAR) || ',"kind":"' || event_type || '","note":null,"tags":["b","\\u00e9",1.5]}}') AS stable_id FROM events""", views=False)
 def stable_event_id(spark, d):
-    e, k, user, kind = b.table(spark, d, "events"), F.get_json_object("props", "$.k"), F.col("user_id").cast("string"), F.col("event_type")
+    # dealt out first: the work is in the texts, and a table of few row groups would have few tasks
+    e = b.table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "props").repartition("event_id")
+    k, user, kind = F.get_json_object("props", "$.k"), F.col("user_id").cast("string"), F.col("event_type")
     spellings = (
         ('{"k":', k, ',"user":{"id":', user, ',"kind":"', kind, '","note":null,"tags":["b","é",1.5]}}'),
         ('{ "user": {"tags": [ "b", "\\u00E9", 1.50 ], "note": null,\n "kind": "', kind, '", "id": ', user, '}, "k": ', k, " }"),

@@ -47,3 +47,12 @@ def test_one_id_for_all_spellings(spark):
     one = lambda c: F.lit(c)
     got = [x[0] for x in spark.createDataFrame(rows, "p string").select(stable_event_id(one("2024-01-02"), one("crm"), one("open"), one(7), F.col("p"))).collect()]
     assert got[0] == got[1] != got[2] and got[3] is None
+
+
+def test_values_are_computed_once(spark):
+    """The expression stays small: no value stands in it once for each of its uses. Escapes, runs of letters and numbers in one text."""
+    plan = spark.range(1).select(canonical_json(F.col("id").cast("string")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 10_000
+    text = '{"éß日b": ["\\u00E9\\u001F\\\\u001F", 1.50, 15e-1, 1E3], "a": {"c": null, "b": 7}}'
+    got = spark.createDataFrame([(text,)], "t string").select(canonical_json(F.col("t"))).first()[0]
+    assert got == json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
