@@ -91,3 +91,14 @@ def test_uploads(spark, tmp_path):
     name = F.regexp_extract("file", "([a-z]).csv$", 1)
     assert [tuple(r) for r in rows.select(name, "row_number", "Id", "Name").orderBy("row_number").collect()] == [("a", 1, "2", "x\ny"), ("a", 2, None, "")]
     assert {r[0]: (r[1], r[2]) for r in files.select(name, "rows", "error").collect()} == {"a": (2, None), "b": (1, "unknown column"), "c": (1, "too many values"), "d": (0, "no header"), "e": (1, "empty column name"), "f": (0, None)}
+
+
+def test_lines_are_scanned_once(spark, tmp_path, monkeypatch):
+    """Lines are sorted into their ranges of bytes and written once; places come from what that scan left."""
+    from loomledger.sources import csvfiles
+
+    calls = []
+    monkeypatch.setattr(csvfiles, "staged", lambda df, own=csvfiles.staged: calls.append(1) or own(df))
+    (tmp_path / "a.csv").write_bytes(b'Id,At\n1,"x\ny"\n\n2,z\r\n')
+    records, _ = csvfiles.csv_records(spark, f"{tmp_path}/*.csv")
+    assert sorted((r["line_no"], r["line"]) for r in records.collect()) == [(0, "Id,At"), (1, '1,"x\ny"'), (2, "2,z")] and len(calls) == 1
