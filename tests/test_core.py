@@ -193,6 +193,25 @@ def test_export_goes_on_after_a_failure(spark, tmp_path):
     assert kept <= {p.name for p in (tmp_path / "out").glob("kind=data/part=*/part-*")}
 
 
+def test_export_log_of_parts_written_again(spark, tmp_path):
+    """Of a part that is written again the log tells of its new file alone, though it be as long as the old one."""
+    out = str(tmp_path / "out")
+    rows = spark.range(40).select("id", F.concat(F.lit("a"), F.col("id").cast("string")).alias("t"))
+    first = {r["part"]: r for r in export_parts(rows, out, ["id"], 2).collect()}
+    for part, r in first.items():
+        if part % 4:
+            cut = tmp_path / "out" / r["path"].partition("/out/")[2]
+            cut.write_bytes(cut.read_bytes()[:-3])
+    changed = rows.withColumn("t", F.translate("t", "a", "b"))
+    for _ in range(2):  # the second time all are kept
+        manifest = {r["part"]: r for r in export_parts(changed, out, ["id"], 2, resume=True).collect()}
+        assert len(manifest) == 20
+        for part, r in manifest.items():
+            whole = (tmp_path / "out" / r["path"].partition("/out/")[2]).read_bytes()
+            assert (len(whole), hashlib.sha256(whole).hexdigest(), 2) == (r["bytes"], r["sha256"], r["records"])
+            assert (r["bytes"] == first[part]["bytes"]) and (r["path"] == first[part]["path"]) == (part % 4 == 0) and (b",b" in whole) == (part % 4 > 0)
+
+
 def test_scan_by_name(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Name,Id\ny,2\n")
     (tmp_path / "b.csv").write_text("Id,Name\n1,x\n")

@@ -6,7 +6,7 @@ import pytest
 
 from loomledger.plans import incremental, records
 from loomledger.plans.registry import QUERIES
-from loomledger.sources import staging
+from loomledger.sources import exports, staging
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +43,25 @@ def test_files_of_a_batch(spark, small):
     assert staging.dealt(spark.range(100), "id", rows=10).rdd.getNumPartitions() == 10
 
 
+def test_parts_of_an_export(spark, tmp_path):
+    """The log has a file for each task and not for each part; folders of parts are listed by a few tasks, not by one each."""
+    out, key = str(tmp_path / "out"), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    rows, before, cores = spark.range(200).selectExpr("id", "'t' || id AS t"), spark.conf.get(key), spark.sparkContext.defaultParallelism
+    exports.export_parts(rows.where("id < 101"), out, ["id"], 2)
+    spark.sparkContext.setJobGroup("resumed", "resumed")
+    try:
+        manifest = exports.export_parts(rows, out, ["id"], 2, resume=True)
+        got = exports.exported(spark, out)
+        assert sorted((int(r["id"]), r["t"]) for r in got.collect()) == [(k, f"t{k}") for k in range(200)] and got.columns == ["id", "t"]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [(r["part"], r["records"]) for r in manifest.orderBy("part").collect()] == [(k, 2) for k in range(100)]
+    assert len(list((tmp_path / "out").glob("kind=data/part=*/part-*"))) == 100 and len(list((tmp_path / "out").glob("kind=log/part=*/part-*"))) <= 2 * cores
+    told = spark.sparkContext.statusTracker()
+    tasks = [told.getStageInfo(s).numTasks for j in told.getJobIdsForGroup("resumed") for s in told.getJobInfo(j).stageIds if told.getStageInfo(s)]
+    assert tasks and max(tasks) <= 4 * cores and spark.conf.get(key) == before
+
+
 def _files(stream):
     import re
     from pathlib import Path
