@@ -9,6 +9,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def _written(batches: Iterator[pa.RecordBatch], header: str, run: int) -> Iterat
     for batch in batches:
         out, parts = [], batch.column("part").to_numpy()
         edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)] if len(parts) else []
-        for a, b in zip(edges, edges[1:]):
+        for a, b in pairwise(edges):
             if parts[a] != part:
                 if part is not None:
                     out.append(logged())
